@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from cubeflow.llm.packing import op2_packing
 from cubeflow.llm.simhash import op3_simhash
 
 QUERIES = {
+    "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
 }
 ORACLES: dict[str, str] = {}
