@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from cubeflow.llm.mixing import op6_mixing
 from cubeflow.llm.packing import op2_packing
 from cubeflow.llm.simhash import op3_simhash
 
 QUERIES = {
     "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
+    "op6_mixing": op6_mixing,
 }
 ORACLES: dict[str, str] = {}
