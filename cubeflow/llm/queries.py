@@ -5,10 +5,14 @@ from __future__ import annotations
 from cubeflow.llm.mixing import op6_mixing
 from cubeflow.llm.packing import op2_packing
 from cubeflow.llm.simhash import op3_simhash
+from cubeflow.llm.warc import OP5_SQL, op5_warc
 
 QUERIES = {
     "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
+    "op5_warc": op5_warc,
     "op6_mixing": op6_mixing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_warc": OP5_SQL,
+}
