@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from cubeflow.llm.mixing import op6_mixing
 from cubeflow.llm.packing import op2_packing
+from cubeflow.llm.quality import op7_quality
 from cubeflow.llm.simhash import op3_simhash
 from cubeflow.llm.warc import OP5_SQL, op5_warc
 
@@ -12,6 +13,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op5_warc": op5_warc,
     "op6_mixing": op6_mixing,
+    "op7_quality": op7_quality,
 }
 ORACLES: dict[str, str] = {
     "op5_warc": OP5_SQL,
