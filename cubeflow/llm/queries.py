@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from cubeflow.llm.lines import op9_lines
 from cubeflow.llm.mixing import op6_mixing
 from cubeflow.llm.packing import op2_packing
 from cubeflow.llm.quality import op7_quality
@@ -14,6 +15,7 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op6_mixing": op6_mixing,
     "op7_quality": op7_quality,
+    "op9_lines": op9_lines,
 }
 ORACLES: dict[str, str] = {
     "op5_warc": OP5_SQL,
