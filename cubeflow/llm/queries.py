@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from cubeflow.llm.lines import op9_lines
+from cubeflow.llm.minhash import op1_minhash
 from cubeflow.llm.mixing import op6_mixing
 from cubeflow.llm.packing import op2_packing
 from cubeflow.llm.quality import op7_quality
@@ -10,6 +11,7 @@ from cubeflow.llm.simhash import op3_simhash
 from cubeflow.llm.warc import OP5_SQL, op5_warc
 
 QUERIES = {
+    "op1_minhash": op1_minhash,
     "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
     "op5_warc": op5_warc,
