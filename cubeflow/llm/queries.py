@@ -6,6 +6,7 @@ from cubeflow.llm.lines import op9_lines
 from cubeflow.llm.minhash import op1_minhash
 from cubeflow.llm.mixing import op6_mixing
 from cubeflow.llm.packing import op2_packing
+from cubeflow.llm.pii import op4_pii
 from cubeflow.llm.quality import op7_quality
 from cubeflow.llm.simhash import op3_simhash
 from cubeflow.llm.warc import OP5_SQL, op5_warc
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
+    "op4_pii": op4_pii,
     "op5_warc": op5_warc,
     "op6_mixing": op6_mixing,
     "op7_quality": op7_quality,
