@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from cubeflow.llm.covertree import OP8_SQL, op8_covertree
 from cubeflow.llm.lines import op9_lines
 from cubeflow.llm.minhash import op1_minhash
 from cubeflow.llm.mixing import op6_mixing
@@ -19,8 +20,10 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op6_mixing": op6_mixing,
     "op7_quality": op7_quality,
+    "op8_covertree": op8_covertree,
     "op9_lines": op9_lines,
 }
 ORACLES: dict[str, str] = {
     "op5_warc": OP5_SQL,
+    "op8_covertree": OP8_SQL,
 }
