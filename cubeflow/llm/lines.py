@@ -7,92 +7,109 @@ keys; lines within one edit share a key:
 * one word replaced: both, less that word, at the same place;
 * one word more: the shorter itself is the longer less a word.
 
-Every (key, place) class of the first kind is near in itself, and in the second kind a whole line
-is near all that shrink to it; so a class needs only its earliest line, and no pairs are made
+Every (key, position) class of the first kind is near in itself, and in the second kind a whole
+line is near all that shrink to it; so a class needs only its earliest line, and no pairs are made
 within it.  The earliest candidate's distance is then verified on the words.
 
 Before that, lines that cannot have a neighbour are set aside, without loss: an edit lies in one
 half of a line, so near lines agree exactly in a first or last half (cut where the shorter one's
-middle is), and a line whose halves nobody shares has none.
+middle is), and a line whose halves nobody shares has none.  A line whose shared half is known
+emits only the variants that lack a word of the other half.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeflow.llm.common import WORD_GAPS, broadcast_if_small, cut
+from cubeflow.llm.common import broadcast_if_small, cut
 
 #: Shorter lines are always kept: one edit in five words is a similarity of 0.8.
 LEAST_WORDS = 5
 
 
-def _words(line):
-    return F.split(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), WORD_GAPS)
+#: A document's number is its id and so many digits of a hash of its text; a place adds a line number.
+HASH_DIGITS, LINE_DIGITS = 7, 10
+
 
+def _spaced(text):
+    """The text with single spaces between words; line feeds stay."""
+    odd = F.contains(text, F.lit("  ")) | text.rlike("[\\x09\\x0B-\\x0D]")
+    return F.when(odd, F.regexp_replace(text, "[\\x20\\x09\\x0B-\\x0D]+", " ")).otherwise(text)
 
-def _text_hash():
-    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+def _n_words(line):
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
 def _document():
-    """What a document goes by: its id (null last) and, for rows that share one, its text."""
-    return F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", _text_hash().alias("text_hash"))
+    """A number for a document: by id (null after all others) and, for rows that share one, a hash of the text."""
+    tie = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(10**HASH_DIGITS)).cast("decimal(7,0)")
+    number = F.coalesce(F.col("doc_id").cast("decimal(19,0)"), F.lit(Decimal(1 << 63)))
+    return (number * F.lit(10**HASH_DIGITS).cast("decimal(8,0)") + tie).cast("decimal(27,0)")
 
 
 def numbered_lines(docs: DataFrame) -> DataFrame:
-    """(doc, n, words) of every line of at least LEAST_WORDS words."""
-    lines = F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n", "line")
-    long = docs.select(_document().alias("doc"), lines).where(F.length("line") >= 2 * LEAST_WORDS - 1)
-    return long.select("doc", "n", _words(F.col("line")).alias("words")).where(F.size("words") >= LEAST_WORDS)
+    """(place, line, n) of every line of at least LEAST_WORDS words; ``n`` counts them, place is document and line number."""
+    lines = F.posexplode(F.split(_spaced(F.coalesce("text", F.lit(""))), "\n")).alias("at", "line")
+    lines = docs.select(_document().alias("doc"), lines).select("doc", "at", F.trim("line").alias("line")).where(F.length("line") >= 2 * LEAST_WORDS - 1)
+    place = (F.col("doc") * F.lit(Decimal(10**LINE_DIGITS)).cast("decimal(11,0)") + F.col("at").cast("decimal(10,0)")).cast("decimal(38,0)")
+    return lines.select(place.alias("place"), "line", _n_words(F.col("line")).alias("n")).where(F.col("n") >= LEAST_WORDS)
 
 
-def _halves(w: str, n):
-    """Keys of the halves that an edit can leave alone, for this line as the shorter or the longer one."""
+def _head(line, n):
+    return F.substring_index(line, " ", n) if isinstance(n, int) else F.call_function("substring_index", line, F.lit(" "), n)
 
-    def pair(short, lead, tail):
-        front, back = F.slice(w, F.lit(1), lead), F.slice(w, n - tail + 1, tail)
-        return [F.xxhash64(F.lit(3), short, F.array_join(front, " ")), F.xxhash64(F.lit(4), short, F.array_join(back, " "))]
 
-    half = lambda x: F.shiftright(x, 1)
-    return F.array(*pair(n, half(n), n - half(n)), *pair(n - 1, half(n - 1), n - 1 - half(n - 1)))
+def first_lines(docs: DataFrame) -> DataFrame:
+    """(h1, h2, place, front, front1, back, back1): each distinct line, a 128-bit hash, with its earliest place.
 
+    The others are keys of the halves that an edit can leave alone, with the line as the shorter
+    or (1) the longer of two.
+    """
+    line, n = F.col("line"), F.col("n")
 
-def first_lines(docs: DataFrame) -> DataFrame:
-    """(h1, h2, place, halves): each distinct line (a 128-bit hash) with its earliest place, (document, line number)."""
-    key = F.array_join("words", " ")
-    hashed = numbered_lines(docs).select(F.xxhash64(F.lit(1), key).alias("h1"), F.xxhash64(F.lit(2), key).alias("h2"), F.struct("doc", "n").alias("place"), _halves("words", F.size("words")).alias("halves"))
-    return hashed.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.first("halves").alias("halves"))
+    def half(tag, short, count):
+        return F.xxhash64(F.lit(tag), short, _head(line, count))
+
+    m, m1 = F.shiftright(n, 1), F.shiftright(n - 1, 1)
+    keys = [half(3, n, m).alias("front"), half(3, n - 1, m1).alias("front1"), half(4, n, m - n).alias("back"), half(4, n - 1, m1 - n + 1).alias("back1")]
+    hashed = numbered_lines(docs).select(F.xxhash64(F.lit(1), line).alias("h1"), F.xxhash64(F.lit(2), line).alias("h2"), "place", *keys)
+    return hashed.groupBy("h1", "h2").agg(F.min("place").alias("place"), *[F.first(k).alias(k) for k in ("front", "front1", "back", "back1")])
 
 
 def superseded(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(h1, h2) of the distinct lines that have a near line at an earlier place."""
-    keyed = firsts.select("h1", "h2", F.explode(F.array_distinct("halves")).alias("half"))
-    shared = keyed.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half")
-    may = keyed.join(shared, "half", "left_semi").select("h1", "h2").distinct()
-    may = cut(firsts.select("h1", "h2", "place").join(may, ["h1", "h2"], "left_semi"), "line-candidates")
-
-    # the candidates' words, read again from the text: a place names one line of one document
-    named = numbered_lines(docs).select(F.struct("doc", "n").alias("place"), "words")
-    words = named.join(broadcast_if_small(may, 80), "place").groupBy("h1", "h2").agg(F.first("place").alias("place"), F.first("words").alias("words"))
-    lines = cut(words, "line-words")
-    less = F.transform(F.sequence(F.lit(1), F.size("words")), lambda i: F.struct(i.alias("at"), F.array_join(F.concat(F.slice("words", F.lit(1), i - 1), F.slice("words", i + 1, F.size("words"))), " ").alias("rest")))
-    itself = F.array(F.struct(F.lit(0).alias("at"), F.array_join("words", " ").alias("rest")))
-    variants = lines.select("h1", "h2", "place", F.explode(F.concat(itself, less)).alias("v"))
-    variants = cut(variants.select("h1", "h2", "place", "v.at", F.xxhash64(F.lit(1), "v.rest").alias("v1"), F.xxhash64(F.lit(2), "v.rest").alias("v2")), "line-variants")
-
-    low = F.min(F.struct("place", "h1", "h2")).alias("low")
-    replaced = variants.where("at > 0").groupBy("v1", "v2", "at").agg(low, F.count("*").alias("c")).where("c > 1").drop("c")
-    whole = variants.where("at = 0").groupBy("v1", "v2").agg(low)
-    shrunk = variants.where("at > 0").join(whole.select("v1", "v2"), ["v1", "v2"], "left_semi").groupBy("v1", "v2").agg(low)
-    own = variants.select("h1", "h2", "place", "at", "v1", "v2")
-    candidates = own.join(replaced, ["v1", "v2", "at"]).select("h1", "h2", "place", "low")
-    candidates = candidates.unionByName(own.where("at > 0").join(whole, ["v1", "v2"]).select("h1", "h2", "place", "low"))
-    candidates = candidates.unionByName(own.where("at = 0").join(shrunk, ["v1", "v2"]).select("h1", "h2", "place", "low"))
-    candidates = candidates.where("low.place < place").select("h1", "h2", "low.h1", "low.h2").toDF("h1", "h2", "o1", "o2").distinct()
-    mine = candidates.join(lines.select("h1", "h2", "words"), ["h1", "h2"])
-    other = lines.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("words").alias("other"))
-    return mine.join(other, ["o1", "o2"]).where(one_edit("words", "other")).select("h1", "h2").distinct()
+    """(place) of the distinct lines that have a near line at an earlier place."""
+    front = F.array(*[F.struct(F.lit(side).alias("side"), F.col(k).alias("half")) for side, k in ((1, "front"), (1, "front1"), (2, "back"), (2, "back1"))])
+    keyed = firsts.select("place", F.explode(front).alias("k")).select("place", "k.side", "k.half")
+    shared = cut(keyed.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half"), "line-halves")
+    may = keyed.join(broadcast_if_small(shared, 16), "half", "left_semi").groupBy("place").agg(F.bit_or("side").alias("sides"))
+    may = cut(may, "line-candidates")
+
+    # the candidates' words, read again from the text
+    lines = cut(numbered_lines(docs).join(broadcast_if_small(may, 40), "place").groupBy("place").agg(F.first("sides").alias("sides"), F.first("n").alias("n"), F.first("line").alias("line")), "line-words")
+    line, n, at = F.col("line"), F.col("n"), F.col("at")
+    # with the front half alike the edit lies behind it, with the back half alike before it
+    low = F.when(F.col("sides") == 1, F.shiftright(n - 1, 1) + 1).otherwise(1)
+    high = F.when(F.col("sides") == 2, F.greatest(F.shiftright(n, 1), F.shiftright(n - 1, 1) + 1)).otherwise(n)
+    rest = F.concat_ws(" ", F.nullif(_head(line, at - 1), F.lit("")), F.nullif(_head(line, at - n), F.lit("")))
+    spots = lines.select("place", "line", "n", F.explode(F.concat(F.array(F.lit(0)), F.sequence(low, high))).alias("at"))
+    spots = spots.select("place", "at", F.when(at == 0, line).otherwise(rest).alias("rest"))
+    variants = cut(spots.select("place", "at", F.xxhash64(F.lit(1), "rest").alias("v1"), F.xxhash64(F.lit(2), "rest").alias("v2")), "line-variants")
+
+    low = F.min("place").alias("low")
+    less, whole = variants.where("at > 0"), variants.where("at = 0").groupBy("v1", "v2").agg(low)
+    replaced = less.groupBy("v1", "v2", "at").agg(low, F.count("*").alias("c")).where("c > 1").drop("c")
+    shrunk = cut(less.join(whole.select("v1", "v2", F.col("low").alias("whole")), ["v1", "v2"]), "line-shrunk")
+    candidates = less.join(replaced, ["v1", "v2", "at"]).select("place", "low")
+    candidates = candidates.unionByName(shrunk.select("place", F.col("whole").alias("low")))
+    candidates = candidates.unionByName(shrunk.groupBy("whole").agg(low).select(F.col("whole").alias("place"), "low"))
+    candidates = candidates.where("low < place").distinct()
+    words = lines.select("place", F.split("line", " ").alias("words"))
+    mine = candidates.join(words, "place")
+    return mine.join(words.select(F.col("place").alias("low"), F.col("words").alias("other")), "low").where(one_edit("words", "other")).select("place").distinct()
 
 
 def one_edit(a: str, b: str):
@@ -109,8 +126,11 @@ def one_edit(a: str, b: str):
 def kept_lines(docs: DataFrame) -> DataFrame:
     """(doc, kept): the numbers of the lines of at least LEAST_WORDS words that stay, of documents that keep any."""
     firsts = cut(first_lines(docs), "line-firsts")
-    stay = firsts.join(superseded(docs, firsts), ["h1", "h2"], "left_anti")
-    return stay.groupBy(F.col("place.doc").alias("doc")).agg(F.sort_array(F.collect_list("place.n")).alias("kept"))
+    stay = firsts.join(superseded(docs, firsts), "place", "left_anti")
+    unit = F.lit(Decimal(10**LINE_DIGITS)).cast("decimal(11,0)")
+    at = F.pmod("place", unit).cast("int")
+    doc = ((F.col("place") - F.pmod("place", unit)) / unit).cast("decimal(27,0)")
+    return stay.select(doc.alias("doc"), at.alias("at")).groupBy("doc").agg(F.sort_array(F.collect_list("at")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -125,12 +145,11 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     id and text are one document and get the same result.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    kept = kept_lines(docs).select(F.col("doc.doc_id").alias("_id"), F.col("doc.text_hash").alias("_hash"), "kept")
+    kept = kept_lines(docs).withColumnRenamed("doc", "_kept_doc").withColumnRenamed("kept", "_kept")
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (_text_hash() == F.col("_hash"))
-    joined = docs.join(kept, same, "left").withColumn("_lines", lines)
-    short = lambda x: ~((F.length(x) >= 2 * LEAST_WORDS - 1) & (F.size(_words(x)) >= LEAST_WORDS))
-    stays = F.filter("_lines", lambda x, i: F.coalesce(F.array_contains("kept", i), F.lit(False)) | short(x))
+    joined = docs.withColumn("_doc", _document()).join(kept, F.col("_doc") == F.col("_kept_doc"), "left").withColumn("_lines", lines)
+    long = lambda x: (F.length(x) >= 2 * LEAST_WORDS - 1) & (_n_words(F.trim(_spaced(x))) >= LEAST_WORDS)
+    stays = F.filter("_lines", lambda x, i: F.coalesce(F.array_contains("_kept", i), F.lit(False)) | ~long(x))
     out = joined.withColumn("_stays", stays).withColumn("n_lines", F.size("_lines").cast("long")).withColumn("n_dropped", (F.size("_lines") - F.size("_stays")).cast("long"))
     out = out.where((F.col("n_dropped") == 0) | (F.length(F.btrim(F.array_join("_stays", ""))) > 0))
     out = out.withColumn("text", F.when(F.col("n_dropped") == 0, F.col("text")).otherwise(F.array_join("_stays", "\n")))
