@@ -10,6 +10,7 @@ from cubeflow.llm.packing import op2_packing
 from cubeflow.llm.pii import op4_pii
 from cubeflow.llm.quality import op7_quality
 from cubeflow.llm.simhash import op3_simhash
+from cubeflow.llm.suffixes import op10_suffixes
 from cubeflow.llm.warc import OP5_SQL, op5_warc
 
 QUERIES = {
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_quality": op7_quality,
     "op8_covertree": op8_covertree,
     "op9_lines": op9_lines,
+    "op10_suffixes": op10_suffixes,
 }
 ORACLES: dict[str, str] = {
     "op5_warc": OP5_SQL,
