@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeflow.llm.common import connected_components, cut
+from cubeflow.llm.common import broadcast_if_small, connected_components, cut
 
 BITS = 64
 RADIUS = 3
@@ -69,6 +69,18 @@ def links(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return a.join(b, ["t", "key"]).where(near).select("a", "b").distinct()
 
 
+def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = 3) -> DataFrame:
+    """(id, text_hash, simhash, component): a row for each row of ``docs``; component is a fingerprint that names its group."""
+    rows = with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), "text", shingle)
+    rows = cut(rows.select("id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "simhash"), "simhash")
+    classes = cut(rows.groupBy(F.col("simhash").alias("fp")).agg(F.min("id").alias("low")), "simhash-classes")
+    found = connected_components(links(classes, radius))
+    lows = found.join(classes, found.node == classes.fp).groupBy("component").agg(F.min("low").alias("component_id"))
+    of_class = found.join(lows, "component").select(F.col("node").alias("fp"), "component", "component_id")
+    named = classes.join(of_class, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), F.coalesce("component_id", "low").alias("component_id"))
+    return rows.join(named, rows.simhash == named.fp).drop("fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = 3) -> DataFrame:
     """(id, simhash, component_id) for every row of ``docs``.
 
@@ -77,13 +89,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     Repeated ids give a row each; a null id counts as no id (its row gets the smallest of the
     others, or null).  Equal fingerprints are one class, represented once, however large it is.
     """
-    rows = cut(with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), "text", shingle).select("id", "simhash"), "simhash")
-    classes = cut(rows.groupBy(F.col("simhash").alias("fp")).agg(F.min("id").alias("low")), "simhash-classes")
-    found = connected_components(links(classes, radius))
-    lows = found.join(classes, found.node == classes.fp).groupBy("component").agg(F.min("low").alias("component_id"))
-    of_class = found.join(lows, "component").select(F.col("node").alias("fp"), F.col("component_id"))
-    named = classes.join(of_class, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
-    return rows.join(named, rows.simhash == named.fp).select(F.col("id").alias(id_col), "simhash", "component_id")
+    return groups(docs, id_col, text, radius, shingle).select(F.col("id").alias(id_col), "simhash", "component_id")
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = 3) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: the smallest doc_id's, nulls last, then by a hash of the text."""
+    rows = cut(groups(docs, "doc_id", "text", radius, shingle), "simhash-groups")
+    rank = F.struct(F.col("id").isNull().alias("null_id"), "id", "text_hash")
+    best = rows.groupBy("component").agg(F.min(rank).alias("best"))
+    each = rows.groupBy("id", "text_hash", "component").agg(F.count("*").alias("n"))
+    marked = cut(each.join(best, "component").select("id", "text_hash", "n", (rank == F.col("best")).alias("stays")), "simhash-marked")
+    plain = lambda rows: broadcast_if_small(rows.select(F.coalesce("id", F.lit(0)).alias("_i"), F.col("id").isNull().alias("_n"), F.col("text_hash").alias("_h")), 40)
+    own = docs.withColumns({"_i": F.coalesce("doc_id", F.lit(0)), "_n": F.col("doc_id").isNull(), "_h": F.xxhash64(F.coalesce("text", F.lit("")))})
+    by = ["_i", "_n", "_h"]
+    # rows that stay once as they are, and equal rows of which one stays
+    once = own.join(plain(marked.where("not stays or n > 1")), by, "left_anti").select(*docs.columns)
+    again = own.join(plain(marked.where("stays and n > 1")), by, "left_semi")
+    again = again.groupBy(*by).agg(F.first(F.struct(*docs.columns)).alias("r")).select("r.*")
+    return once.unionByName(again)
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
