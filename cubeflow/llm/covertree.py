@@ -13,6 +13,7 @@ pairs themselves, so a dense group costs rows in proportion to its size.
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,10 +39,13 @@ SLACK = 2e-3
 class Tree:
     """Levels of a block: centres (indices of vectors), covering radii and children, down to the vectors."""
 
-    def __init__(self, vectors: np.ndarray) -> None:
+    def __init__(self, vectors: np.ndarray, built: bytes | None = None) -> None:
         self.raw = vectors.astype(np.float64)
         self.norm = np.sqrt(np.einsum("ij,ij->i", self.raw, self.raw))
         self.unit = (self.raw / self.norm[:, None]).astype(np.float32)
+        if built is not None:
+            self.levels, self.order, self.starts = pickle.loads(built)
+            return
         groups = [np.arange(len(vectors))]
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         for radius in RADII:
@@ -59,6 +63,9 @@ class Tree:
         self.order = np.concatenate(groups)
         self.starts = np.concatenate([[0], np.cumsum(self.levels[-1][3])])
 
+    def built(self) -> bytes:
+        return pickle.dumps((self.levels, self.order, self.starts))
+
     def _net(self, group: np.ndarray, radius: float) -> Iterator[tuple[int, np.ndarray, float]]:
         while len(group):
             gap = chords(self.unit[group] @ self.unit[group[0]])
@@ -94,10 +101,15 @@ def dual(a: Tree, b: Tree, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarr
     reach = math.sqrt(2 - 2 * cosine) + SLACK
     ca, ra, *_ = a.levels[0]
     cb, rb, *_ = b.levels[0]
-    for lo in range(0, len(ca), 512):
-        gap = chords(a.unit[ca[lo : lo + 512]] @ b.unit[cb].T)
-        i, j = np.nonzero(gap <= ra[lo : lo + 512, None] + rb[None, :] + reach)
-        yield from _descend(a, b, 0, i + lo, j, cosine, reach)
+    # a chord of at most r is a dot product of at least 1 - r^2 / 2; nodes of one vector share one bound
+    for of_a in (np.flatnonzero(ra == 0), np.flatnonzero(ra > 0)):
+        for of_b in (np.flatnonzero(rb == 0), np.flatnonzero(rb > 0)):
+            right = b.unit[cb[of_b]].T
+            for lo in range(0, len(of_a), 512):
+                rows = of_a[lo : lo + 512]
+                most = ra[rows, None] + rb[None, of_b] + reach if len(of_b) and (ra[rows[0]] or rb[of_b[0]]) else reach
+                i, j = np.nonzero(a.unit[ca[rows]] @ right >= 1 - most * most / 2)
+                yield from _descend(a, b, 0, rows[i], of_b[j], cosine, reach)
 
 
 def _descend(a: Tree, b: Tree, level: int, i, j, cosine: float, reach: float):
@@ -165,14 +177,15 @@ def linked_classes(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("cid")
-        return pd.DataFrame({"pivot": frame["pivot"].iloc[:1], "part": frame["part"].iloc[:1], "ids": [frame["cid"].to_numpy("<i8").tobytes()], "copies": [frame["copies"].to_numpy("<i8").tobytes()], "vectors": [np.stack(frame["embedding"]).astype(kind).tobytes()]})
+        vectors = np.stack(frame["embedding"]).astype(kind)
+        return pd.DataFrame({"pivot": frame["pivot"].iloc[:1], "part": frame["part"].iloc[:1], "ids": [frame["cid"].to_numpy("<i8").tobytes()], "copies": [frame["copies"].to_numpy("<i8").tobytes()], "vectors": [vectors.tobytes()], "tree": [Tree(vectors).built()]})
 
-    blocks = cut(members.groupBy("pivot", "part").applyInPandas(pack, "pivot long, part long, ids binary, copies binary, vectors binary"), "tree-blocks")
+    blocks = cut(members.groupBy("pivot", "part").applyInPandas(pack, "pivot long, part long, ids binary, copies binary, vectors binary, tree binary"), "tree-blocks")
     # tasks: (pivot a, part p, pivot b, part q), each unordered pair once
     tasks = pairs.join(F.broadcast(counts.toDF("a", "na")), "a").join(F.broadcast(counts.toDF("b", "nb")), "b")
     tasks = tasks.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).where("a < b or p <= q").select("a", "p", "b", "q")
-    left = blocks.select(F.col("pivot").alias("a"), F.col("part").alias("p"), F.col("ids").alias("ids_a"), F.col("copies").alias("copies_a"), F.col("vectors").alias("vectors_a"))
-    right = blocks.select(F.col("pivot").alias("b"), F.col("part").alias("q"), F.col("ids").alias("ids_b"), F.col("copies").alias("copies_b"), F.col("vectors").alias("vectors_b"))
+    left = blocks.select(F.col("pivot").alias("a"), F.col("part").alias("p"), F.col("ids").alias("ids_a"), F.col("copies").alias("copies_a"), F.col("vectors").alias("vectors_a"), F.col("tree").alias("tree_a"))
+    right = blocks.select(F.col("pivot").alias("b"), F.col("part").alias("q"), F.col("ids").alias("ids_b"), F.col("copies").alias("copies_b"), F.col("vectors").alias("vectors_b"), F.col("tree").alias("tree_b"))
     work = tasks.join(left, ["a", "p"]).join(right, ["b", "q"])
     n_tasks = sum(parts[i] * parts[j] if i < j else parts[i] * (parts[i] + 1) // 2 for i, j in near)
     work = work.repartition(max(1, min(n_tasks, 20000)))
@@ -182,8 +195,8 @@ def linked_classes(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
             for r in frame.itertuples(index=False):
                 ids_a, ids_b = np.frombuffer(r.ids_a, "<i8"), np.frombuffer(r.ids_b, "<i8")
                 same = (r.a, r.p) == (r.b, r.q)
-                tree_a = Tree(np.frombuffer(r.vectors_a, kind).reshape(len(ids_a), -1))
-                tree_b = tree_a if same else Tree(np.frombuffer(r.vectors_b, kind).reshape(len(ids_b), -1))
+                tree_a = Tree(np.frombuffer(r.vectors_a, kind).reshape(len(ids_a), -1), r.tree_a)
+                tree_b = tree_a if same else Tree(np.frombuffer(r.vectors_b, kind).reshape(len(ids_b), -1), r.tree_b)
                 yield linked(tree_a, ids_a, np.frombuffer(r.copies_a, "<i8"), tree_b, ids_b, np.frombuffer(r.copies_b, "<i8"), same, cosine)
 
     return work.mapInPandas(meet, "cid long, links long, other long")
