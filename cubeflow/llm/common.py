@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -38,6 +39,12 @@ def cut(df: DataFrame, kind: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of results that are cut and no longer referred to; else they stay until a chance collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
     """A broadcast hint if the counted rows fit in BROADCAST_BYTES; else ``df`` as it is, for a shuffle join."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df

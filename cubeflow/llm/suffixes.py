@@ -4,13 +4,15 @@ Of the suffixes of all texts only those at positions of a difference cover modul
 first: for any two positions there is a shift below V that takes both into the cover, so two equal
 strings of LENGTH bytes contain two sampled suffixes, at the same distance from their beginnings,
 that agree in their first LENGTH - V + 1 bytes.  Sorting these prefixes names them; a name held
-once rules its surroundings out, and only the windows around repeated names are taken on.
+once rules its surroundings out.  Suffixes with repeated names recur with longer names, which reach
+to both sides as far as any string that begins in one of ASPECTS ranges before them must agree, and
+only the windows around repeated long names are taken on.
 
 The remaining windows are named in turn, by their LENGTH bytes.  Runs of them are first compared
 whole: content picks anchors among the windows, and a stretch between two anchors that occurs twice
 settles all its windows, so that one occurrence speaks for its class from then on.  What is left,
 the ends of repeated runs, is merged with the classes' windows, sorted, and adjacent entries are
-compared.  Strings are named by 128 bits of polynomial hashes.  Sorting is Spark's, which spills;
+compared.  Strings are named by 96 or 128 bits of polynomial hashes.  Sorting is Spark's, which spills;
 groups of equal names stream by in sorted order, so the size of a group does not matter.
 """
 
@@ -23,13 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeflow.llm.common import broadcast_if_small, cut
+from cubeflow.llm.common import broadcast_if_small, cut, release
 
 LENGTH = 400
 #: A perfect difference set, fixed values: every residue modulo V is a difference of two.
 V = 273
 COVER = np.array([1, 2, 4, 8, 16, 32, 64, 91, 117, 128, 137, 182, 195, 205, 234, 239, 256])
 PREFIX = LENGTH - V + 1
+#: A window begins up to V - 1 bytes before a sampled position; a range of these beginnings, STEP wide,
+#: has in common the LENGTH - STEP + 1 bytes from the range's end on.
+ASPECTS, STEP = 4, 69
 #: One window in so many is an anchor.
 ANCHOR = 32
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -77,9 +82,12 @@ def sampled(n: int) -> np.ndarray:
     return x[x + PREFIX <= n]
 
 
-def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows whose key another row has too; equal keys stream by in sorted order."""
-    names = rows.columns
+def repeated(rows: DataFrame, keys: list[str], high: str | None = None) -> DataFrame:
+    """The rows whose key another row has too; equal keys stream by in sorted order.
+
+    The upper 32 bits of the long column ``high``, if given, belong to the key.
+    """
+    names, order = rows.columns, keys + [high] * bool(high)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, held_same = None, False
@@ -91,6 +99,9 @@ def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
             for k in keys:
                 x = t[k].to_numpy()
                 same &= x[1:] == x[:-1]
+            if high:
+                x = t[high].to_numpy() >> 32
+                same &= x[1:] == x[:-1]
             before = np.concatenate([[held_same], same])
             keep = before | np.concatenate([same, [False]])
             held_same = bool(before[-1])
@@ -100,7 +111,7 @@ def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
         if held is not None and held_same:
             yield held
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, rows.schema).select(*names)
+    return rows.repartition(*keys).sortWithinPartitions(*order).mapInArrow(run, rows.schema).select(*names)
 
 
 def _over_texts(frame: DataFrame, schema: str, make) -> DataFrame:
@@ -135,13 +146,24 @@ def _data(row) -> bytes:
     return row["text"].as_py().encode("utf-8", "surrogatepass")
 
 
+def _aspects(names: Names, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(name, first window, last window): what windows around sampled positions have in common, range by range."""
+    out = []
+    for k in range(ASPECTS):
+        start = at - k * STEP
+        start = start[(start >= 0) & (start + LENGTH - STEP + 1 <= names.n)]
+        out.append((names.of(start, start + LENGTH - STEP + 1) ^ np.int64(k), start - STEP + 1, start))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
 def _candidates(names: Names, keys: np.ndarray) -> np.ndarray:
-    """The windows, by start, that contain a repeated sampled prefix in the reach of the cover."""
-    at = sampled(names.n)
-    at = at[np.isin(names.of(at, at + PREFIX), keys)]
-    edge = np.zeros(names.n - LENGTH + 2, dtype=np.int64)
-    np.add.at(edge, np.maximum(at - V + 1, 0), 1)
-    np.add.at(edge, np.minimum(at + 1, names.n - LENGTH + 1), -1)
+    """The windows, by start, in the ranges whose long names are among the repeated ones."""
+    name, first, last = _aspects(names, sampled(names.n))
+    hit = np.isin(name, keys)
+    top = names.n - LENGTH
+    edge = np.zeros(top + 2, dtype=np.int64)
+    np.add.at(edge, np.clip(first[hit], 0, top + 1), 1)
+    np.add.at(edge, np.clip(last[hit] + 1, 0, top + 1), -1)
     return np.flatnonzero(np.cumsum(edge[:-1]) > 0)
 
 
@@ -166,12 +188,25 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
         at = sampled(names.n)
         return names.of(at, at + PREFIX), np.full(len(at), row["h"].as_py())
 
-    names = repeated(_over_texts(texts, "key long, h long", sample), ["key"])
-    by_text = cut(names.groupBy("h").agg(F.collect_set("key").alias("keys")), "suffix-names")
-    own = texts.join(broadcast_if_small(by_text.select("h"), 8), "h", "left_semi")
-    held = cut(own.join(by_text, "h").select("h", "text", "keys"), "suffix-texts")
+    def recur(row):
+        names = Names(_data(row), both=False)
+        at = sampled(names.n)
+        name, *_ = _aspects(names, at[np.isin(names.of(at, at + PREFIX), keys_of(row))])
+        return name, np.full(len(name), row["h"].as_py())
+
+    spark = texts.sparkSession
     keys_of = lambda row: row["keys"].values.to_numpy()
 
+    def with_keys(frame: DataFrame, make, kind: str) -> DataFrame:
+        """The texts that have repeated names, with these."""
+        by_text = repeated(_over_texts(frame, "key long, h long", make), ["key"]).groupBy("h").agg(F.collect_set("key").alias("keys"))
+        by_text = cut(by_text, kind)
+        release(spark)
+        own = texts.join(broadcast_if_small(by_text.select("h"), 8), "h", "left_semi")
+        return own.join(by_text, "h").select("h", "text", "keys")
+
+    held = cut(with_keys(with_keys(texts, sample, "suffix-names"), recur, "suffix-long-names"), "suffix-texts")
+    release(spark)
     def stretch(row):
         names = Names(_data(row))
         first, last = _stretches(names, _candidates(names, keys_of(row)))
@@ -193,10 +228,13 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
             np.add.at(marks, e[:, 1] + 1, -1)
         done, said = np.cumsum(done)[windows] > 0, np.cumsum(said)[windows] > 0
         windows, done = windows[~done | said], done[~done | said]
-        return names.of(windows, windows + LENGTH), names.of(windows, windows + LENGTH, 1), np.where(done, 0, row["h"].as_py()), np.where(done, -1, windows).astype(np.int32)
+        second = names.of(windows, windows + LENGTH, 1) & ~np.int64(0xFFFFFFFF)
+        return names.of(windows, windows + LENGTH), second | np.where(done, 0xFFFFFFFF, windows), np.where(done, 0, row["h"].as_py())
 
-    rest = _over_texts(held.join(settled, "h", "left"), "k1 long, k2 long, h long, at int", window)
-    ends = repeated(rest, ["k1", "k2"]).where("at >= 0").groupBy("h").agg(F.collect_list("at").alias("ends"))
+    release(spark)
+    rest = _over_texts(held.join(settled, "h", "left"), "k1 long, k2at long, h long", window)
+    ends = repeated(rest, ["k1"], "k2at").select("h", F.col("k2at").bitwiseAND(F.lit(0xFFFFFFFF)).alias("at"))
+    ends = ends.where(F.col("at") != 0xFFFFFFFF).groupBy("h").agg(F.collect_list("at").alias("ends"))
     joined = settled.join(ends, "h", "full")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
