@@ -25,7 +25,7 @@ BLOCK_WORDS = 256
 SHARD_SLOTS = 65536
 SEED = 20240601
 #: Rows of one source are summed in runs of about so many.
-RUN_ROWS = 4096
+RUN_ROWS = 512
 
 
 class Permutation:
@@ -134,7 +134,8 @@ def uses(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOS
     first = F.col("block") * block
     laid = laid.withColumn("start", F.greatest("at", first) - F.col("at")).withColumn("stop", F.least(F.col("at") + F.col("size"), first + block) - F.col("at"))
     used = slots.groupBy("key", "block").agg(F.sum(F.when(F.col("take").isNull(), 1).otherwise(0)).alias("full"), F.max("take").alias("take"))
-    joined = laid.join(used, ["key", "block"], "left")
+    # the planner knows no size for what Python makes and would broadcast the slots, which grow with the data
+    joined = laid.join(used.hint("merge"), ["key", "block"], "left")
     part = F.greatest(F.col("start"), F.least(F.col("stop"), first + F.col("take") - F.col("at")))
     return joined.select("doc_id", "source", "size", "source_size", "target", "at", "start", "stop", F.coalesce("full", F.lit(0)).alias("full"), F.when(F.col("take").isNotNull(), part).alias("part"))
 
