@@ -39,7 +39,12 @@ def from_bool(v: Column) -> Column:
 def saturate(v: Column, fmt: str) -> Column:
     """Integer to integer: what is out of range takes the bound."""
     low, high = INT_RANGE[fmt]
-    return F.least(F.greatest(v, F.lit(low)), F.lit(high))
+    return _clamp(v, low, high)
+
+
+def _clamp(v: Column, low, high) -> Column:
+    """Null stays null: least and greatest alone would pass over it."""
+    return F.when(v.isNotNull(), F.least(F.greatest(v, F.lit(low)), F.lit(high)))
 
 
 def round_half_up(v: Column) -> Column:
@@ -50,7 +55,7 @@ def round_half_up(v: Column) -> Column:
 def float_to_int(v: Column, fmt: str) -> Column:
     """Saturating, then rounded half up; null stays null."""
     low, high = INT_RANGE[fmt]
-    return round_half_up(F.least(F.greatest(v, F.lit(float(low))), F.lit(float(high)))).cast("long")
+    return round_half_up(_clamp(v, float(low), float(high))).cast("long")
 
 
 def levels(fmt: str, use_novalue: bool) -> int:
@@ -64,7 +69,7 @@ def quantize(v: Column, fmt: str, range_min: float, range_max: float, use_novalu
     """Real to level: scaled over the range, clamped, rounded half up; null becomes the format's NoValue."""
     top = levels(fmt, use_novalue)
     scale = (range_max - range_min) / top or 1.0
-    x = F.least(F.greatest((v - range_min) * (1.0 / scale), F.lit(0.0)), F.lit(float(top)))
+    x = _clamp((v - range_min) * (1.0 / scale), 0.0, float(top))
     q = F.floor(x + 0.5).cast("long")
     return F.coalesce(q, F.lit(LEVELS[fmt] - 1)) if use_novalue else q
 

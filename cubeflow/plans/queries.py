@@ -119,7 +119,7 @@ RANGE = (900.0, 105000.0)
 
 def _quantized_sql(top: int, sentinel: int) -> str:
     scale = (RANGE[1] - RANGE[0]) / top
-    return f"WITH {LIN_SQL}, {_GRID_SQL} SELECT d0, d1, d2, coalesce(CAST(floor(least(greatest((value - 900.0::DOUBLE) * {1.0 / scale!r}::DOUBLE, 0.0::DOUBLE), {top}.0::DOUBLE) + 0.5::DOUBLE) AS BIGINT), {sentinel}) AS value FROM grid LEFT JOIN lin USING (d0, d1, d2)"
+    return f"WITH {LIN_SQL}, {_GRID_SQL} SELECT d0, d1, d2, coalesce(CASE WHEN value IS NOT NULL THEN CAST(floor(least(greatest((value - 900.0::DOUBLE) * {1.0 / scale!r}::DOUBLE, 0.0::DOUBLE), {top}.0::DOUBLE) + 0.5::DOUBLE) AS BIGINT) END, {sentinel}) AS value FROM grid LEFT JOIN lin USING (d0, d1, d2)"
 
 
 def _quantized(spark, sf, fmt):
