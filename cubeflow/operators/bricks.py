@@ -39,8 +39,8 @@ def to_bricks(voxels: DataFrame, grid: Grid) -> DataFrame:
     return bricks.select("chunk", *names, F.when(~constant, at).alias("at"), F.when(~constant, values).alias("values"), "n", "lo", "hi", F.when(constant, F.col("lo")).alias("const_value"), F.xxhash64(at, values).alias("hash"))
 
 
-def from_bricks(bricks: DataFrame, grid: Grid) -> DataFrame:
-    """The voxel view of bricks; NoValue has no rows."""
+def from_bricks(bricks: DataFrame, grid: Grid, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The voxel view of bricks, with the columns ``keep`` of each brick; NoValue has no rows."""
     names = [f"b{d}" for d in range(len(grid.shape))]
     sizes = [grid.size(d) for d in range(len(grid.shape))]
     total = 1
@@ -48,12 +48,12 @@ def from_bricks(bricks: DataFrame, grid: Grid) -> DataFrame:
         total *= s
     whole = F.sequence(F.lit(0), F.lit(total - 1))
     cells = F.when(F.col("const_value").isNull(), F.arrays_zip("at", "values")).otherwise(F.transform(whole, lambda i: F.struct(i.alias("at"), F.col("const_value").alias("values"))))
-    rows = bricks.select(*names, F.explode(cells).alias("c"))
+    rows = bricks.select(*keep, *names, F.explode(cells).alias("c"))
     rest, cols = F.col("c.at").cast("long"), []
     for d, s in enumerate(sizes):
         cols.append((F.col(f"b{d}").cast("long") * s + rest % s).alias(f"d{d}"))
         rest = F.floor(rest / F.lit(s))
-    out = rows.select(*cols, F.col("c.values").alias("value"))
+    out = rows.select(*keep, *cols, F.col("c.values").alias("value"))
     return out.where(in_region((0,) * len(sizes), grid.shape))  # constant bricks at the end of the volume are cut to it
 
 

@@ -10,10 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cubeflow.descriptor import Axis, Channel, Descriptor, Layout, MetadataItem
 from cubeflow.functions import convert, coords
+from cubeflow.functions.index import Indexer
 from cubeflow.operators import bricks, interp, stats, subset
 from cubeflow.plans import volumes as V
 from cubeflow.plans.grid import Grid, chunk_grid
+from cubeflow.sources import segy
+from cubeflow.sources import volume as vol
+from cubeflow.sources.paths import work_path
+from cubeflow.streaming.ingest import BrickIngest
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -460,3 +466,151 @@ def offset_sorted_dedup(spark, sf):
 @query(f"WITH {EVT_SQL}, t AS (SELECT DISTINCT d1 FROM evt), g AS (SELECT d1, i AS d0 FROM t, range(720) r(i)) SELECT d0, d1, value FROM g LEFT JOIN evt USING (d0, d1)")
 def trace_view(spark, sf):
     return subset.from_traces(subset.to_traces(V.evt(spark, sf), 720)).select("d0", "d1", "value")
+
+
+_OFF = f"{_HDR}, o AS (SELECT pkey, skey * 10 AS off, row_number() OVER (PARTITION BY pkey ORDER BY skey, off, part, price, qty) - 1 AS i, count(*) OVER (PARTITION BY pkey) AS n FROM hdr), f AS (SELECT max(n) AS fold FROM o), l AS (SELECT off, row_number() OVER (ORDER BY off) - 1 AS w FROM (SELECT DISTINCT off FROM o))"
+
+
+@query(f"WITH {_OFF}, s AS (SELECT pkey, off, i, n, max(w - i) OVER (PARTITION BY pkey ORDER BY i ROWS UNBOUNDED PRECEDING) AS m FROM o JOIN l USING (off)) SELECT pkey, off, i AS trace, i + least(fold - n, greatest(0, m)) AS slot FROM s, f")
+def gather_respacing(spark, sf):
+    w = Window.partitionBy("pkey").orderBy("skey", "off", "part", "price", "qty")
+    t = V.hdr(spark, sf).withColumn("trace", (F.row_number().over(w) - 1).cast("long")).select("pkey", (F.col("skey") * 10).alias("offset"), "trace")
+    fold = t.groupBy("pkey").count().agg(F.max("count")).first()[0]
+    offsets = t.select("offset").distinct().withColumn("place", F.row_number().over(Window.orderBy("offset")) - 1)
+    return segy.respaced(t, fold, offsets, keys=("pkey",)).select("pkey", F.col("offset").alias("off"), "trace", "slot")
+
+
+# --- trace files ---
+
+
+def _emb_traces(spark, sf):
+    """A trace for each embedding, ten to an inline."""
+    t = V.read(spark, sf, "embeddings")
+    i, x = F.floor(F.col("vec_id") / 10), F.col("vec_id") % 10
+    fields = {"inlinenumber": i, "crosslinenumber": x, "offset": -i, "coordinatescale": F.lit(-100), "ensemblex": F.col("vec_id") * 250, "ensembley": F.lit(-50), "mutestart": x - 5}
+    return t.select(F.col("vec_id").alias("trace"), segy.header_column(fields).alias("header"), F.col("embedding").alias("samples"))
+
+
+_FIELDS = "CAST(vec_id // 10 AS BIGINT) AS inline_no, CAST(vec_id % 10 AS BIGINT) AS crossline_no, CAST(-(vec_id // 10) AS BIGINT) AS offset_no, vec_id % 10 - 5 AS mute"
+
+
+@query(f"SELECT vec_id AS trace, {_FIELDS}, vec_id * 2.5::DOUBLE AS x, -0.5::DOUBLE AS y FROM embeddings")
+def segy_header_fields(spark, sf):
+    get = lambda name: segy.header_field(F.col("header"), *segy.TRACE_FIELDS[name])
+    scale = stats.coordinate_scale(get("coordinatescale"))
+    return _emb_traces(spark, sf).select("trace", get("inlinenumber").alias("inline_no"), get("crosslinenumber").alias("crossline_no"), get("offset").alias("offset_no"), get("mutestart").alias("mute"), (get("ensemblex") * scale).alias("x"), (get("ensembley") * scale).alias("y"))
+
+
+@query("SELECT i - 1 AS d0, vec_id % 10 AS d1, vec_id // 10 AS d2, CAST(embedding[i] AS DOUBLE) AS value FROM embeddings, range(1, 65) r(i)")
+def segy_roundtrip(spark, sf):
+    """Written as a file of IEEE samples, scanned, placed by its keys and read back as a volume."""
+    path = f"{work_path(spark, 'segy')}.segy"
+    segy.write_traces(_emb_traces(spark, sf), path, format=5, interval=4000, text="C01 EMBEDDINGS")
+    _, voxels, _ = segy.imported(spark, path, segy.ImportOptions(brick_log2=5, ignore_warnings=True))
+    return voxels.select("d0", "d1", "d2", F.col("value").cast("double").alias("value"))
+
+
+_BITS = "b AS (SELECT l_orderkey AS k, l_linenumber AS n, (l_orderkey * 2654435761 + l_linenumber * 40503 + l_partkey) % 4294967296 AS bits FROM lineitem)"
+
+
+@query(f"WITH {_BITS}, m AS (SELECT *, CAST(bits & 16777215 AS DOUBLE) AS mant, (bits >> 24) & 127 AS ex, bits >> 31 AS neg FROM b WHERE ((bits >> 24) & 127) BETWEEN 56 AND 72) SELECT DISTINCT bits, CASE WHEN neg = 1 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END * mant * pow(2.0::DOUBLE, 4.0::DOUBLE * (ex - 64) - 24.0::DOUBLE) AS value FROM m")
+def ibm_float(spark, sf):
+    bits = F.pmod(F.col("l_orderkey") * 2654435761 + F.col("l_linenumber") * 40503 + F.col("l_partkey"), F.lit(1 << 32))
+    b = V.read(spark, sf, "lineitem").select(bits.alias("bits")).where(F.shiftright("bits", 24).bitwiseAND(F.lit(127)).between(56, 72)).distinct()
+    return b.select("bits", segy.ibm_column(F.col("bits")).alias("value"))
+
+
+@query("SELECT vec_id % 10 AS secondary, vec_id // 10 AS segment_key, 10::BIGINT AS n FROM embeddings WHERE vec_id % 10 = 0")
+def segy_segments(spark, sf):
+    headers = segy.trace_headers(_emb_traces(spark, sf), segy.ImportOptions())
+    segs = segy.scan_segments(headers, run=64)
+    return segs.select((F.col("first_trace") % 10).alias("secondary"), F.col("primary").alias("segment_key"), "n")
+
+
+# --- datasets ---
+
+
+def _dataset(spark, sf) -> vol.Volume:
+    axes = tuple(Axis(n, name, "m", 0, n - 1) for n, name in zip(V.LIN_SHAPE, ("Sample", "Crossline", "Inline")))
+    d = Descriptor(axes, (Channel("Amplitude", "R64", range_min=RANGE[0], range_max=RANGE[1], use_novalue=True, novalue=-999.25),), Layout(brick_log2=5, lods=2))
+    items = [MetadataItem("SurveyCoordinateSystem", "Origin", "DoubleVector2", (1.0, 2.0)), MetadataItem("Import", "Name", "String", "lineitem")]
+    v = vol.Volume.create(spark, work_path(spark, "volume"), d, items)
+    v.write(V.lin(spark, sf))
+    return v
+
+
+@query(f"WITH {LIN_SQL} SELECT d0 - 5 AS d0, d1 - 2 AS d1, d2 - 7 AS d2, value FROM lin WHERE {IN_SQL}")
+def dataset_subset(spark, sf):
+    """Created, written, opened again and read through the brick pruning of the request API."""
+    return vol.Volume.open(spark, _dataset(spark, sf).path).subset(LOW, HIGH)
+
+
+@query(f"WITH {LIN_SQL}, {_LOD1}, {_next('lod1', 'lod2')} SELECT d0 - 1 AS d0, d1, d2 - 1 AS d2, value FROM lod2 WHERE d0 >= 1 AND d0 < 11 AND d1 < 2 AND d2 >= 1 AND d2 < 6")
+def dataset_subset_lod(spark, sf):
+    return _dataset(spark, sf).subset(LOW, HIGH, lod=2).select("d0", "d1", "d2", "value")
+
+
+@query(ORACLES["samples_linear"])
+def dataset_samples(spark, sf):
+    return _value_out(_dataset(spark, sf).samples(_positions(spark), method="linear"))
+
+
+@query(ORACLES["project_plane"])
+def dataset_project(spark, sf):
+    return _value_out(_dataset(spark, sf).project(PLANE, 2, LOW, HIGH))
+
+
+@query(ORACLES["subset_3d"])
+def dataset_copy(spark, sf):
+    """Copied with other bricks, then read whole and cut."""
+    copy = _dataset(spark, sf).copy_to(work_path(spark, "copy"), layout={"brick_log2": 6, "lods": 0})
+    return subset.subset(copy.voxels(), LOW, HIGH).select("d0", "d1", "d2", "value")
+
+
+@query(f"WITH {LIN_SQL} SELECT 'Amplitude' AS channel, '012' AS dims, 0 AS lod, 'Normal' AS status, 2::BIGINT AS chunks, 2::BIGINT AS valid_chunks, count(*) AS samples FROM lin")
+def dataset_layers(spark, sf):
+    return _dataset(spark, sf).layers().where("lod = 0").select("channel", "dims", "lod", "status", "chunks", "valid_chunks", "samples")
+
+
+_META = "m(category, name, type, number) AS (VALUES ('Trace', 'fold', 'Int', 3), ('Trace', 'step', 'Int', 5), ('Import', 'fold', 'Int', 7), ('Import', 'code', 'Int', 9))"
+_META2 = "m2(category, name, type, number) AS (VALUES ('Trace', 'fold', 'Int', 30), ('Trace', 'new', 'Int', 40), ('Other', 'x', 'Int', 50))"
+
+
+def _meta(spark, rows):
+    return vol.metadata_frame(spark, [MetadataItem(c, n, "Int", v) for c, n, v in rows])
+
+
+def _first(spark):
+    return _meta(spark, [("Trace", "fold", 3), ("Trace", "step", 5), ("Import", "fold", 7), ("Import", "code", 9)])
+
+
+@query(f"WITH {_META} SELECT category, name, type, number FROM m WHERE category = 'Trace'")
+def metadata_select(spark, sf):
+    return vol.select_metadata(_first(spark), "Trace").select("category", "name", "type", F.col("int_v")[0].alias("number"))
+
+
+@query(f"WITH {_META}, {_META2}, c AS (SELECT * FROM m2 WHERE category = 'Trace' UNION ALL SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM m2 WHERE m2.category = 'Trace' AND m2.category = m.category AND m2.name = m.name)) SELECT * FROM c WHERE NOT (category = 'Import' AND name = 'code')")
+def metadata_copy_clear(spark, sf):
+    other = _meta(spark, [("Trace", "fold", 30), ("Trace", "new", 40), ("Other", "x", 50)])
+    out = vol.clear_metadata(vol.copy_metadata(_first(spark), other, "Trace"), "Import", "code")
+    return out.select("category", "name", "type", F.col("int_v")[0].alias("number"))
+
+
+@query(f"WITH {LIN_SQL} SELECT d0, d1, d2, d0 - 14 AS l0, d1 AS l1, d2 AS l2, (d0 - 14) + d1 * 11 + d2 * 110 AS at, d0 >= 16 AND d0 < 24 AND d1 < 8 AND d2 < 8 AS inside FROM lin WHERE d0 >= 14 AND d0 < 25 AND d1 < 9 AND d2 < 9")
+def index_algebra(spark, sf):
+    x = Indexer(Grid(V.LIN_SHAPE, (0, 1, 2), 8, neg_margin=2, pos_margin=1), 2)
+    voxel = [F.col(f"d{d}") for d in range(3)]
+    local = x.voxel_to_local(voxel)
+    rows = V.lin(spark, sf).where(x.local_in_process_area(local))
+    return rows.select("d0", "d1", "d2", *[c.alias(f"l{d}") for d, c in enumerate(local)], (local[0] + local[1] * 11 + local[2] * 110).alias("at"), x.voxel_in_process_area(voxel).alias("inside"))
+
+
+@query("SELECT CAST(l_quantity AS BIGINT) - 1 AS d0, l_suppkey % 10 AS d1, l_partkey % 30 AS d2, max(l_extendedprice) AS value FROM lineitem GROUP BY 1, 2, 3")
+def stream_ingest(spark, sf):
+    """A stream of line items into bricks, micro-batch by micro-batch, read back merged."""
+    static = V.read(spark, sf, "lineitem")
+    stream = spark.readStream.schema(static.schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf)
+    cell = [(F.col("l_quantity").cast("long") - 1).alias("d0"), (F.col("l_suppkey") % 10).alias("d1"), (F.col("l_partkey") % 30).alias("d2"), F.col("l_extendedprice").alias("value")]
+    sink = BrickIngest(spark, work_path(spark, "stream"), GRID)
+    sink.start(stream.select(*cell), availableNow=True).awaitTermination()
+    return sink.voxels()

@@ -120,6 +120,18 @@ def pack_field(header: bytearray, name: str, value: int, little: bool = False) -
     struct.pack_into(("<" if little else ">") + {2: "h", 4: "i"}[width], header, position - 1, value)
 
 
+def header_column(fields: dict[str, Column]) -> Column:
+    """A 240-byte big-endian trace header, made in the JVM, with the named fields set and the rest zero."""
+    parts, at = [], 1
+    for name, value in sorted(fields.items(), key=lambda f: TRACE_FIELDS[f[0]][0]):
+        position, width = TRACE_FIELDS[name]
+        if position < at:
+            raise InvalidArgument(f"field {name} overlaps the one before it")
+        parts += [F.lit("00" * (position - at)), F.lpad(F.hex(F.pmod(value.cast("long"), F.lit(1 << 8 * width))), 2 * width, "0")]
+        at = position + width
+    return F.unhex(F.concat(*parts, F.lit("00" * (TRACE_HEADER_BYTES + 1 - at))))
+
+
 def parse_mapping(entries: list[str] | dict[str, object]) -> dict[str, tuple[int, int]]:
     """Trace fields with changes: "name=byte:width" arguments or a JSON-like dict; aliases are understood."""
     out = dict(TRACE_FIELDS)
