@@ -51,6 +51,12 @@ def _document():
     return (number * F.lit(10**HASH_DIGITS).cast("decimal(8,0)") + tie).cast("decimal(27,0)")
 
 
+def _document_of(place: str):
+    """The document's number in a place."""
+    unit = F.lit(Decimal(10**LINE_DIGITS)).cast("decimal(11,0)")
+    return ((F.col(place) - F.pmod(place, unit)) / unit).cast("decimal(27,0)")
+
+
 def numbered_lines(docs: DataFrame) -> DataFrame:
     """(place, line, n) of every line of at least LEAST_WORDS words; ``n`` counts them, place is document and line number."""
     lines = F.posexplode(F.split(_spaced(F.coalesce("text", F.lit(""))), "\n")).alias("at", "line")
@@ -88,8 +94,10 @@ def superseded(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     may = keyed.join(broadcast_if_small(shared, 16), "half", "left_semi").groupBy("place").agg(F.bit_or("side").alias("sides"))
     may = cut(may, "line-candidates")
 
-    # the candidates' words, read again from the text
-    lines = cut(numbered_lines(docs).join(broadcast_if_small(may, 40), "place").groupBy("place").agg(F.first("sides").alias("sides"), F.first("n").alias("n"), F.first("line").alias("line")), "line-words")
+    # the candidates' words, read again from the texts of the documents that have any
+    own = may.select(_document_of("place").alias("_own")).distinct()
+    some = docs.withColumn("_doc", _document()).join(broadcast_if_small(own, 24), F.col("_doc") == F.col("_own"), "left_semi").drop("_doc")
+    lines = cut(numbered_lines(some).join(broadcast_if_small(may, 40), "place").groupBy("place").agg(F.first("sides").alias("sides"), F.first("n").alias("n"), F.first("line").alias("line")), "line-words")
     line, n, at = F.col("line"), F.col("n"), F.col("at")
     # with the front half alike the edit lies behind it, with the back half alike before it
     low = F.when(F.col("sides") == 1, F.shiftright(n - 1, 1) + 1).otherwise(1)
@@ -127,10 +135,8 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     """(doc, kept): the numbers of the lines of at least LEAST_WORDS words that stay, of documents that keep any."""
     firsts = cut(first_lines(docs), "line-firsts")
     stay = firsts.join(superseded(docs, firsts), "place", "left_anti")
-    unit = F.lit(Decimal(10**LINE_DIGITS)).cast("decimal(11,0)")
-    at = F.pmod("place", unit).cast("int")
-    doc = ((F.col("place") - F.pmod("place", unit)) / unit).cast("decimal(27,0)")
-    return stay.select(doc.alias("doc"), at.alias("at")).groupBy("doc").agg(F.sort_array(F.collect_list("at")).alias("kept"))
+    at = F.pmod("place", F.lit(Decimal(10**LINE_DIGITS)).cast("decimal(11,0)")).cast("int")
+    return stay.select(_document_of("place").alias("doc"), at.alias("at")).groupBy("doc").agg(F.sort_array(F.collect_list("at")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
