@@ -551,6 +551,58 @@ def exported(voxels: DataFrame, trace_table: DataFrame, path: str, n_samples: in
     write_traces(rows.select(number.alias("trace"), "header", samples.alias("samples")), path, format=fmt, interval=interval, text=text, endianness="little" if little else "big")
 
 
+def ensemble_index(headers: DataFrame, key: str = "primary") -> DataFrame:
+    """(key, place): the ensembles of a line in ascending order, numbered from 0."""
+    keys = headers.select(key).distinct()  # an entry an ensemble
+    return keys.withColumn("place", (F.row_number().over(Window.orderBy(key)) - 1).cast("long"))
+
+
+def line_information(headers: DataFrame) -> DataFrame:
+    """One row for a 2-D line: positions array<struct<x, y>>, ensemble_numbers and traces, in ensemble order.
+
+    An ensemble's position is that of its first trace.  A line has at most a million ensembles, as
+    an axis has; they become metadata of one dataset.
+    """
+    one = headers.groupBy("primary").agg(F.min_by(F.struct("x", "y"), "trace").alias("position"), F.count("*").alias("n"))
+    ordered = F.sort_array(F.collect_list(F.struct("primary", "position", "n")))
+    return one.agg(ordered.alias("o")).select(F.col("o.position").alias("positions"), F.col("o.primary").alias("ensemble_numbers"), F.col("o.n").alias("traces"))
+
+
+def provenance(path: str, info: FileInfo, options: ImportOptions) -> list:
+    """Metadata items that say where imported data came from."""
+    from cubeflow.descriptor import MetadataItem
+
+    items = [("InputFileName", path), ("InputFileSize", str(FIRST_TRACE + info.traces * info.trace_bytes)), ("SurveyType", options.survey_type), ("PrimaryKey", options.primary_key), ("SecondaryKey", options.secondary_key)]
+    out = [MetadataItem("ImportInformation", name, "String", value) for name, value in items]
+    out.append(MetadataItem("SEGY", "TextHeader", "BLOB", write_text_header([info.text[k : k + 80] for k in range(0, len(info.text), 80)])))
+    if options.crs_wkt:
+        out.append(MetadataItem("SurveyCoordinateSystem", "CRSWkt", "String", options.crs_wkt))
+    return out
+
+
+def import_volume(spark: SparkSession, path: str, target: str, options: ImportOptions):
+    """Imports a file into a new volume at ``target``: samples with levels of detail, trace channels and metadata."""
+    from cubeflow.sources.volume import Volume
+
+    d, voxels, table = imported(spark, path, options)
+    out = Volume.create(spark, target, d, provenance(path, file_info(path, options.little), options))
+    out.write(voxels)
+    dims = [f"d{k}" for k in range(1, d.dimensionality)]
+    out.write_traces(table.select(*dims, F.array("flag").alias("values")), "Trace")
+    out.write_traces(table.select(*dims, F.col("header").alias("values")), "SEGYTraceHeader")
+    for name, columns in (("Offset", ("offset",)), ("Azimuth", ("azimuth",)), ("Mute", ("mute_start", "mute_end"))):
+        if d.is_channel_available(name):
+            out.write_traces(table.select(*dims, F.array(*columns).alias("values")), name)
+    return out
+
+
+def export_volume(volume, path: str, fmt: int = 5, interval: int = 4000, text: str = "") -> None:
+    """Exports a volume that has the trace channels of an import."""
+    dims = [f"d{k}" for k in range(1, volume.descriptor.dimensionality)]
+    table = volume.traces_of("SEGYTraceHeader").withColumnRenamed("values", "header").join(volume.traces_of("Trace").select(*dims, F.col("values")[0].alias("flag")), dims)
+    exported(volume.voxels(), table, path, volume.descriptor.shape[0], fmt, interval, text)
+
+
 def quantized_override(value: Column, fmt: str, low: float, high: float) -> Column:
     """A float trace as levels of a quantised format over a range."""
     return convert.quantize(value, fmt, low, high)

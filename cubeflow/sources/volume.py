@@ -468,6 +468,14 @@ def from_numpy(spark: SparkSession, array) -> DataFrame:
     return frame.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
 
 
+def from_npz(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
+    """The voxel view of an array in a .npy or .npz file (its first one, if not named) that the driver can open."""
+    import numpy as np
+
+    data = np.load(path)
+    return from_numpy(spark, data if isinstance(data, np.ndarray) else data[name or data.files[0]])
+
+
 def to_numpy(df: DataFrame, shape: tuple[int, ...], novalue: float = math.nan):
     """A (small) result as an array whose last axis is dimension 0."""
     import numpy as np

@@ -160,3 +160,25 @@ def test_several_files(spark, tmp_path):
     assert both.count() == 30 and both.select("trace").distinct().count() == 30
     infos = [segy.file_info(str(tmp_path / f"{n}.segy")) for n in "ab"]
     assert segy.merged(infos).traces == 30
+
+
+def test_volume_import_export_and_line_information(spark, tmp_path):
+    path = tmp_path / "a.segy"
+    make(spark, path, fold=2)
+    v = segy.import_volume(spark, str(path), str(tmp_path / "v"), segy.ImportOptions(prestack=True, mute=True, azimuth=True, brick_log2=5, crs_wkt="LOCAL"))
+    assert v.descriptor.shape == (20, 2, 5, 4) and v.metadata("ImportInformation", "SurveyType").first().string_v == "Prestack"
+    assert {tuple(r["values"]) for r in v.traces_of("Mute").collect()} == {(5, -3)} and v.traces_of("Offset").count() == 40
+    segy.export_volume(v, str(tmp_path / "b.segy"))
+    assert (tmp_path / "a.segy").read_bytes()[3600:] == (tmp_path / "b.segy").read_bytes()[3600:]
+    headers = segy.trace_headers(segy.read_traces(spark, str(path), headersOnly="true"), segy.ImportOptions())
+    line = segy.line_information(headers).first()
+    assert line.ensemble_numbers == [100, 102, 104, 106] and line.traces == [10] * 4 and [p.x for p in line.positions] == pytest.approx([100, 102.5, 105, 107.5])
+    assert {(r.primary, r.place) for r in segy.ensemble_index(headers).collect()} == {(100, 0), (102, 1), (104, 2), (106, 3)}
+
+
+def test_npz(spark, tmp_path):
+    from cubeflow.sources.volume import from_npz, to_numpy
+
+    a = np.arange(24.0).reshape(2, 3, 4)
+    np.savez(tmp_path / "a.npz", v=a)
+    assert np.array_equal(to_numpy(from_npz(spark, str(tmp_path / "a.npz")), (4, 3, 2)), a)
