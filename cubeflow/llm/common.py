@@ -15,6 +15,17 @@ WORD_GAPS = "[\\x20\\x09-\\x0D]+"
 BROADCAST_BYTES = 32 << 20
 
 
+#: Largest Arrow batch that is sent to Python.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of texts for Python are bounded by bytes: rows alone, as they can be long, bound nothing."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(name).rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

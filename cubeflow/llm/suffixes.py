@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeflow.llm.common import broadcast_if_small, cut, release
+from cubeflow.llm.common import broadcast_if_small, cut, release, small_batches
 
 LENGTH = 400
 #: A perfect difference set, fixed values: every residue modulo V is a difference of two.
@@ -142,6 +142,14 @@ def _over_texts(frame: DataFrame, schema: str, make) -> DataFrame:
     return frame.mapInArrow(run, schema)
 
 
+def _twice(keys: np.ndarray) -> np.ndarray:
+    """Indices of the first two of each key: enough to tell that it repeats, however repetitive a text is."""
+    order = np.argsort(keys, kind="stable")
+    new = np.concatenate([[True], keys[order[1:]] != keys[order[:-1]]]) if len(keys) else np.empty(0, dtype=bool)
+    first = np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))
+    return np.sort(order[np.arange(len(keys)) - first < 2])
+
+
 def _data(row) -> bytes:
     return row["text"].as_py().encode("utf-8", "surrogatepass")
 
@@ -181,17 +189,21 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
 
     ``spans`` is an array of flat pairs (first window, last window), all of whose windows are such.
     """
+    small_batches(texts.sparkSession)
     texts = texts.where(F.octet_length("text") >= LENGTH)
 
     def sample(row):
         names = Names(_data(row), both=False)
         at = sampled(names.n)
-        return names.of(at, at + PREFIX), np.full(len(at), row["h"].as_py())
+        name = names.of(at, at + PREFIX)
+        name = name[_twice(name)]
+        return name, np.full(len(name), row["h"].as_py())
 
     def recur(row):
         names = Names(_data(row), both=False)
         at = sampled(names.n)
         name, *_ = _aspects(names, at[np.isin(names.of(at, at + PREFIX), keys_of(row))])
+        name = name[_twice(name)]
         return name, np.full(len(name), row["h"].as_py())
 
     spark = texts.sparkSession
@@ -210,11 +222,27 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     def stretch(row):
         names = Names(_data(row))
         first, last = _stretches(names, _candidates(names, keys_of(row)))
-        return names.of(first, last + LENGTH), names.of(first, last + LENGTH, 1), np.full(len(first), row["h"].as_py()), first, last
+        k1, k2 = names.of(first, last + LENGTH), names.of(first, last + LENGTH, 1)
+        two = _twice(k1)
+        return k1[two], k2[two], np.full(len(two), row["h"].as_py()), first[two], last[two]
+
+    def repetitive(row):
+        """Spans of what a text itself holds over twice, which the first two stretches do not settle."""
+        names = Names(_data(row), both=False)
+        first, last = _stretches(names, _candidates(names, keys_of(row)))
+        k1 = names.of(first, last + LENGTH)
+        often = np.ones(len(k1), dtype=bool)
+        often[_twice(k1)] = False
+        first, last = first[often], last[often]
+        if not len(first):
+            return None
+        new = np.concatenate([[True], first[1:] > last[:-1]])
+        return np.full(int(new.sum()), row["h"].as_py()), first[new], last[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(last) - 1]])]
 
     found = cut(repeated(_over_texts(held, "k1 long, k2 long, h long, first long, last long", stretch), ["k1", "k2"]), "suffix-stretches")
     speaks = found.groupBy("k1", "k2").agg(F.min(F.struct("h", "first")).alias("one")).select("one.h", "one.first", F.lit(True).alias("speaks"))
     settled = found.select("h", "first", "last").join(speaks.distinct(), ["h", "first"], "left")
+    settled = settled.unionByName(_over_texts(held, "h long, first long, last long", repetitive).withColumn("speaks", F.lit(False)))
     settled = cut(settled.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("first", "last", F.coalesce("speaks", F.lit(False)).cast("long").alias("speaks")))).alias("s")).select("h", F.flatten(F.transform("s", lambda x: F.array(x["first"], x["last"], x["speaks"]))).alias("settled")), "suffix-settled")
 
     def window(row):
