@@ -580,12 +580,43 @@ def provenance(path: str, info: FileInfo, options: ImportOptions) -> list:
     return out
 
 
+def survey_metadata(headers: DataFrame, options: ImportOptions) -> list:
+    """Origin (where both keys are 0) and the steps of x and y for each unit of inline and crossline, by least squares.
+
+    If one key does not vary, its step is taken to be as long as the other's and at right angles to it.
+    """
+    from cubeflow.descriptor import MetadataItem
+
+    cov = [F.covar_pop(a, b).alias(f"{a[0]}{b[0]}") for a, b in (("primary", "primary"), ("secondary", "secondary"), ("primary", "secondary"), ("primary", "x"), ("primary", "y"), ("secondary", "x"), ("secondary", "y"))]
+    m = headers.agg(*[F.avg(c).alias(c) for c in ("primary", "secondary", "x", "y")], *cov).first()
+    if m.primary is None:
+        return []
+    det = m.pp * m.ss - m.ps * m.ps
+    if det > 1e-9 * max(m.pp * m.ss, 1e-12):
+        p = tuple((m.ss * m[f"p{c}"] - m.ps * m[f"s{c}"]) / det for c in "xy")
+        s = tuple((m.pp * m[f"s{c}"] - m.ps * m[f"p{c}"]) / det for c in "xy")
+    elif m.pp > 0:
+        p = (m.px / m.pp, m.py / m.pp)
+        s = (-p[1], p[0])
+    else:
+        s = (m.sx / m.ss, m.sy / m.ss) if m.ss else (0.0, 1.0)
+        p = (s[1], -s[0])
+    origin = tuple(m[c] - m.primary * a - m.secondary * b for c, a, b in zip("xy", p, s))
+    if ALIASES.get(options.primary_key.lower(), options.primary_key.lower()) == "crosslinenumber":
+        p, s = s, p
+    return [MetadataItem("SurveyCoordinateSystem", name, "DoubleVector2", v) for name, v in (("Origin", origin), ("InlineSpacing", p), ("CrosslineSpacing", s))]
+
+
 def import_volume(spark: SparkSession, path: str, target: str, options: ImportOptions):
     """Imports a file into a new volume at ``target``: samples with levels of detail, trace channels and metadata."""
     from cubeflow.sources.volume import Volume
 
     d, voxels, table = imported(spark, path, options)
-    out = Volume.create(spark, target, d, provenance(path, file_info(path, options.little), options))
+    items = provenance(path, file_info(path, options.little), options)
+    if options.survey_type in ("Poststack", "Prestack", "OffsetSorted"):
+        keys = trace_headers(read_traces(spark, path, headersOnly="true", endianness="little" if options.little else "big"), options)
+        items += survey_metadata(keys, options)
+    out = Volume.create(spark, target, d, items)
     out.write(voxels)
     dims = [f"d{k}" for k in range(1, d.dimensionality)]
     out.write_traces(table.select(*dims, F.array("flag").alias("values")), "Trace")

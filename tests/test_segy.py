@@ -168,6 +168,8 @@ def test_volume_import_export_and_line_information(spark, tmp_path):
     v = segy.import_volume(spark, str(path), str(tmp_path / "v"), segy.ImportOptions(prestack=True, mute=True, azimuth=True, brick_log2=5, crs_wkt="LOCAL"))
     assert v.descriptor.shape == (20, 2, 5, 4) and v.metadata("ImportInformation", "SurveyType").first().string_v == "Prestack"
     assert {tuple(r["values"]) for r in v.traces_of("Mute").collect()} == {(5, -3)} and v.traces_of("Offset").count() == 40
+    survey = {r.name: tuple(r.double_v) for r in v.metadata("SurveyCoordinateSystem").collect() if r.double_v}
+    assert survey == {"Origin": pytest.approx((-25, -0.7)), "InlineSpacing": pytest.approx((1.25, 0)), "CrosslineSpacing": pytest.approx((0, 0), abs=1e-9)}
     segy.export_volume(v, str(tmp_path / "b.segy"))
     assert (tmp_path / "a.segy").read_bytes()[3600:] == (tmp_path / "b.segy").read_bytes()[3600:]
     headers = segy.trace_headers(segy.read_traces(spark, str(path), headersOnly="true"), segy.ImportOptions())
