@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cubeflow.llm.common import cut, n_words
+from cubeflow.llm.common import cut, n_words, small_batches
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -194,6 +194,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     feed, those of a second pass after those of the first; n_chars (if there) is counted anew.
     Documents of which nothing is taken go.  Rows that agree in id, source and size share runs.
     """
+    small_batches(docs.sparkSession)
     pass_runs = lambda k: F.expr(f"filter(sort_array(collect_list(struct(start, {'if(full >= 1, stop, coalesce(part, start))' if k == 1 else 'if(full >= 2, stop, if(full = 1, coalesce(part, start), start))'} as stop))), x -> x.stop > x.start)")
     runs = uses(docs, **options).where("size > 0").groupBy("doc_id", "source", "size").agg(F.concat(pass_runs(1), pass_runs(2)).alias("runs")).where("size(runs) > 0")
     runs = runs.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "runs")

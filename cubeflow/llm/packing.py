@@ -21,6 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cubeflow.llm.common import small_batches
+
 CAPACITY = 2048
 END_ID = 1
 #: So many open windows at most; beyond it they are settled as at the end of the task.
@@ -110,6 +112,7 @@ def pack(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = N
     """
     import public_tokenizers
 
+    small_batches(docs.sparkSession)
     ranks_path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     pattern = pattern or public_tokenizers.PATTERN
     names = [f.split()[0] for f in SCHEMA.split(", ")]

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeflow.llm.common import broadcast_if_small, connected_components, cut
+from cubeflow.llm.common import broadcast_if_small, connected_components, cut, small_batches
 
 BITS = 64
 RADIUS = 3
@@ -39,6 +39,7 @@ def text_fingerprint(text: str | None, shingle: int = 3) -> int:
 
 def with_fingerprint(docs: DataFrame, text: str = "text", shingle: int = 3, name: str = "simhash") -> DataFrame:
     """``docs`` with a long column of fingerprints (signed view of the 64 bits)."""
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("long")
     def fingerprint(texts: pd.Series) -> pd.Series:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeflow.llm.common import broadcast_if_small, cut, shared_path
+from cubeflow.llm.common import broadcast_if_small, cut, shared_path, small_batches
 
 REVISIT_FROM_BYTES = 1000
 ARCHIVE_BYTES = 256 << 20
@@ -157,6 +157,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, level: int = 6)
     repeat the largest page_id are responses each.  An empty table writes no archive.
     """
     spark = pages.sparkSession
+    small_batches(spark)
     folder = folder or shared_path(spark, "warc")
     html = F.coalesce("html", F.lit(""))
     pages = pages.select(F.col("page_id").cast("long"), "url", html.alias("html")).withColumn("digest", F.when(F.octet_length("html") >= REVISIT_FROM_BYTES, F.sha1("html")))
