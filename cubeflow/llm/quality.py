@@ -23,12 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from cubeflow.llm.common import broadcast_if_small, cut, shared_path
+from cubeflow.llm.common import broadcast_if_small, cut, shared_path, small_batches
 
 ORDER = 5
-QUANTILE = 0.995
+QUANTILE = 0.99
 #: Languages with fewer trusted documents are held to the quantile of all trusted documents.
 LEAST_TRUSTED = 50
+#: One trusted document in so many is not trained on but sets the thresholds: a model knows its own texts too well.
+HELD_OUT = 5
 SHARD_ENTRIES = 4_000_000
 #: Shards that a worker keeps in memory; at least one.
 CACHE_BYTES = 256 << 20
@@ -300,18 +302,20 @@ def thresholds(scores: DataFrame, trusted: DataFrame, quantile: float = QUANTILE
 def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, keep_text: bool = True) -> DataFrame:
     """``docs`` with text_bytes, perplexity, threshold and good.
 
-    A document is good if its perplexity does not exceed its language's threshold.  Null and empty
-    texts are not good.  Without trusted text there is no threshold and all other texts are good.
+    A document is good if its perplexity does not exceed its language's threshold, a quantile of
+    the trusted documents that the model was not trained on.  Null and empty texts are not good.
+    Without any such document there is no threshold and all other texts are good.
     Rows that repeat an id are judged each; a null lang is a language of its own.  Columns of
     ``docs`` that have the names of the new ones are replaced.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop("text_bytes", "perplexity", "threshold", "good")
     ids = trusted_ids(labels)
-    ids = cut(ids, "trusted")
-    model = train(docs.join(broadcast_if_small(ids, 24), "doc_id", "left_semi"))
+    ids = cut(ids.withColumn("held", F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0), "trusted")
+    model = train(docs.join(broadcast_if_small(ids.where("not held").select("doc_id"), 24), "doc_id", "left_semi"))
     rows = scored(docs if keep_text else docs.select("doc_id", "lang", "text"), model)
     rows = cut(rows if keep_text else rows.drop("text"), "scores")
-    limits = thresholds(rows.select("doc_id", "lang", "perplexity"), ids, quantile)
+    limits = thresholds(rows.select("doc_id", "lang", "perplexity"), ids.where("held").select("doc_id"), quantile)
     limits = cut(limits, "thresholds").select(F.col("lang").alias("_lang"), "threshold")
     out = rows.join(broadcast_if_small(limits, 40), F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang")
     good = F.col("perplexity").isNotNull() & (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold")))

@@ -75,12 +75,22 @@ def test_nulls_ties_and_empty_tables(spark):
     assert [r.doc_id for r in quality.trusted_ids(labels).collect()] == [1]
     docs = spark.createDataFrame([(1, "a good text " * 20, None, "c"), (1, "a good text " * 20, None, "c"), (4, None, "en", "c"), (None, "#@!%" * 30, "en", "c"), (5, "", "xx", None)], SCHEMA)
     got = {(r.doc_id, r.good) for r in quality.judged(docs, labels).collect()}
-    assert got == {(1, True), (4, False), (None, False), (5, False)}
+    assert got == {(1, True), (4, False), (None, True), (5, False)}  # one trusted document cannot both train and set thresholds
     none = labels.where("false")
     assert {(r.doc_id, r.good) for r in quality.judged(docs, none).collect()} == {(1, True), (4, False), (None, True), (5, False)}
     assert quality.judged(docs.where("false"), labels).collect() == []
 
 
+def test_unseen_clean_text_is_kept_with_little_training(spark):
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("aeioubdgklmnprst"), rng.integers(2, 9))) for _ in range(4000)]
+    texts = [" ".join(rng.choice(words, 50)) for _ in range(240)]
+    docs = spark.createDataFrame([(i, t, "en", "") for i, t in enumerate(texts)], SCHEMA)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 240, 2)], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in quality.judged(docs, labels).where("good").collect()}
+    assert sum(i in kept for i in range(1, 240, 2)) >= 0.9 * 120
+
+
 def test_held_out_accuracy(spark):
     rng = np.random.default_rng(2)
     clean = [" ".join(rng.choice(["the", "of", "and", "tion", "house", "tree", "river"], 60)) for _ in range(300)]
