@@ -16,7 +16,7 @@ BROADCAST_BYTES = 32 << 20
 
 
 #: Largest Arrow batch that is sent to Python.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:

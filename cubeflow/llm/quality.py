@@ -34,7 +34,7 @@ HELD_OUT = 5
 SHARD_ENTRIES = 4_000_000
 #: Shards that a worker keeps in memory; at least one.
 CACHE_BYTES = 256 << 20
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Distinct n-grams that a counting task holds before it hands them on.
 MOST_HELD = 4_000_000
 CONTEXT = 1 << 48
