@@ -285,8 +285,13 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
-    """doc_id of the documents that every label calls good; repeated and null labels do not count twice."""
-    return labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
+    """doc_id of the documents that every label calls good and not toxic; repeated and null labels do not count twice."""
+    return labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 and t = 0").select("doc_id")
+
+
+def toxic_ids(labels: DataFrame) -> DataFrame:
+    """doc_id of the documents that any label calls toxic."""
+    return labels.where("doc_id is not null and toxic = 1").select("doc_id").distinct()
 
 
 def thresholds(scores: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) -> DataFrame:
@@ -303,7 +308,8 @@ def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, keep_
     """``docs`` with text_bytes, perplexity, threshold and good.
 
     A document is good if its perplexity does not exceed its language's threshold, a quantile of
-    the trusted documents that the model was not trained on.  Null and empty texts are not good.
+    the trusted documents that the model was not trained on, and no label calls it toxic.  Null and
+    empty texts are not good.
     Without any such document there is no threshold and all other texts are good.
     Rows that repeat an id are judged each; a null lang is a language of its own.  Columns of
     ``docs`` that have the names of the new ones are replaced.
@@ -318,8 +324,12 @@ def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, keep_
     limits = thresholds(rows.select("doc_id", "lang", "perplexity"), ids.where("held").select("doc_id"), quantile)
     limits = cut(limits, "thresholds").select(F.col("lang").alias("_lang"), "threshold")
     out = rows.join(broadcast_if_small(limits, 40), F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang")
-    good = F.col("perplexity").isNotNull() & (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold")))
-    return out.withColumn("good", good)
+    # null ids match nothing; a second key spreads them where the join shuffles
+    toxic = toxic_ids(labels).select(F.col("doc_id").alias("_toxic"), F.lit(0).alias("_zero"))
+    spread = F.when(F.col("doc_id").isNull(), F.hash("perplexity", "text_bytes")).otherwise(0)
+    out = out.withColumn("_spread", spread).join(broadcast_if_small(toxic, 24), (F.col("doc_id") == F.col("_toxic")) & (F.col("_spread") == F.col("_zero")), "left")
+    good = F.col("_toxic").isNull() & F.col("perplexity").isNotNull() & (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold")))
+    return out.withColumn("good", good).drop("_toxic", "_zero", "_spread")
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:

@@ -101,3 +101,12 @@ def test_held_out_accuracy(spark):
     held = [i for i in range(1, 400, 2)]
     assert sum(i in kept for i in held if i < 300) >= 0.97 * 150
     assert not any(i in kept for i in held if i >= 300)
+
+
+def test_labelled_toxic_documents_are_neither_trusted_nor_kept(spark):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1), (3, 1, 0), (3, 1, 1), (4, 1, None), (5, 0, 0), (6, 1, 0), (6, 1, None)], "doc_id long, quality int, toxic int")
+    assert {r.doc_id for r in quality.trusted_ids(labels).collect()} == {1, 6}
+    docs = spark.createDataFrame([(i, "a good text " * 20, "en", "") for i in (1, 2, 3, 4, 5, 6, 7)] + [(None, "a good text " * 20, "en", "")], SCHEMA)
+    got = quality.judged(docs, labels)
+    assert got.columns == ["doc_id", "text", "lang", "text_bytes", "perplexity", "threshold", "good"]
+    assert {r.doc_id for r in got.where("not good").collect()} == {2, 3} and got.count() == 8
