@@ -19,8 +19,6 @@ emits only the variants that lack a word of the other half.
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +27,8 @@ from cubeflow.llm.common import broadcast_if_small, cut
 #: Shorter lines are always kept: one edit in five words is a similarity of 0.8.
 LEAST_WORDS = 5
 
-
-#: A document's number is its id and so many digits of a hash of its text; a place adds a line number.
-HASH_DIGITS, LINE_DIGITS = 7, 10
+#: What makes a document, and with ``at``, the line number, a place; both are ordered by these in turn.
+DOCUMENT = ["no_id", "id", "text_hash"]
 
 
 def _spaced(text):
@@ -45,23 +42,21 @@ def _n_words(line):
 
 
 def _document():
-    """A number for a document: by id (null after all others) and, for rows that share one, a hash of the text."""
-    tie = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(10**HASH_DIGITS)).cast("decimal(7,0)")
-    number = F.coalesce(F.col("doc_id").cast("decimal(19,0)"), F.lit(Decimal(1 << 63)))
-    return (number * F.lit(10**HASH_DIGITS).cast("decimal(8,0)") + tie).cast("decimal(27,0)")
+    """A document: by id (null after all others) and, for rows that share one, a hash of the text."""
+    parts = F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.xxhash64(F.coalesce("text", F.lit("")))
+    return F.named_struct(*[x for k, part in zip(DOCUMENT, parts) for x in (F.lit(k), part)])  # names given by alias get lost beside explode
 
 
 def _document_of(place: str):
-    """The document's number in a place."""
-    unit = F.lit(Decimal(10**LINE_DIGITS)).cast("decimal(11,0)")
-    return ((F.col(place) - F.pmod(place, unit)) / unit).cast("decimal(27,0)")
+    """The document in a place."""
+    return F.struct(*[F.col(f"{place}.{k}").alias(k) for k in DOCUMENT])
 
 
 def numbered_lines(docs: DataFrame) -> DataFrame:
     """(place, line, n) of every line of at least LEAST_WORDS words; ``n`` counts them, place is document and line number."""
     lines = F.posexplode(F.split(_spaced(F.coalesce("text", F.lit(""))), "\n")).alias("at", "line")
     lines = docs.select(_document().alias("doc"), lines).select("doc", "at", F.trim("line").alias("line")).where(F.length("line") >= 2 * LEAST_WORDS - 1)
-    place = (F.col("doc") * F.lit(Decimal(10**LINE_DIGITS)).cast("decimal(11,0)") + F.col("at").cast("decimal(10,0)")).cast("decimal(38,0)")
+    place = F.struct(*[F.col(f"doc.{k}").alias(k) for k in DOCUMENT], "at")
     return lines.select(place.alias("place"), "line", _n_words(F.col("line")).alias("n")).where(F.col("n") >= LEAST_WORDS)
 
 
@@ -96,8 +91,8 @@ def superseded(docs: DataFrame, firsts: DataFrame) -> DataFrame:
 
     # the candidates' words, read again from the texts of the documents that have any
     own = may.select(_document_of("place").alias("_own")).distinct()
-    some = docs.withColumn("_doc", _document()).join(broadcast_if_small(own, 24), F.col("_doc") == F.col("_own"), "left_semi").drop("_doc")
-    lines = cut(numbered_lines(some).join(broadcast_if_small(may, 40), "place").groupBy("place").agg(F.first("sides").alias("sides"), F.first("n").alias("n"), F.first("line").alias("line")), "line-words")
+    some = docs.withColumn("_doc", _document()).join(broadcast_if_small(own, 40), F.col("_doc") == F.col("_own"), "left_semi").drop("_doc")
+    lines = cut(numbered_lines(some).join(broadcast_if_small(may, 64), "place").groupBy("place").agg(F.first("sides").alias("sides"), F.first("n").alias("n"), F.first("line").alias("line")), "line-words")
     line, n, at = F.col("line"), F.col("n"), F.col("at")
     # with the front half alike the edit lies behind it, with the back half alike before it
     low = F.when(F.col("sides") == 1, F.shiftright(n - 1, 1) + 1).otherwise(1)
@@ -135,8 +130,7 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     """(doc, kept): the numbers of the lines of at least LEAST_WORDS words that stay, of documents that keep any."""
     firsts = cut(first_lines(docs), "line-firsts")
     stay = firsts.join(superseded(docs, firsts), "place", "left_anti")
-    at = F.pmod("place", F.lit(Decimal(10**LINE_DIGITS)).cast("decimal(11,0)")).cast("int")
-    return stay.select(_document_of("place").alias("doc"), at.alias("at")).groupBy("doc").agg(F.sort_array(F.collect_list("at")).alias("kept"))
+    return stay.select(_document_of("place").alias("doc"), F.col("place.at").alias("at")).groupBy("doc").agg(F.sort_array(F.collect_list("at")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

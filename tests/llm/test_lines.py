@@ -1,6 +1,8 @@
 import itertools
 import re
 
+import xxhash
+
 from cubeflow.llm import lines
 
 
@@ -68,3 +70,15 @@ def test_null_ids_repeated_rows_and_no_rows(spark):
     rows = [(None, "a b c d e"), (2, "a b c d e\nkeep"), (2, "a b c d e\nkeep"), (3, "a b c d e"), (3, "other words go in here")]
     got = sorted((r.doc_id or 99, r.text) for r in lines.deduplicated(spark.createDataFrame(rows, schema)).collect())
     assert got == [(2, "a b c d e\nkeep"), (2, "a b c d e\nkeep"), (3, "other words go in here")]
+
+
+def test_rows_without_an_id_whose_hashes_share_digits(spark):
+    def digits(text):
+        h = xxhash.xxh64_intdigest(text, 42)
+        return (h - (1 << 64) if h >> 63 else h) % 10**7
+
+    alone = {digits(t): t for t in (f"p{k} q{k} r{k} s{k} t{k}" for k in range(12000))}
+    both = next(t for t in (f"one earlier line stands here\na{k} b{k} c{k} d{k} e{k}" for k in range(12000)) if digits(t) in alone)
+    rows = [(1, "one earlier line stands here"), (None, alone[digits(both)]), (None, both)]
+    got = {r.text for r in lines.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {"one earlier line stands here", alone[digits(both)], both.split("\n")[1]}
