@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 
 from cubeflow.llm.common import broadcast_if_small, cut
 
-#: Shorter lines are always kept: one edit in five words is a similarity of 0.8.
+#: Shorter lines have no near ones: one edit in five words is a similarity of 0.8.
 LEAST_WORDS = 5
+#: Scripts without spaces: in a line of these that has none, characters are the words.
+UNSPACED = "[\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}]"
 
 #: What makes a document, and with ``at``, the line number, a place; both are ordered by these in turn.
 DOCUMENT = ["no_id", "id", "text_hash"]
@@ -37,6 +39,12 @@ def _spaced(text):
     return F.when(odd, F.regexp_replace(text, "[\\x20\\x09\\x0B-\\x0D]+", " ")).otherwise(text)
 
 
+def _by_words(line):
+    """A trimmed line of ``_spaced`` text with a space after each word, also where the script has none."""
+    bare = ~F.contains(line, F.lit(" ")) & line.rlike(UNSPACED)
+    return F.when(bare, F.rtrim(F.regexp_replace(line, "(.)", "$1 "))).otherwise(line)
+
+
 def _n_words(line):
     return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
@@ -52,39 +60,40 @@ def _document_of(place: str):
     return F.struct(*[F.col(f"{place}.{k}").alias(k) for k in DOCUMENT])
 
 
-def numbered_lines(docs: DataFrame) -> DataFrame:
-    """(place, line, n) of every line of at least LEAST_WORDS words; ``n`` counts them, place is document and line number."""
+def numbered_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """(place, line, n) of every line of at least ``least_words`` words; ``n`` counts them, place is document and line number."""
     lines = F.posexplode(F.split(_spaced(F.coalesce("text", F.lit(""))), "\n")).alias("at", "line")
-    lines = docs.select(_document().alias("doc"), lines).select("doc", "at", F.trim("line").alias("line")).where(F.length("line") >= 2 * LEAST_WORDS - 1)
+    lines = docs.select(_document().alias("doc"), lines).select("doc", "at", F.trim("line").alias("line")).where(F.length("line") >= least_words)
     place = F.struct(*[F.col(f"doc.{k}").alias(k) for k in DOCUMENT], "at")
-    return lines.select(place.alias("place"), "line", _n_words(F.col("line")).alias("n")).where(F.col("n") >= LEAST_WORDS)
+    lines = lines.select(place.alias("place"), _by_words(F.col("line")).alias("line"))
+    return lines.select("place", "line", _n_words(F.col("line")).alias("n")).where(F.col("n") >= least_words)
 
 
 def _head(line, n):
     return F.substring_index(line, " ", n) if isinstance(n, int) else F.call_function("substring_index", line, F.lit(" "), n)
 
 
-def first_lines(docs: DataFrame) -> DataFrame:
+def first_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """(h1, h2, place, front, front1, back, back1): each distinct line, a 128-bit hash, with its earliest place.
 
     The others are keys of the halves that an edit can leave alone, with the line as the shorter
-    or (1) the longer of two.
+    or (1) the longer of two; lines of fewer than LEAST_WORDS words have none (null).
     """
     line, n = F.col("line"), F.col("n")
 
     def half(tag, short, count):
-        return F.xxhash64(F.lit(tag), short, _head(line, count))
+        return F.when(n >= LEAST_WORDS, F.xxhash64(F.lit(tag), short, _head(line, count)))
 
     m, m1 = F.shiftright(n, 1), F.shiftright(n - 1, 1)
     keys = [half(3, n, m).alias("front"), half(3, n - 1, m1).alias("front1"), half(4, n, m - n).alias("back"), half(4, n - 1, m1 - n + 1).alias("back1")]
-    hashed = numbered_lines(docs).select(F.xxhash64(F.lit(1), line).alias("h1"), F.xxhash64(F.lit(2), line).alias("h2"), "place", *keys)
+    hashed = numbered_lines(docs, least_words).select(F.xxhash64(F.lit(1), line).alias("h1"), F.xxhash64(F.lit(2), line).alias("h2"), "place", *keys)
     return hashed.groupBy("h1", "h2").agg(F.min("place").alias("place"), *[F.first(k).alias(k) for k in ("front", "front1", "back", "back1")])
 
 
 def superseded(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     """(place) of the distinct lines that have a near line at an earlier place."""
     front = F.array(*[F.struct(F.lit(side).alias("side"), F.col(k).alias("half")) for side, k in ((1, "front"), (1, "front1"), (2, "back"), (2, "back1"))])
-    keyed = firsts.select("place", F.explode(front).alias("k")).select("place", "k.side", "k.half")
+    keyed = firsts.where("front is not null").select("place", F.explode(front).alias("k")).select("place", "k.side", "k.half")
     shared = cut(keyed.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half"), "line-halves")
     may = keyed.join(broadcast_if_small(shared, 16), "half", "left_semi").groupBy("place").agg(F.bit_or("side").alias("sides"))
     may = cut(may, "line-candidates")
@@ -126,29 +135,31 @@ def one_edit(a: str, b: str):
     return (F.abs(n - m) <= 1) & (common(F.col(a), F.col(b)) + common(F.reverse(a), F.reverse(b)) >= F.greatest(n, m) - 1)
 
 
-def kept_lines(docs: DataFrame) -> DataFrame:
-    """(doc, kept): the numbers of the lines of at least LEAST_WORDS words that stay, of documents that keep any."""
-    firsts = cut(first_lines(docs), "line-firsts")
+def kept_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """(doc, kept): the numbers of the lines of at least ``least_words`` words that stay, of documents that keep any."""
+    firsts = cut(first_lines(docs, least_words), "line-firsts")
     stay = firsts.join(superseded(docs, firsts), "place", "left_anti")
     return stay.select(_document_of("place").alias("doc"), F.col("place.at").alias("at")).groupBy("doc").agg(F.sort_array(F.collect_list("at")).alias("kept"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` without the lines that an earlier near or equal line makes superfluous.
 
-    Lines are separated by line feeds and compared by their words.  Lines of fewer than LEAST_WORDS
-    words stay.  Of others, one stays if no earlier line (by doc_id, then line number; null ids
-    last) is within one word edit, whether that one stays or not.  A document left without text
+    Lines are separated by line feeds and compared by their words, or by their characters if they
+    have no spaces and are of a script without.  Lines of fewer than ``least_words`` words and blank
+    ones stay.  Of others, one stays if no earlier line (by doc_id, then line number; null ids last)
+    is equal or, from LEAST_WORDS words on, within one word edit, whether that one stays or not.  A document left without text
     goes; one that had none (null or empty) stays.  n_chars, if there, is counted anew.  The result
     has n_lines and n_dropped beside the columns of ``docs``, whose own of these names it replaces.
     Rows that share an id are documents in the order of a hash of their texts; rows that repeat
     id and text are one document and get the same result.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    kept = kept_lines(docs).withColumnRenamed("doc", "_kept_doc").withColumnRenamed("kept", "_kept")
+    kept = kept_lines(docs, least_words).withColumnRenamed("doc", "_kept_doc").withColumnRenamed("kept", "_kept")
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     joined = docs.withColumn("_doc", _document()).join(kept, F.col("_doc") == F.col("_kept_doc"), "left").withColumn("_lines", lines)
-    long = lambda x: (F.length(x) >= 2 * LEAST_WORDS - 1) & (_n_words(F.trim(_spaced(x))) >= LEAST_WORDS)
+    plain = lambda x: F.trim(_spaced(x))
+    long = lambda x: (F.length(x) >= least_words) & (F.length(plain(x)) >= least_words) & (_n_words(_by_words(plain(x))) >= least_words)
     stays = F.filter("_lines", lambda x, i: F.coalesce(F.array_contains("_kept", i), F.lit(False)) | ~long(x))
     out = joined.withColumn("_stays", stays).withColumn("n_lines", F.size("_lines").cast("long")).withColumn("n_dropped", (F.size("_lines") - F.size("_stays")).cast("long"))
     out = out.where((F.col("n_dropped") == 0) | (F.length(F.btrim(F.array_join("_stays", ""))) > 0))
@@ -162,5 +173,5 @@ def op9_lines(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_dropped, text_sha256 of the documents that keep text."""
     from cubeflow.llm.common import table
 
-    out = deduplicated(table(spark, sf_dir, "documents"))
+    out = deduplicated(table(spark, sf_dir, "documents"), least_words=1)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))

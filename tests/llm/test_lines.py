@@ -1,6 +1,7 @@
 import itertools
 import re
 
+import corpus_pipeline
 import xxhash
 
 from cubeflow.llm import lines
@@ -82,3 +83,14 @@ def test_rows_without_an_id_whose_hashes_share_digits(spark):
     rows = [(1, "one earlier line stands here"), (None, alone[digits(both)]), (None, both)]
     got = {r.text for r in lines.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {"one earlier line stands here", alone[digits(both)], both.split("\n")[1]}
+
+
+def test_equal_lines_of_any_length_and_lines_without_spaces(spark, tmp_path):
+    texts = ["Top\n\nof two\n天地玄黄宇宙洪荒\n日月", " \nTop\nof  two \nof three\n \n天地玄黄宇宙\n日月", "Top", "天地玄黄宇宙洪流\n日星\n天地黄玄\nTops"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.text for r in lines.deduplicated(docs, least_words=1).collect()}
+    assert got == {0: texts[0], 1: " \nof three\n \n天地玄黄宇宙", 3: "日星\n天地黄玄\nTops"}
+    counts = {(r.doc_id, r.n_lines, r.n_dropped) for r in lines.op9_lines(spark, str(tmp_path)).collect()}
+    assert counts == {(0, 5, 0), (1, 7, 3), (3, 4, 1)}
+    assert {r.text for r in corpus_pipeline.cut_lines(spark, docs, str(tmp_path)).collect()} == set(got.values())
