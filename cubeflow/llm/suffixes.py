@@ -2,23 +2,27 @@
 
 Of the suffixes of all texts only those at positions of a difference cover modulo V are sorted at
 first: for any two positions there is a shift below V that takes both into the cover, so two equal
-strings of LENGTH bytes contain two sampled suffixes, at the same distance from their beginnings,
-that agree in their first LENGTH - V + 1 bytes.  Sorting these prefixes names them; a name held
+strings of LENGTH symbols contain two sampled suffixes, at the same distance from their beginnings,
+that agree in their first LENGTH - V + 1 symbols.  Sorting these prefixes names them; a name held
 once rules its surroundings out.  Suffixes with repeated names recur with longer names, which reach
 to both sides as far as any string that begins in one of ASPECTS ranges before them must agree, and
 only the windows around repeated long names are taken on.
 
-The remaining windows are named in turn, by their LENGTH bytes.  Runs of them are first compared
+The remaining windows are named in turn, by their LENGTH symbols.  Runs of them are first compared
 whole: content picks anchors among the windows, and a stretch between two anchors that occurs twice
 settles all its windows, so that one occurrence speaks for its class from then on.  What is left,
 the ends of repeated runs, is merged with the classes' windows, sorted, and adjacent entries are
 compared.  Strings are named by 96 or 128 bits of polynomial hashes.  Sorting is Spark's, which spills;
-groups of equal names stream by in sorted order, so the size of a group does not matter.
+groups of equal names stream by in sorted order, so the size of a group does not matter.  Names that
+a sample of the texts shows to recur very often need no comparison: their rows are dealt out by text.
+
+The same search runs over two kinds of symbols: BYTES, strings of 400, and WORDS, passages of 51.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,33 +31,25 @@ from pyspark.sql import functions as F
 
 from cubeflow.llm.common import broadcast_if_small, cut, release, small_batches
 
-LENGTH = 400
-#: A perfect difference set, fixed values: every residue modulo V is a difference of two.
-V = 273
-COVER = np.array([1, 2, 4, 8, 16, 32, 64, 91, 117, 128, 137, 182, 195, 205, 234, 239, 256])
-PREFIX = LENGTH - V + 1
-#: A window begins up to V - 1 bytes before a sampled position; a range of these beginnings, STEP wide,
-#: has in common the LENGTH - STEP + 1 bytes from the range's end on.
-ASPECTS, STEP = 4, 69
-#: One window in so many is an anchor.
-ANCHOR = 32
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 BATCH = 1 << 16
+#: Names that recur HOT_COUNT times or oftener in one of HOT_SHARE texts are dealt by text and not by name; at most so many.
+#: The bound is on this hint alone: names beyond it are compared like any other.
+HOT_SHARE, HOT_COUNT, MOST_HOT = 64, 8, 1 << 16
 
 
 class Names:
-    """Polynomial hashes, modulo 2^64, of any stretches of one text; two of them name a stretch."""
+    """Polynomial hashes, modulo 2^64, of any stretches of one text's symbols; two of them name a stretch."""
 
     _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    _bytes = np.random.Generator(np.random.Philox(key=400)).integers(0, 1 << 64, (2, 256), dtype=np.uint64)
 
-    def __init__(self, data: bytes, both: bool = True) -> None:
-        self.n, x = len(data), np.frombuffer(data, dtype=np.uint8)
+    def __init__(self, symbols: list[np.ndarray]) -> None:
+        self.n = len(symbols[0])
         self.sums = []
-        for k in range(1 + both):
+        for k, x in enumerate(symbols):
             up, _ = self._table(k, self.n + 1)
             s = np.zeros(self.n + 1, dtype=np.uint64)
-            np.cumsum(self._bytes[k][x] * up[: self.n], out=s[1:])
+            np.cumsum(x * up[: self.n], out=s[1:])
             self.sums.append(s)
 
     @classmethod
@@ -76,18 +72,106 @@ class Names:
         return (h ^ (h >> np.uint64(29))).view(np.int64)
 
 
-def sampled(n: int) -> np.ndarray:
-    """The cover's positions in a text of n bytes at which a prefix fits."""
-    x = (np.arange(0, n, V)[:, None] + COVER[None, :]).ravel()
-    return x[x + PREFIX <= n]
+_BYTE_VALUES = np.random.Generator(np.random.Philox(key=400)).integers(0, 1 << 64, (2, 256), dtype=np.uint64)
+
+
+def byte_symbols(data: bytes, both: bool) -> list[np.ndarray]:
+    x = np.frombuffer(data, dtype=np.uint8)
+    return [_BYTE_VALUES[k][x] for k in range(1 + both)]
+
+
+def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends, in bytes, of the words; gaps are space and \\x09-\\x0D."""
+    x = np.frombuffer(data, dtype=np.uint8)
+    gap = np.ones(len(x) + 2, dtype=bool)
+    gap[1:-1] = (x == 32) | ((x >= 9) & (x <= 13))
+    edges = np.flatnonzero(gap[1:] != gap[:-1])
+    return edges[::2], edges[1::2]
+
 
+def word_symbols(data: bytes, both: bool) -> list[np.ndarray]:
+    names, (start, stop) = Names(byte_symbols(data, both)), word_bounds(data)
+    return [names.of(start, stop, k).view(np.uint64) for k in range(1 + both)]
 
-def repeated(rows: DataFrame, keys: list[str], high: str | None = None) -> DataFrame:
-    """The rows whose key another row has too; equal keys stream by in sorted order.
 
-    The upper 32 bits of the long column ``high``, if given, belong to the key.
+@dataclass(frozen=True)
+class Kind:
+    """What strings are made of, how long a repeated one is, and the cover that finds it.
+
+    ``cover`` is a perfect difference set, fixed values: every residue modulo ``v`` is a difference of
+    two.  A window begins up to v - 1 symbols before a sampled position; a range of these beginnings,
+    ``step`` wide, has in common the length - step + 1 symbols from the range's end on.  One window in
+    ``anchor`` is an anchor.
+    """
+
+    name: str
+    symbols: Callable[[bytes, bool], list[np.ndarray]]
+    length: int
+    v: int
+    cover: tuple[int, ...]
+    aspects: int
+    step: int
+    anchor: int
+    least_bytes: int
+
+    @property
+    def prefix(self) -> int:
+        return self.length - self.v + 1
+
+    def names(self, row, both: bool = True) -> Names:
+        return Names(self.symbols(_data(row), both))
+
+    def sampled(self, n: int) -> np.ndarray:
+        """The cover's positions in a text of n symbols at which a prefix fits."""
+        x = (np.arange(0, n, self.v)[:, None] + np.array(self.cover)[None, :]).ravel()
+        return x[x + self.prefix <= n]
+
+    def ranges(self, names: Names, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(name, first window, last window): what windows around sampled positions have in common, range by range."""
+        out = []
+        for k in range(self.aspects):
+            start = at - k * self.step
+            start = start[(start >= 0) & (start + self.length - self.step + 1 <= names.n)]
+            out.append((names.of(start, start + self.length - self.step + 1) ^ np.int64(k), start - self.step + 1, start))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    def candidates(self, names: Names, keys: np.ndarray) -> np.ndarray:
+        """The windows, by start, in the ranges whose long names are among the repeated ones."""
+        name, first, last = self.ranges(names, self.sampled(names.n))
+        hit = np.isin(name, keys)
+        top = max(names.n - self.length, -1)
+        edge = np.zeros(top + 2, dtype=np.int64)
+        np.add.at(edge, np.clip(first[hit], 0, top + 1), 1)
+        np.add.at(edge, np.clip(last[hit] + 1, 0, top + 1), -1)
+        return np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+
+    def stretches(self, names: Names, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first, last) windows of the stretches between neighbouring anchors of a run of candidates."""
+        anchors = windows[names.of(windows, windows + self.length) % self.anchor == 0]
+        run = np.cumsum(np.concatenate([[0], np.diff(windows) > 1]))
+        of = run[np.searchsorted(windows, anchors)]
+        joined = np.flatnonzero(of[1:] == of[:-1]) if len(anchors) > 1 else np.empty(0, dtype=np.int64)
+        return anchors[joined], anchors[joined + 1]
+
+
+BYTES = Kind("bytes", byte_symbols, 400, 273, (1, 2, 4, 8, 16, 32, 64, 91, 117, 128, 137, 182, 195, 205, 234, 239, 256), 4, 69, 32, 400)
+#: 51 words are at least as many bytes and the gaps between them.
+WORDS = Kind("words", word_symbols, 51, 31, (1, 5, 11, 24, 25, 27), 4, 8, 8, 101)
+
+
+def repeated(texts: DataFrame, schema: str, make: Callable, keys: list[str], high: str | None = None, more: DataFrame | None = None) -> DataFrame:
+    """The rows that ``make`` draws from the texts, of those whose key another row has too; equal keys stream by in sorted order.
+
+    The upper 32 bits of the long column ``high``, if given, belong to the key.  A row whose key is
+    known to recur often goes to a task by its text's hash, so that no task gets all of a hot key;
+    the known keys are those of a fixed part of the texts, so a task that runs again deals alike.
     """
-    names, order = rows.columns, keys + [high] * bool(high)
+    order, names = keys + [high] * bool(high), [f.split()[0] for f in schema.split(", ")]
+    part = _over_texts(texts.where(F.pmod("h", F.lit(HOT_SHARE)) == 0), schema, make)
+    by = [F.col(k) for k in keys] + ([F.shiftright(high, 32)] if high else [])
+    often = part.groupBy(*by).agg(F.count("*").alias("c")).where(F.col("c") >= HOT_COUNT).orderBy(F.desc("c"), keys[0]).limit(MOST_HOT)
+    hot = np.unique(np.array([r[0] for r in often.collect()], dtype=np.int64))
+    rows = _over_texts(texts, schema, make, (keys[0], hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, held_same = None, False
@@ -103,29 +187,39 @@ def repeated(rows: DataFrame, keys: list[str], high: str | None = None) -> DataF
                 x = t[high].to_numpy() >> 32
                 same &= x[1:] == x[:-1]
             before = np.concatenate([[held_same], same])
-            keep = before | np.concatenate([same, [False]])
+            keep = before | np.concatenate([same, [False]]) | np.asarray(t["sure"])
             held_same = bool(before[-1])
-            out = t.slice(0, t.num_rows - 1).filter(pa.array(keep[:-1]))
+            out = t.slice(0, t.num_rows - 1).filter(pa.array(keep[:-1])).select(names)
             held = t.slice(t.num_rows - 1).to_batches()[0]
             yield from out.to_batches()
-        if held is not None and held_same:
-            yield held
+        if held is not None and (held_same or held["sure"][0].as_py()):
+            yield held.select(names)
 
-    return rows.repartition(*keys).sortWithinPartitions(*order).mapInArrow(run, rows.schema).select(*names)
+    return rows.repartition("deal").sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
-def _over_texts(frame: DataFrame, schema: str, make) -> DataFrame:
-    """``make(row)`` gives arrays for the columns of ``schema`` for each row; rows go out in large batches."""
+def _over_texts(frame: DataFrame, schema: str, make, hot: tuple[str, np.ndarray] | None = None) -> DataFrame:
+    """``make(row)`` gives arrays for the columns of ``schema``, h among them, for each row; rows go out in large batches.
+
+    With ``hot``, a key column and its known repeated values, also ``sure`` (the key is known) and ``deal`` (what to partition by).
+    """
     fields = [f.split() for f in schema.split(", ")]
     kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+    names = [name for name, _ in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
 
         def out() -> pa.RecordBatch:
-            cols = [pa.array(np.concatenate(c), type=kinds[kind]) for c, (_, kind) in zip(zip(*parts), fields)]
+            cols = [np.concatenate(c) for c in zip(*parts)]
             parts.clear()
-            return pa.RecordBatch.from_arrays(cols, names=[name for name, _ in fields])
+            arrays = [pa.array(c, type=kinds[kind]) for c, (_, kind) in zip(cols, fields)]
+            if hot is None:
+                return pa.RecordBatch.from_arrays(arrays, names=names)
+            key, h = cols[names.index(hot[0])], cols[names.index("h")]
+            at = np.searchsorted(hot[1], key)
+            sure = (hot[1][np.minimum(at, len(hot[1]) - 1)] == key) if len(hot[1]) else np.zeros(len(key), dtype=bool)
+            return pa.RecordBatch.from_arrays([*arrays, pa.array(sure), pa.array(np.where(sure, key ^ h, key))], names=[*names, "sure", "deal"])
 
         for batch in batches:
             for k in range(batch.num_rows):
@@ -139,7 +233,7 @@ def _over_texts(frame: DataFrame, schema: str, make) -> DataFrame:
         if parts:
             yield out()
 
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(run, schema + (", sure boolean, deal long" if hot is not None else ""))
 
 
 def _twice(keys: np.ndarray) -> np.ndarray:
@@ -154,83 +248,54 @@ def _data(row) -> bytes:
     return row["text"].as_py().encode("utf-8", "surrogatepass")
 
 
-def _aspects(names: Names, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(name, first window, last window): what windows around sampled positions have in common, range by range."""
-    out = []
-    for k in range(ASPECTS):
-        start = at - k * STEP
-        start = start[(start >= 0) & (start + LENGTH - STEP + 1 <= names.n)]
-        out.append((names.of(start, start + LENGTH - STEP + 1) ^ np.int64(k), start - STEP + 1, start))
-    return tuple(np.concatenate(x) for x in zip(*out))
-
-
-def _candidates(names: Names, keys: np.ndarray) -> np.ndarray:
-    """The windows, by start, in the ranges whose long names are among the repeated ones."""
-    name, first, last = _aspects(names, sampled(names.n))
-    hit = np.isin(name, keys)
-    top = names.n - LENGTH
-    edge = np.zeros(top + 2, dtype=np.int64)
-    np.add.at(edge, np.clip(first[hit], 0, top + 1), 1)
-    np.add.at(edge, np.clip(last[hit] + 1, 0, top + 1), -1)
-    return np.flatnonzero(np.cumsum(edge[:-1]) > 0)
-
-
-def _stretches(names: Names, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first, last) windows of the stretches between neighbouring anchors of a run of candidates."""
-    anchors = windows[names.of(windows, windows + LENGTH) % ANCHOR == 0]
-    run = np.cumsum(np.concatenate([[0], np.diff(windows) > 1]))
-    of = run[np.searchsorted(windows, anchors)]
-    joined = np.flatnonzero(of[1:] == of[:-1]) if len(anchors) > 1 else np.empty(0, dtype=np.int64)
-    return anchors[joined], anchors[joined + 1]
-
-
-def repeated_windows(texts: DataFrame) -> DataFrame:
-    """(h, spans) of the texts, rows (h, text) that differ, in which a string of LENGTH bytes starts that starts elsewhere too.
+def repeated_windows(texts: DataFrame, kind: Kind = BYTES) -> DataFrame:
+    """(h, spans) of the texts, rows (h, text) that differ, in which a string of ``kind`` starts that starts elsewhere too.
 
     ``spans`` is an array of flat pairs (first window, last window), all of whose windows are such.
     """
     small_batches(texts.sparkSession)
-    texts = texts.where(F.octet_length("text") >= LENGTH)
+    texts = texts.where(F.octet_length("text") >= kind.least_bytes)
 
     def sample(row):
-        names = Names(_data(row), both=False)
-        at = sampled(names.n)
-        name = names.of(at, at + PREFIX)
+        names = kind.names(row, both=False)
+        at = kind.sampled(names.n)
+        name = names.of(at, at + kind.prefix)
         name = name[_twice(name)]
         return name, np.full(len(name), row["h"].as_py())
 
     def recur(row):
-        names = Names(_data(row), both=False)
-        at = sampled(names.n)
-        name, *_ = _aspects(names, at[np.isin(names.of(at, at + PREFIX), keys_of(row))])
+        names = kind.names(row, both=False)
+        at = kind.sampled(names.n)
+        name, *_ = kind.ranges(names, at[np.isin(names.of(at, at + kind.prefix), keys_of(row))])
         name = name[_twice(name)]
         return name, np.full(len(name), row["h"].as_py())
 
     spark = texts.sparkSession
     keys_of = lambda row: row["keys"].values.to_numpy()
 
-    def with_keys(frame: DataFrame, make, kind: str) -> DataFrame:
+    def with_keys(frame: DataFrame, make, name: str) -> DataFrame:
         """The texts that have repeated names, with these."""
-        by_text = repeated(_over_texts(frame, "key long, h long", make), ["key"]).groupBy("h").agg(F.collect_set("key").alias("keys"))
-        by_text = cut(by_text, kind)
+        by_text = repeated(frame, "key long, h long", make, ["key"]).groupBy("h").agg(F.collect_set("key").alias("keys"))
+        by_text = cut(by_text, name)
         release(spark)
         own = texts.join(broadcast_if_small(by_text.select("h"), 8), "h", "left_semi")
         return own.join(by_text, "h").select("h", "text", "keys")
 
     held = cut(with_keys(with_keys(texts, sample, "suffix-names"), recur, "suffix-long-names"), "suffix-texts")
     release(spark)
+
     def stretch(row):
-        names = Names(_data(row))
-        first, last = _stretches(names, _candidates(names, keys_of(row)))
-        k1, k2 = names.of(first, last + LENGTH), names.of(first, last + LENGTH, 1)
+        names = kind.names(row)
+        first, last = kind.stretches(names, kind.candidates(names, keys_of(row)))
+        k1, k2 = names.of(first, last + kind.length), names.of(first, last + kind.length, 1)
         two = _twice(k1)
         return k1[two], k2[two], np.full(len(two), row["h"].as_py()), first[two], last[two]
 
     def repetitive(row):
         """Spans of what a text itself holds over twice, which the first two stretches do not settle."""
-        names = Names(_data(row), both=False)
-        first, last = _stretches(names, _candidates(names, keys_of(row)))
-        k1 = names.of(first, last + LENGTH)
+        names = kind.names(row, both=False)
+        first, last = kind.stretches(names, kind.candidates(names, keys_of(row)))
+        k1 = names.of(first, last + kind.length)
         often = np.ones(len(k1), dtype=bool)
         often[_twice(k1)] = False
         first, last = first[often], last[often]
@@ -239,16 +304,16 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
         new = np.concatenate([[True], first[1:] > last[:-1]])
         return np.full(int(new.sum()), row["h"].as_py()), first[new], last[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(last) - 1]])]
 
-    found = cut(repeated(_over_texts(held, "k1 long, k2 long, h long, first long, last long", stretch), ["k1", "k2"]), "suffix-stretches")
+    found = cut(repeated(held, "k1 long, k2 long, h long, first long, last long", stretch, ["k1", "k2"]), "suffix-stretches")
     speaks = found.groupBy("k1", "k2").agg(F.min(F.struct("h", "first")).alias("one")).select("one.h", "one.first", F.lit(True).alias("speaks"))
     settled = found.select("h", "first", "last").join(speaks.distinct(), ["h", "first"], "left")
     settled = settled.unionByName(_over_texts(held, "h long, first long, last long", repetitive).withColumn("speaks", F.lit(False)))
     settled = cut(settled.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("first", "last", F.coalesce("speaks", F.lit(False)).cast("long").alias("speaks")))).alias("s")).select("h", F.flatten(F.transform("s", lambda x: F.array(x["first"], x["last"], x["speaks"]))).alias("settled")), "suffix-settled")
 
     def window(row):
-        """What is not settled, and for the text that speaks for a class also what is: marked by h null."""
-        names = Names(_data(row))
-        windows = _candidates(names, keys_of(row))
+        """What is not settled, and for the text that speaks for a class also what is: its place is all ones."""
+        names = kind.names(row)
+        windows = kind.candidates(names, keys_of(row))
         ends = row["settled"].values.to_numpy().reshape(-1, 3) if row["settled"].is_valid else np.empty((0, 3), dtype=np.int64)
         done, said = np.zeros(names.n + 2, dtype=np.int64), np.zeros(names.n + 2, dtype=np.int64)
         for marks, e in ((done, ends), (said, ends[ends[:, 2] == 1])):
@@ -256,12 +321,11 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
             np.add.at(marks, e[:, 1] + 1, -1)
         done, said = np.cumsum(done)[windows] > 0, np.cumsum(said)[windows] > 0
         windows, done = windows[~done | said], done[~done | said]
-        second = names.of(windows, windows + LENGTH, 1) & ~np.int64(0xFFFFFFFF)
-        return names.of(windows, windows + LENGTH), second | np.where(done, 0xFFFFFFFF, windows), np.where(done, 0, row["h"].as_py())
+        second = names.of(windows, windows + kind.length, 1) & ~np.int64(0xFFFFFFFF)
+        return names.of(windows, windows + kind.length), second | np.where(done, 0xFFFFFFFF, windows), np.where(done, 0, row["h"].as_py())
 
     release(spark)
-    rest = _over_texts(held.join(settled, "h", "left"), "k1 long, k2at long, h long", window)
-    ends = repeated(rest, ["k1"], "k2at").select("h", F.col("k2at").bitwiseAND(F.lit(0xFFFFFFFF)).alias("at"))
+    ends = repeated(held.join(settled, "h", "left"), "k1 long, k2at long, h long", window, ["k1"], "k2at").select("h", F.col("k2at").bitwiseAND(F.lit(0xFFFFFFFF)).alias("at"))
     ends = ends.where(F.col("at") != 0xFFFFFFFF).groupBy("h").agg(F.collect_list("at").alias("ends"))
     joined = settled.join(ends, "h", "full")
 
@@ -281,60 +345,73 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs`` with n_bytes, n_removed, n_spans and kept (binary): the bytes of text outside repeated strings.
+    """``docs`` with n_bytes, n_removed, n_spans, kept (binary) and n_passage_words.
 
-    A text is its UTF-8 bytes, a null one is empty.  A byte goes if a string of LENGTH bytes over
+    A text is its UTF-8 bytes, a null one is empty.  A byte goes if a string of 400 bytes over
     it also starts anywhere else in the input, in the same row or another; overlapping occurrences
     count, all occurrences go, and matches never cross rows.  So rows with equal texts of at least
-    LENGTH bytes lose them whole.  Columns of ``docs`` with the new names are replaced.
+    400 bytes lose them whole.  n_passage_words counts the words of the text within passages of 51
+    words that also start anywhere else, whatever lies between their words; it says what repeats
+    and removes nothing.  Columns of ``docs`` with the new names are replaced; others may have any name.
     """
-    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
+    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept", "n_passage_words")
     text = F.coalesce("text", F.lit(""))
+    least = min(BYTES.least_bytes, WORDS.least_bytes)
     classes, salt = None, 0
     while classes is None or classes.groupBy("h").count().where("count > 1").limit(1).count():  # two texts of one hash
         salt += 1
-        classes = cut(docs.select(text.alias("t")).where(F.octet_length("t") >= LENGTH).select(F.xxhash64(F.lit(salt), "t").alias("h"), F.xxhash64("t", F.lit(-salt)).alias("h2")).groupBy("h", "h2").agg(F.count("*").alias("copies")), "suffix-classes")
-    hashed = docs.withColumn("_text", text).withColumn("_h", F.xxhash64(F.lit(salt), "_text"))
+        classes = cut(docs.select(text.alias("t")).where(F.octet_length("t") >= least).select(F.xxhash64(F.lit(salt), "t").alias("h"), F.xxhash64("t", F.lit(-salt)).alias("h2")).groupBy("h", "h2").agg(F.count("*").alias("copies")), "suffix-classes")
+    hashed = docs.select(F.struct(*docs.columns).alias("row"), text.alias("text"), F.xxhash64(F.lit(salt), text).alias("h"))
     copied = classes.where("copies > 1").select("h")
-    long = hashed.select(F.col("_h").alias("h"), F.col("_text").alias("text")).where(F.octet_length("text") >= LENGTH)
+    long = hashed.select("h", "text").where(F.octet_length("text") >= least)
     copied = broadcast_if_small(cut(copied, "suffix-copied"), 8)
     single = long.join(copied, "h", "left_anti")
-    once = long.join(copied, "h", "left_semi").groupBy("h").agg(F.first("text").alias("text"))
-    spans = repeated_windows(single.unionByName(once))
+    once = cut(long.join(copied, "h", "left_semi").groupBy("h").agg(F.first("text").alias("text")), "suffix-once")
+    texts = single.unionByName(once)
+    spans = cut(repeated_windows(texts, BYTES), "suffix-bytes")
+    release(docs.sparkSession)
+    passages = cut(repeated_windows(texts, WORDS).withColumnRenamed("spans", "passages"), "suffix-words")
+    release(docs.sparkSession)
     whole = copied.select("h", F.lit(True).alias("whole"))
-    marks = cut(spans.join(whole, "h", "full").select(F.col("h").alias("_mark"), "spans", F.coalesce("whole", F.lit(False)).alias("whole")), "suffix-marks")
+    marks = spans.join(passages, "h", "full").join(whole, "h", "full")
+    marks = cut(marks.select(F.col("h").alias("mark"), "spans", "passages", F.coalesce("whole", F.lit(False)).alias("whole")), "suffix-marks")
 
-    listed = broadcast_if_small(marks.select(F.col("_mark").alias("_h")), 8)
-    clean = hashed.join(listed, "_h", "left_anti")
-    clean = clean.select(*docs.columns, F.octet_length("_text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.encode("_text", "UTF-8").alias("kept"))
-    marked = hashed.join(listed, "_h", "left_semi").join(marks, F.col("_h") == F.col("_mark")).select(*docs.columns, "_text", "spans", "whole")
+    listed = broadcast_if_small(marks.select(F.col("mark").alias("h")), 8)
+    none = F.lit(0).cast("long")
+    clean = hashed.join(listed, "h", "left_anti")
+    clean = clean.select("row.*", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.encode("text", "UTF-8").alias("kept"), none.alias("n_passage_words"))
+    marked = hashed.join(listed, "h", "left_semi").join(marks, F.col("h") == F.col("mark")).select("row", "text", "spans", "passages", "whole")
 
-    @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept binary")
-    def cut_out(texts, spans, whole):
+    @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept binary, n_passage_words long")
+    def cut_out(texts, spans, passages, whole):
         import pandas as pd
 
+        def covered(n: int, windows, length: int) -> np.ndarray:
+            s = np.asarray([] if windows is None else windows, dtype=np.int64).reshape(-1, 2)
+            edge = np.zeros(n + 1, dtype=np.int64)
+            np.add.at(edge, s[:, 0], 1)
+            np.add.at(edge, s[:, 1] + length, -1)
+            return np.cumsum(edge[:-1]) > 0
+
         rows = []
-        for t, s, all_of_it in zip(texts, spans, whole):
+        for t, s, p, all_of_it in zip(texts, spans, passages, whole):
             data = t.encode("utf-8", "surrogatepass")
+            n_words = len(word_bounds(data)[0])
+            gone, told = covered(len(data), s, BYTES.length), covered(n_words, p, WORDS.length)
             if all_of_it:
-                rows.append((len(data), len(data), 1, b""))
-                continue
-            s = np.asarray(s, dtype=np.int64).reshape(-1, 2)
-            edge = np.zeros(len(data) + 1, dtype=np.int64)
-            np.add.at(edge, s[:, 0], 1)
-            np.add.at(edge, s[:, 1] + LENGTH, -1)
-            gone = np.cumsum(edge[:-1]) > 0
+                gone |= len(data) >= BYTES.length
+                told |= n_words >= WORDS.length
             starts = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-            rows.append((len(data), int(gone.sum()), starts, np.frombuffer(data, dtype=np.uint8)[~gone].tobytes()))
-        return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept"])
+            rows.append((len(data), int(gone.sum()), starts, np.frombuffer(data, dtype=np.uint8)[~gone].tobytes(), int(told.sum())))
+        return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept", "n_passage_words"])
 
-    marked = marked.withColumn("_out", cut_out("_text", "spans", "whole")).select(*docs.columns, "_out.n_bytes", "_out.n_removed", "_out.n_spans", "_out.kept")
+    marked = marked.withColumn("out", cut_out("text", "spans", "passages", "whole")).select("row.*", "out.*")
     return clean.unionByName(marked)
 
 
 def op10_suffixes(spark, sf_dir: str) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of all documents."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and n_passage_words of all documents."""
     from cubeflow.llm.common import table
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return deduplicated(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return deduplicated(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passage_words")

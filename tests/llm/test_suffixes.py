@@ -1,11 +1,25 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 from cubeflow.llm import suffixes
 
 
-def plain(texts, length=suffixes.LENGTH):
+def plain_passages(texts, length=suffixes.WORDS.length):
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    seen = Counter(tuple(w[i : i + length]) for w in words for i in range(len(w) - length + 1))
+    out = []
+    for w in words:
+        told = [False] * len(w)
+        for i in range(len(w) - length + 1):
+            if seen[tuple(w[i : i + length])] > 1:
+                told[i : i + length] = [True] * length
+        out.append(sum(told))
+    return out
+
+
+def plain(texts, length=suffixes.BYTES.length):
     data = [(t or "").encode() for t in texts]
     seen = Counter(b[i : i + length] for b in data for i in range(len(b) - length + 1))
     out = []
@@ -21,10 +35,11 @@ def plain(texts, length=suffixes.LENGTH):
 
 
 def got(spark, texts):
-    docs = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], "doc_id long, text string, kept string")
+    docs = spark.createDataFrame([(i, t, "c", i, "h") for i, t in enumerate(texts)], "doc_id long, text string, kept string, spans long, whole string")
     rows = suffixes.deduplicated(docs.repartition(3)).collect()
     by_id = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in rows}
-    assert len(rows) == len(texts)
+    assert len(rows) == len(texts) and all((r.spans, r.whole) == (r.doc_id, "h") for r in rows)
+    assert [r.n_passage_words for r in sorted(rows, key=lambda r: r.doc_id)] == plain_passages(texts)
     return [by_id[i] for i in range(len(texts))]
 
 
@@ -33,7 +48,9 @@ def noise(rng, n, letters="abcdefghij é"):
 
 
 def test_cover_reaches_every_difference():
-    assert {(a - b) % suffixes.V for a in suffixes.COVER.tolist() for b in suffixes.COVER.tolist()} == set(range(suffixes.V))
+    for kind in (suffixes.BYTES, suffixes.WORDS):
+        assert {(a - b) % kind.v for a in kind.cover for b in kind.cover} == set(range(kind.v))
+        assert kind.aspects * kind.step >= kind.v - 1 and kind.length - kind.step + 1 > kind.prefix
 
 
 def test_against_brute_force(spark):
@@ -49,6 +66,28 @@ def test_against_brute_force(spark):
     assert got(spark, texts) == plain(texts)
 
 
+def test_passages_of_words(spark):
+    rng = random.Random(5)
+    voc = [noise(rng, rng.randrange(1, 9), "abcdefghijklmnop") for _ in range(400)]
+    said = lambda n: " ".join(rng.choice(voc) for _ in range(n))
+    shared, other = said(400).split(" "), said(55)
+    texts = [None, "", said(50), "a " * 51, "b\n" * 50, said(3000)]
+    for n in (49, 50, 51, 52, 60, 90, 200):
+        for _ in range(4):
+            a = rng.randrange(0, len(shared) - n)
+            texts.append(said(rng.randrange(1, 80)) + "\t" + rng.choice([" ", "\n", "  "]).join(shared[a : a + n]) + " " + said(rng.randrange(1, 80)))
+    texts += [said(20) + " " + other + " " + said(k) for k in range(1, 40)] + [other, other, said(60) + " x " + said(3), said(53).replace(" ", "\n")]
+    assert got(spark, texts) == plain(texts)
+
+
+def test_a_passage_that_most_texts_share(spark):
+    """Hot names are dealt by text; the result is the same."""
+    rng = random.Random(8)
+    hot = noise(rng, 620)
+    texts = [noise(rng, rng.randrange(90)) + (hot if i % 8 else hot[:380]) + noise(rng, rng.randrange(90)) for i in range(900)]
+    assert got(spark, texts) == plain(texts)
+
+
 def test_empty_and_repeated_rows(spark):
     schema = "doc_id long, text string"
     assert suffixes.deduplicated(spark.createDataFrame([], schema)).collect() == []
