@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 from cubeflow.llm import packing
 
 
-def check(rows, texts):
+def check(rows, texts, capacity=2048):
     """Every id of every document lies in exactly one piece and every sequence is gapless."""
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for i, t in texts.items()}
@@ -25,10 +25,10 @@ def check(rows, texts):
     for parts in sequences.values():
         at = 0
         for offset, length, total, padded in sorted(parts):
-            assert offset == at and at + length <= 2048
+            assert offset == at and at + length <= capacity
             at += length
         assert {p[2] for p in parts} == {at}
-        assert {p[3] for p in parts} == {at if at & (at - 1) == 0 else 2048}
+        assert {p[3] for p in parts} == {at if at & (at - 1) == 0 else capacity}
     return sequences
 
 
@@ -42,6 +42,17 @@ def test_round_trip_against_the_tokenizers_library(spark):
     assert padding == 0
 
 
+def test_open_windows_go_on_to_the_next_rounds(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MOST_OPEN", 150)  # the driver's: so many to a task of the later rounds
+    texts = {i: " ".join("a" for k in range(i * 37 % 41)) for i in range(1500)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(12)
+    rows = packing.pack(docs, capacity=32).collect()
+    sequences = check(rows, texts, 32)
+    assert len({s >> packing.SEQUENCE_BITS + packing.TASK_BITS for s in sequences}) >= 3
+    # only the very last windows are cut, so hardly a document below a window is
+    assert sum(r.length < r.doc_tokens < 32 for r in rows) <= 120
+
+
 def test_repeated_null_and_no_rows(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     rows = packing.pack(spark.createDataFrame([(None, "a b"), (7, "a b"), (7, "a b")], "doc_id long, text string"), keep_ids=True)
