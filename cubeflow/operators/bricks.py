@@ -1,8 +1,9 @@
 """The brick view: chunks with their voxels as arrays, statistics, hashes, re-bricking, halos, copies.
 
-A brick row is (chunk, b0, b1, ..., values array<double>, n, lo, hi, const_value, hash).  Voxels of a
-brick are in order with dimension 0 fastest.  A constant brick has no array but its value; one
-without any value is not stored, as every reader fills what is missing with NoValue.
+A brick row is (chunk, b0, b1, ..., at, values, n, lo, hi, const_value, hash); values have the type of the
+voxels' value.  Voxels of a brick are in order with dimension 0 fastest; ``at`` names their places and is
+null where all are there.  A constant brick has no array but its value; one without any value is not
+stored, as every reader fills what is missing with NoValue.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ def _local_offset(grid: Grid) -> Column:
 
 def to_bricks(voxels: DataFrame, grid: Grid) -> DataFrame:
     """Voxels of full resolution gathered into bricks, one shuffle on the chunk number."""
-    rows = voxels.where(F.col("value").isNotNull()).select(grid.chunk_column().alias("chunk"), *grid.brick_columns(), _local_offset(grid).cast("int").alias("at"), F.col("value").cast("double").alias("value"))
+    rows = voxels.where(F.col("value").isNotNull()).select(grid.chunk_column().alias("chunk"), *grid.brick_columns(), _local_offset(grid).cast("int").alias("at"), "value")
     names = [f"b{d}" for d in range(len(grid.shape))]
     bricks = rows.groupBy("chunk", *names).agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("cells"), F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
     volume = F.lit(1).cast("long")
@@ -36,7 +37,10 @@ def to_bricks(voxels: DataFrame, grid: Grid) -> DataFrame:
         volume = volume * (F.least((F.col(f"b{d}") + 1) * grid.size(d), F.lit(n)) - F.col(f"b{d}") * grid.size(d))
     constant = (F.col("lo") == F.col("hi")) & (F.col("n") == volume)
     at, values = F.col("cells.at"), F.col("cells.value")
-    return bricks.select("chunk", *names, F.when(~constant, at).alias("at"), F.when(~constant, values).alias("values"), "n", "lo", "hi", F.when(constant, F.col("lo")).alias("const_value"), F.xxhash64(at, values).alias("hash"))
+    full = 1
+    for d in range(len(grid.shape)):
+        full *= grid.size(d)
+    return bricks.select("chunk", *names, F.when(~constant & (F.col("n") < full), at).alias("at"), F.when(~constant, values).alias("values"), "n", "lo", "hi", F.when(constant, F.col("lo")).alias("const_value"), F.xxhash64(at, values).alias("hash"))
 
 
 def from_bricks(bricks: DataFrame, grid: Grid, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -47,7 +51,9 @@ def from_bricks(bricks: DataFrame, grid: Grid, keep: tuple[str, ...] = ()) -> Da
     for s in sizes:
         total *= s
     whole = F.sequence(F.lit(0), F.lit(total - 1))
-    cells = F.when(F.col("const_value").isNull(), F.arrays_zip("at", "values")).otherwise(F.transform(whole, lambda i: F.struct(i.alias("at"), F.col("const_value").alias("values"))))
+    dense = F.transform("values", lambda v, i: F.struct(i.alias("at"), v.alias("values")))
+    constant = F.transform(whole, lambda i: F.struct(i.alias("at"), F.col("const_value").alias("values")))
+    cells = F.when(F.col("const_value").isNotNull(), constant).when(F.col("at").isNull(), dense).otherwise(F.arrays_zip("at", "values"))
     rows = bricks.select(*keep, *names, F.explode(cells).alias("c"))
     rest, cols = F.col("c.at").cast("long"), []
     for d, s in enumerate(sizes):
@@ -68,6 +74,23 @@ def subset_bricked(bricks: DataFrame, grid: Grid, low: tuple[int, ...], high: tu
     return from_bricks(prune(bricks, grid, low, high), grid).where(in_region(low, high))
 
 
+def below(chunks: DataFrame, grid: Grid, lower: Grid, full_res_dim: int = -1) -> DataFrame:
+    """(chunk) of the level below, ``lower``, that (b0, b1, ...) of a level are made of: two along each halved dimension."""
+    spots, factor = F.array(F.lit(0).cast("long")), 1
+
+    def spread(spots: Column, near: Column, factor: int) -> Column:
+        return F.flatten(F.transform(spots, lambda s: F.transform(near, lambda x: s + x * factor)))
+
+    def halves(b: Column, n: int) -> Column:
+        return F.filter(F.array(2 * b, 2 * b + 1), lambda x: x < n)
+
+    for d, n in enumerate(lower.counts):
+        b = F.col(f"b{d}").cast("long")
+        spots = spread(spots, F.array(b) if d == full_res_dim or d > 2 else halves(b, n), factor)
+        factor *= n
+    return chunks.select(F.explode(spots).alias("chunk")).distinct()
+
+
 def chunk_stats(voxels: DataFrame, grid: Grid) -> DataFrame:
     """(chunk, n, n_values, lo, hi): voxels, values and value range of every chunk that has rows."""
     return voxels.groupBy(grid.chunk_column().alias("chunk")).agg(F.count("*").alias("n"), F.count("value").alias("n_values"), F.min("value").alias("lo"), F.max("value").alias("hi"))

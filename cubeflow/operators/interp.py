@@ -13,6 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cubeflow.descriptor import Channel, InvalidArgument, InvalidOperation
 from cubeflow.operators.subset import axes_of, dense
@@ -62,7 +63,8 @@ def gather(positions: DataFrame, voxels: DataFrame, method: str, shape: tuple[in
     """``positions`` (id, p0, p1, ...) with ``taps``: array<double> of the voxels' values in tap order."""
     names = [f"d{d}" for d in range(len(shape))]
     taps = positions.select("id", F.explode(tap_indices(method, shape)).alias("t")).select("id", "t.*")
-    found = taps.join(voxels.select(*names, F.col("value").cast("double").alias("value")), names, "left")
+    value = F.col("value") if isinstance(voxels.schema["value"].dataType, T.StructType) or method == "nearest" else F.col("value").cast("double")
+    found = taps.join(voxels.select(*names, value.alias("value")), names, "left")
     if method == "nearest":
         values = found.select("id", F.array("value").alias("taps"))
     else:
@@ -93,46 +95,55 @@ def _nearest_tap(method: str, n_dims: int) -> Column:
     return at
 
 
-def value_at(method: str, n_dims: int, value_range: tuple[float, float] | None = None) -> Column:
+def value_at(method: str, n_dims: int, value_range: tuple[float, float] | None = None, taps: Column | None = None) -> Column:
     """The interpolated value of a gathered row; null where the nearest voxel has none."""
-    taps = F.col("taps")
+    taps = F.col("taps") if taps is None else taps
     offsets = _offsets(method, n_dims)
     free = min(n_dims, 3)
     if method == "nearest":
         return F.get(taps, 0)
     if method == "triangular":
-        return _triangular()
+        return _triangular(taps)
     nearest = F.get(taps, _nearest_tap(method, n_dims))
-    if method in ("linear", "angular"):
-        weights = [_product([_fraction(f"p{d}") if o[d] else 1.0 - _fraction(f"p{d}") for d in range(free)]) for o in offsets]
-        values = [F.get(taps, k) for k in range(len(offsets))]
+    per = [_cubic_weights(_fraction(f"p{d}")) if method == "cubic" else [1.0 - _fraction(f"p{d}"), _fraction(f"p{d}")] for d in range(free)]
+    low = min(o[0] for o in offsets)
+    # per dimension an array of weights, computed once a row, and each tap's place in it as fixed numbers
+    weights = F.array(*[F.array(*w) for w in per])
+    place = [F.array(*[F.lit(o[d] - low) for o in offsets]) for d in range(free)]
+    if method == "angular":
+        if value_range is None:
+            raise InvalidArgument("angular interpolation needs a value range")
+        width = value_range[1] - value_range[0]
+    centre = {o: k for k, o in enumerate(offsets)}
+    # a tap of the cubic counts only if the tap between it and the position has a value as well
+    inner = F.array(*[F.lit(centre[tuple(min(max(x, 0), 1) for x in o)]) for o in offsets])
+
+    def mixed(b: Column) -> Column:
+        values, w = b["values"], b["weights"]
         if method == "angular":
-            if value_range is None:
-                raise InvalidArgument("angular interpolation needs a value range")
-            width = value_range[1] - value_range[0]
-            values = [v - F.floor((v - nearest) / width + 0.5) * width for v in values]
-        valid = [v.isNotNull() for v in values]
-    else:
-        per = [_cubic_weights(_fraction(f"p{d}")) for d in range(free)]
-        weights = [_product([per[d][o[d] + 1] for d in range(free)]) for o in offsets]
-        values = [F.get(taps, k) for k in range(len(offsets))]
-        centre = {o: k for k, o in enumerate(offsets)}
-        # a tap counts only if the tap between it and the position has a value as well
-        inner = [centre[tuple(min(max(x, 0), 1) for x in o)] for o in offsets]
-        valid = [values[k].isNotNull() & values[c].isNotNull() for k, c in enumerate(inner)]
-    total = _total([F.when(ok, w * v).otherwise(0.0) for ok, w, v in zip(valid, weights, values)])
-    weight = _total([F.when(ok, w).otherwise(0.0) for ok, w in zip(valid, weights)])
-    every = reduce(lambda a, b: a & b, valid)
-    out = F.when(every, total).otherwise(total / weight)
+            values = F.transform(values, lambda v: v - F.floor((v - nearest) / width + 0.5) * width)
+
+        def tap(v, i):
+            weight = _product([F.get(F.get(w, d), F.get(place[d], i)) for d in range(free)])
+            return F.struct((v.isNotNull() & F.get(values, F.get(inner, i)).isNotNull()).alias("ok"), weight.alias("w"), v.alias("v"))
+
+        def add(s, t):
+            part = lambda x: F.when(t["ok"], x).otherwise(0.0)
+            return F.struct((s["total"] + part(t["w"] * t["v"])).alias("total"), (s["weight"] + part(t["w"])).alias("weight"), (s["every"] & t["ok"]).alias("every"))
+
+        zero = F.struct(F.lit(0.0).alias("total"), F.lit(0.0).alias("weight"), F.lit(True).alias("every"))
+        return F.aggregate(F.transform(values, tap), zero, add, lambda s: F.when(s["every"], s["total"]).otherwise(s["total"] / s["weight"]))
+
+    out = F.element_at(F.transform(F.array(F.struct(taps.alias("values"), weights.alias("weights"))), mixed), 1)
     if method == "angular":
         out = out - F.floor((out - value_range[0]) / width) * width
     return F.when(nearest.isNotNull(), out)
 
 
-def _triangular() -> Column:
+def _triangular(taps: Column) -> Column:
     """Heights over two triangles of a cell: split along one diagonal, or the other where a corner has no value."""
     u, v = _fraction("p0"), _fraction("p1")
-    v00, v10, v01, v11 = (F.get("taps", k) for k in range(4))
+    v00, v10, v01, v11 = (F.get(taps, k) for k in range(4))
     both, other = v10.isNotNull() & v01.isNotNull(), v00.isNotNull() & v11.isNotNull()
     return (
         F.when(both & (u <= 1.0 - v) & v00.isNotNull(), v00 + u * (v10 - v00) + v * (v01 - v00))
@@ -152,9 +163,20 @@ def samples(positions: DataFrame, voxels: DataFrame, shape: tuple[int, ...], met
     the valid taps are scaled to sum to one.
     """
     method = method_for(method, channel)
-    value = value_at(method, len(shape), value_range or ((channel.range_min, channel.range_max) if channel else None))
-    if replacement is not None:
-        value = F.coalesce(value, F.lit(replacement))
+    bounds = value_range or ((channel.range_min, channel.range_max) if channel else None)
+    kind = voxels.schema["value"].dataType
+
+    def one(taps: Column | None = None) -> Column:
+        value = value_at(method, len(shape), bounds, taps)
+        return value if replacement is None else F.coalesce(value, F.lit(replacement))
+
+    def component(name: str) -> Column:
+        return F.transform("taps", lambda t: t[name] if method == "nearest" else t[name].cast("double"))
+
+    if isinstance(kind, T.StructType):  # components, each by itself
+        value = F.struct(*[one(component(f.name)).alias(f.name) for f in kind])
+    else:
+        value = one()
     return gather(positions, voxels, method, shape).select("id", value.alias("value"))
 
 

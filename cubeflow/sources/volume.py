@@ -3,6 +3,10 @@
 ``Volume`` is the request API: subsets, slices, samples, traces, projections, chunk access, writing
 with or without levels of detail, copying and maintenance.  Reads plan their bricks first, so that
 predicates on brick positions reach the Parquet scan, and are lazy DataFrames like any other.
+
+A table is written to a folder of its own and then entered in the list of tables, which is replaced in
+one rename: a writer that dies leaves what was there, and readers see a table old or new.  Values are
+stored in their channel's own type.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cubeflow.descriptor import Channel, Descriptor, InvalidArgument, InvalidOperation, MetadataItem, ReadError, buffer_bytes, can_remap, check_region, dimension_groups, layer_name, subset_shape
 from cubeflow.functions import convert
@@ -24,6 +29,8 @@ METADATA_SCHEMA = "category string, name string, type string, int_v array<int>,
 ACCESS_MODES = ("ReadOnly", "ReadWrite", "Create", "CreateWithoutLODGeneration", "ReadWriteWithoutLODGeneration")
 PRODUCE_STATUS = ("Normal", "Remapped", "Unavailable")
 _MEMORY: dict[str, dict] = {}
+#: The list of a dataset's tables.
+TABLES = "tables.json"
 
 
 def metadata_frame(spark: SparkSession, items: list[MetadataItem]) -> DataFrame:
@@ -113,7 +120,7 @@ class Volume:
             _MEMORY[v.path] = {"descriptor": descriptor, "tables": {}}
         else:
             spark.createDataFrame([(descriptor.to_json(),)], "json string").coalesce(1).write.mode("errorifexists").text(f"{v.path}/descriptor")
-        v._write("metadata", metadata_frame(spark, list(metadata)), "errorifexists")
+        v._write("metadata", metadata_frame(spark, list(metadata)))
         return v
 
     @classmethod
@@ -143,24 +150,68 @@ class Volume:
     def _in_memory(self) -> bool:
         return self.path.startswith("memory://")
 
-    def _write(self, name: str, df: DataFrame, mode: str = "overwrite", by: list[str] = ()) -> None:
+    def _tables(self) -> dict[str, dict]:
+        """What is stored: by name its folder and schema."""
+        where = self._hadoop(TABLES)
+        store = self._store(where)
+        if not store.exists(where):
+            return {}
+        jvm, stream = self.spark.sparkContext._jvm, store.open(where)
+        try:
+            return json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _hadoop(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def _store(self, where):
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _list(self, tables: dict[str, dict]) -> None:
+        """Replaces the list of tables."""
+        sc = self.spark.sparkContext
+        new, old = self._hadoop(f"{TABLES}-{uuid.uuid4().hex}"), self._hadoop(TABLES)
+        out = self._store(new).create(new, True)
+        out.write(bytearray(json.dumps(tables, indent=1).encode()))
+        out.close()
+        over = sc._gateway.new_array(sc._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        over[0] = sc._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        new, old = self._store(new).makeQualified(new), self._store(old).makeQualified(old)
+        sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), sc._jsc.hadoopConfiguration()).rename(new, old, over)
+
+    def _write(self, name: str, df: DataFrame) -> None:
         if self.mode in ("ReadOnly", "Closed"):
             raise InvalidOperation(f"the dataset is {self.mode}")
         if self._in_memory:
-            tables = _MEMORY[self.path]["tables"]
-            tables[name] = tables[name].unionByName(df) if mode == "append" and name in tables else df.cache()
-        else:
-            df.write.mode(mode).partitionBy(*by).parquet(f"{self.path}/{name}")
+            _MEMORY[self.path]["tables"][name] = df.cache()
+            return
+        folder = f"{name}-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.path}/{folder}")
+        self._list(self._tables() | {name: {"folder": folder, "schema": df.schema.json()}})
 
     def _read(self, name: str) -> DataFrame:
+        tables = _MEMORY[self.path]["tables"] if self._in_memory else self._tables()
+        if name not in tables:
+            raise ReadError(f"{self.path} has no {name}")
         if self._in_memory:
-            if name not in _MEMORY[self.path]["tables"]:
-                raise ReadError(f"{self.path} has no {name}")
-            return _MEMORY[self.path]["tables"][name]
-        try:
-            return self.spark.read.parquet(f"{self.path}/{name}")
-        except Exception as e:
-            raise ReadError(f"{self.path} has no {name}: {e}") from e
+            return tables[name]
+        return self.spark.read.schema(T.StructType.fromJson(json.loads(tables[name]["schema"]))).parquet(f"{self.path}/{tables[name]['folder']}")
+
+    def vacuum(self) -> int:
+        """Deletes the folders of tables that were replaced; their number.  Not while others read them."""
+        if self._in_memory:
+            return 0
+        tables = self._tables()
+        live, gone = {t["folder"] for t in tables.values()}, 0
+        for parent in {f.rpartition("/")[0] for f in live}:
+            where = self._hadoop(parent) if parent else self._hadoop(".")
+            for status in self._store(where).listStatus(where):
+                name = f"{parent}/{status.getPath().getName()}".lstrip("/")
+                if status.isDirectory() and name not in live and name.rpartition("-")[0] in tables:
+                    self._store(where).delete(status.getPath(), True)
+                    gone += 1
+        return gone
 
     # --- layers ---
 
@@ -186,14 +237,19 @@ class Volume:
         if c.mapping == "PerTrace":
             raise InvalidOperation(f"{c.name} is a PerTrace channel; use write_traces")
         lods = not self.mode.endswith("WithoutLODGeneration") if lods is None else lods
-        level = voxels.withColumn("value", F.col("value").cast("double")) if c.format != "1Bit" else voxels
+        level = self._typed(voxels, c)
         for lod in range(self.descriptor.layout.lods + 1 if lods else 1):
             if lod:
                 # from the level just stored, so that each is computed once
-                level = self.voxels(channel, lod - 1, dims)
-                level = (subset.decimate_bits if c.format == "1Bit" else subset.decimate)(level, self.descriptor.layout.full_res_dim)
-            stored = level.withColumn("value", F.col("value").cast("double"))
-            self._write(self._layer(c, lod, dims), bricks.to_bricks(stored, self._level_grid(lod, dims)))
+                level = self._decimated(self.voxels(channel, lod - 1, dims), c)
+            self._write(self._layer(c, lod, dims), bricks.to_bricks(level, self._level_grid(lod, dims)))
+
+    def _typed(self, voxels: DataFrame, c: Channel) -> DataFrame:
+        """Values in the channel's own type; components are fields c0, c1, ... of a struct."""
+        return voxels.withColumn("value", F.col("value").cast(c.spark_type))
+
+    def _decimated(self, level: DataFrame, c: Channel) -> DataFrame:
+        return (subset.decimate_bits if c.format == "1Bit" else subset.decimate)(level, self.descriptor.layout.full_res_dim)
 
     def write_traces(self, rows: DataFrame, channel: str) -> None:
         """Stores a PerTrace channel: (d1, ..., values)."""
@@ -206,8 +262,7 @@ class Volume:
         return self._read(self._layer(self.descriptor.channel(channel), lod, dims))
 
     def voxels(self, channel: int | str = 0, lod: int = 0, dims: tuple[int, ...] | None = None) -> DataFrame:
-        out = bricks.from_bricks(self.bricks(channel, lod, dims), self._level_grid(lod, dims))
-        return out.withColumn("value", F.col("value") != 0) if self.descriptor.channel(channel).format == "1Bit" else out
+        return bricks.from_bricks(self.bricks(channel, lod, dims), self._level_grid(lod, dims))
 
     def produce_status(self, dims: tuple[int, ...], lod: int = 0, channel: int | str = 0) -> str:
         """Normal if stored, Remapped if it can be made of what is stored, else Unavailable."""
@@ -218,25 +273,20 @@ class Volume:
 
     def stored_layers(self, channel: int | str = 0) -> set[tuple[tuple[int, ...], int]]:
         c = self.descriptor.channel(channel)
-        out = set()
-        for g in dimension_groups(self.descriptor.dimensionality):
-            for lod in range(self.descriptor.layout.lods + 1):
-                try:
-                    self._read(self._layer(c, lod, g))
-                    out.add((g, lod))
-                except ReadError:
-                    pass
-        return out
+        tables = _MEMORY[self.path]["tables"] if self._in_memory else self._tables()
+        levels = range(self.descriptor.layout.lods + 1)
+        return {(g, lod) for g in dimension_groups(self.descriptor.dimensionality) for lod in levels if self._layer(c, lod, g) in tables}
 
     def layers(self) -> DataFrame:
         """(channel, dims, lod, status, chunks, valid_chunks, constant_chunks, samples): what is stored of each layer."""
-        rows = []
+        out = self.spark.createDataFrame([], "channel string, dims string, lod int, status string, chunks long, valid_chunks long, constant_chunks long, samples long")
         for c in self.descriptor.channels:
             if c.mapping == "Direct":
                 for g, lod in sorted(self.stored_layers(c.name)):
-                    r = self.bricks(c.name, lod, g).agg(F.count("*"), F.count("const_value"), F.sum("n")).first()
-                    rows.append((c.name, "".join(map(str, g)), lod, "Normal", self._level_grid(lod, g).total, r[0], r[1], r[2] or 0))
-        return self.spark.createDataFrame(rows, "channel string, dims string, lod int, status string, chunks long, valid_chunks long, constant_chunks long, samples long")
+                    own = self.bricks(c.name, lod, g).agg(F.count("*").alias("valid_chunks"), F.count("const_value").alias("constant_chunks"), F.coalesce(F.sum("n"), F.lit(0)).alias("samples"))
+                    about = [F.lit(c.name).alias("channel"), F.lit("".join(map(str, g))).alias("dims"), F.lit(lod).alias("lod"), F.lit("Normal").alias("status"), F.lit(self._level_grid(lod, g).total).cast("long").alias("chunks")]
+                    out = out.unionByName(own.select(*about, "valid_chunks", "constant_chunks", "samples"))
+        return out
 
     # --- requests ---
 
@@ -254,7 +304,9 @@ class Volume:
     def subset(self, low, high, lod: int = 0, channel: int | str = 0, dims=None, fmt: str | None = None, replacement: float | None = None) -> DataFrame:
         """A hyper-rectangle in voxels of full resolution; indices count from its low end."""
         low, high = tuple(low), tuple(high)
-        layout = self.descriptor.layout
+        layout, c = self.descriptor.layout, self.descriptor.channel(channel)
+        if c.mapping == "PerTrace":
+            return self._trace_subset(low, high, lod, c, fmt, replacement)
         check_region(self.descriptor.shape, low, high, lod, layout.lods)
         g, _ = self._source(dims, lod, channel)
         keep = layout.full_res_dim
@@ -265,26 +317,45 @@ class Volume:
         last = tuple(min(b, n) for b, n in zip(last, shape))
         grid = self._level_grid(lod, g)
         out = bricks.subset_bricked(self.bricks(channel, lod, g), grid, first, last)
+        return self._delivered(out, first, last, c, fmt, replacement)
+
+    def _delivered(self, out: DataFrame, first: tuple[int, ...], last: tuple[int, ...], c: Channel, fmt: str | None, replacement: float | None) -> DataFrame:
+        """Values of a region as asked for: filled, converted (each component), counted from its low end."""
         if replacement is not None:
-            out = subset.densified(out, first, last, replacement)
-        c = self.descriptor.channel(channel)
-        value = F.col("value") != 0 if c.format == "1Bit" else F.col("value")
+            fill = F.lit(replacement).cast(c.spark_type) if c.components == 1 else F.struct(*[F.lit(replacement).cast(f.dataType).alias(f.name) for f in c.spark_type])
+            out = subset.densified(out, first, last).withColumn("value", F.coalesce("value", fill))
+        value = F.col("value")
         if fmt is not None:
-            value = convert.convert(value, c, fmt, replacement)
+            one = lambda v: convert.convert(v if c.format == "1Bit" else v.cast("double"), c, fmt, replacement)
+            value = one(value) if c.components == 1 else F.when(value.isNotNull(), F.struct(*[one(value[f.name]).alias(f.name) for f in c.spark_type]))
         return out.select(*[(F.col(f"d{d}") - a).alias(f"d{d}") for d, a in enumerate(first)], value.alias("value"))
 
+    def _trace_subset(self, low, high, lod: int, c: Channel, fmt: str | None, replacement: float | None) -> DataFrame:
+        """A region of a PerTrace channel, whose dimension 0 counts its values; it has no levels of detail."""
+        check_region((c.mapped_values, *self.descriptor.shape[1:]), low, high, lod, 0)
+        rows = self.traces_of(c.name)
+        names = [f"d{d}" for d in range(1, len(low))]
+        for name, a, b in zip(names, low[1:], high[1:]):
+            rows = rows.where((F.col(name) >= a) & (F.col(name) < b))
+        own = F.slice("values", low[0] + 1, high[0] - low[0])
+        out = rows.select(*names, F.posexplode(own).alias("d0", "value"))
+        out = out.select((F.col("d0") + low[0]).cast("long").alias("d0"), *names, F.col("value").cast(c.spark_type).alias("value"))
+        return self._delivered(out, low, high, c, fmt, replacement)
+
     def slice(self, dim: int, index: int, **options) -> DataFrame:
         low, high = [0] * self.descriptor.dimensionality, list(self.descriptor.shape)
         low[dim], high[dim] = index, index + 1
         return self.subset(low, high, **options).drop(f"d{dim}")
 
-    def _near_positions(self, positions: DataFrame, lod: int, channel) -> tuple[DataFrame, tuple[int, ...]]:
-        """Voxels of the bricks that positions and their taps lie in: the others are not read."""
+    def _near_positions(self, positions: DataFrame, lod: int, channel, along: int | None = None) -> tuple[DataFrame, tuple[int, ...]]:
+        """Voxels of the bricks that positions and their taps lie in, or all such along a dimension: the others are not read."""
         g, _ = self._source(None, lod, channel)
         grid, shape = self._level_grid(lod, g), self.level_shape(lod)
         taps = positions.select(F.explode(interp.tap_indices("cubic", shape)).alias("t")).select("t.*")
-        needed = taps.select(grid.chunk_column().alias("chunk")).distinct()
-        own = self.bricks(channel, lod, g).join(needed, "chunk", "left_semi")
+        brick = grid.brick_columns()
+        names = [f"b{d}" for d in range(len(shape)) if d != along]
+        needed = taps.select(*[c for d, c in enumerate(brick) if d != along]).distinct()
+        own = self.bricks(channel, lod, g).join(needed, names, "left_semi")
         return bricks.from_bricks(own, grid), shape
 
     def samples(self, positions: DataFrame, lod: int = 0, channel: int | str = 0, method: str = "cubic", replacement: float | None = None) -> DataFrame:
@@ -298,8 +369,13 @@ class Volume:
 
     def traces(self, positions: DataFrame, trace_dim: int = 0, lod: int = 0, channel: int | str = 0, method: str = "cubic", replacement: float | None = None) -> DataFrame:
         """(id, sample, value): whole lines along a dimension."""
-        g, _ = self._source(None, lod, channel)
-        return interp.traces(positions, self.voxels(channel, lod, g), self.level_shape(lod), trace_dim, method, lod, self.descriptor.layout.full_res_dim, channel=self.descriptor.channel(channel), replacement=replacement)
+        keep, shape = self.descriptor.layout.full_res_dim, self.level_shape(lod)
+        if not 0 <= trace_dim < len(shape):
+            raise InvalidArgument(f"trace dimension {trace_dim}")
+        # a line meets the bricks that its positions' taps lie in, whatever those are along the line
+        at = [F.lit(0.5).alias(f"p{d}") if d == trace_dim else (F.col(f"p{d}") / (1 if d == keep else 1 << lod)).alias(f"p{d}") for d in range(len(shape))]
+        voxels, _ = self._near_positions(positions.select("id", *at), lod, channel, along=trace_dim)
+        return interp.traces(positions, voxels, shape, trace_dim, method, lod, self.descriptor.layout.full_res_dim, channel=self.descriptor.channel(channel), replacement=replacement)
 
     def project(self, plane, along: int, low, high, lod: int = 0, channel: int | str = 0, method: str = "linear", replacement: float | None = None) -> DataFrame:
         """A plane's samples, projected along a dimension; only bricks that the plane meets are read."""
@@ -345,29 +421,30 @@ class Volume:
         return self.bricks(channel, lod).select("chunk", "hash", "const_value")
 
     def value_range(self, channel: int | str = 0, percentile: float = 99.5) -> DataFrame:
-        return stats.value_range(self.voxels(channel), percentile)
+        return stats.value_range(self.voxels(channel).withColumn("value", F.col("value").cast("double")), percentile)
 
     def update(self, changes: DataFrame, channel: int | str = 0) -> None:
-        """Sets single voxels: only bricks with changes are put together anew, then the table is swapped."""
-        grid = self._level_grid(0)
-        old = self.bricks(channel)
-        touched = changes.select(grid.chunk_column().alias("chunk")).distinct()
-        own = bricks.from_bricks(old.join(touched, "chunk", "left_semi"), grid)
-        new = bricks.to_bricks(interp.updated(own, changes), grid)
-        layer = self._layer(self.descriptor.channel(channel), 0)
-        result = old.join(touched, "chunk", "left_anti").unionByName(new)
-        if self._in_memory:
-            self._write(layer, result)
-            return
-        side = f"{layer}-{uuid.uuid4().hex}"
-        self._write(side, result)
-        self._write(layer, self._read(side))
-        self._delete(side)
+        """Sets single voxels, in every stored dimension group, and makes anew what the levels of detail have of them.
 
-    def _delete(self, name: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        Only bricks with changes are put together anew; each layer is then switched as a whole.
+        """
+        c, keep = self.descriptor.channel(channel), self.descriptor.layout.full_res_dim
+        changes = self._typed(changes, c)
+        stored = self.stored_layers(channel)
+        for g, lod in sorted(stored, key=lambda layer: (layer[0], layer[1])):
+            if lod and (g, lod - 1) not in stored:
+                raise InvalidOperation(f"level {lod} of {g} has no level below to be made of")
+            grid, old = self._level_grid(lod, g), self.bricks(channel, lod, g)
+            at = changes.select(*[(F.col(f"d{d}") if not lod or d == keep or d > 2 else F.shiftright(f"d{d}", lod)).alias(f"d{d}") for d in range(len(grid.shape))])
+            touched = at.select(grid.chunk_column().alias("chunk"), *grid.brick_columns()).distinct()
+            if lod:
+                lower = self._level_grid(lod - 1, g)
+                own = self.bricks(channel, lod - 1, g).join(bricks.below(touched, grid, lower, keep), "chunk", "left_semi")
+                new = self._decimated(bricks.from_bricks(own, lower), c)
+            else:
+                new = interp.updated(bricks.from_bricks(old.join(touched.select("chunk"), "chunk", "left_semi"), grid), changes)
+            rest = old.join(touched.select("chunk"), "chunk", "left_anti")
+            self._write(self._layer(c, lod, g), rest.unionByName(bricks.to_bricks(new, grid)))
 
     # --- metadata and information ---
 
@@ -423,21 +500,14 @@ class Volume:
                     out._write(name, mine)
                     continue
                 theirs = out.bricks(c.name, lod, g)
-                if bricks.changed(mine, theirs).limit(1).count():
-                    side = f"{name}-{uuid.uuid4().hex}"
-                    new = bricks.changed(mine, theirs)
-                    out._write(side, theirs.join(new.select("chunk"), "chunk", "left_anti").unionByName(new))
-                    out._write(name, out._read(side))
-                    out._delete(side)
+                new = bricks.changed(mine, theirs)
+                if new.limit(1).count():
+                    out._write(name, theirs.join(new.select("chunk"), "chunk", "left_anti").unionByName(new))
         return out
 
     def remove_chunks(self, first: int, last: int, channel: int | str = 0) -> None:
         """Takes bricks of a range of numbers out of the full-resolution layer."""
-        layer = self._layer(self.descriptor.channel(channel), 0)
-        side = f"{layer}-{uuid.uuid4().hex}"
-        self._write(side, self.bricks(channel).where(~F.col("chunk").between(first, last)))
-        self._write(layer, self._read(side))
-        self._delete(side)
+        self._write(self._layer(self.descriptor.channel(channel), 0), self.bricks(channel).where(~F.col("chunk").between(first, last)))
 
     def check(self, channel: int | str = 0, lod: int = 0) -> DataFrame:
         """Bricks whose stored values, count or position disagree: none in a sound dataset."""
