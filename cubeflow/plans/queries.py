@@ -572,6 +572,87 @@ def dataset_layers(spark, sf):
     return _dataset(spark, sf).layers().where("lod = 0").select("channel", "dims", "lod", "status", "chunks", "valid_chunks", "samples")
 
 
+@query(f"WITH {LIN_SQL}, up AS (SELECT d0, d1, d2, CASE WHEN d0 < 3 AND d1 < 3 THEN value * 2.0::DOUBLE ELSE value END AS value FROM lin), {_next('up', 'l1')}, {_next('l1', 'l2')} SELECT 0 AS lod, * FROM up UNION ALL SELECT 1, * FROM l1 UNION ALL SELECT 2, * FROM l2")
+def update_lod(spark, sf):
+    """Voxels set in a stored volume; its levels of detail follow."""
+    v = _dataset(spark, sf)
+    v.update(V.lin(spark, sf).where("d0 < 3 AND d1 < 3").withColumn("value", F.col("value") * 2))
+    names = ["d0", "d1", "d2", "value"]
+    levels = [v.voxels(0, lod).select(F.lit(lod).alias("lod"), *names) for lod in range(3)]
+    return levels[0].unionByName(levels[1]).unionByName(levels[2])
+
+
+def _typed_dataset(spark, channel: Channel, voxels: DataFrame) -> vol.Volume:
+    axes = tuple(Axis(n, name, "m", 0, n - 1) for n, name in zip(V.LIN_SHAPE, ("Sample", "Crossline", "Inline")))
+    v = vol.Volume.create(spark, work_path(spark, "typed"), Descriptor(axes, (channel,), Layout(brick_log2=5)))
+    v.write(voxels)
+    return v
+
+
+_CELL3 = "CAST(l_quantity AS BIGINT) - 1 AS d0, l_suppkey % 10 AS d1, l_partkey % 30 AS d2"
+
+
+@query(f"WITH u AS (SELECT {_CELL3}, max(l_orderkey) AS k FROM lineitem GROUP BY 1, 2, 3) SELECT d0 - 5 AS d0, d1 - 2 AS d1, d2 - 7 AS d2, CAST(CAST(k AS HUGEINT) * 9223372036854 + 9007199254740993 AS VARCHAR) AS value FROM u WHERE {IN_SQL}")
+def samples_u64(spark, sf):
+    """Integers of 64 bits, beyond what a double holds, stored and read by their type."""
+    number = F.max("l_orderkey").cast("decimal(20,0)") * F.lit(9223372036854).cast("decimal(20,0)") + F.lit(9007199254740993)
+    cells = V.read(spark, sf, "lineitem").groupBy(*V.lin_cell()).agg(number.cast("decimal(20,0)").alias("value"))
+    v = _typed_dataset(spark, Channel("Number", "U64"), cells)
+    return v.subset(LOW, HIGH).select("d0", "d1", "d2", F.col("value").cast("string").alias("value"))
+
+
+@query(f"WITH u AS (SELECT {_CELL3}, min(l_extendedprice) AS c0, max(l_extendedprice) AS c1 FROM lineitem GROUP BY 1, 2, 3) SELECT d0 - 5 AS d0, d1 - 2 AS d1, d2 - 7 AS d2, c0, c1 FROM u WHERE {IN_SQL}")
+def subset_components(spark, sf):
+    """A channel of two components."""
+    pair = F.struct(F.min("l_extendedprice").alias("c0"), F.max("l_extendedprice").alias("c1"))
+    cells = V.read(spark, sf, "lineitem").groupBy(*V.lin_cell()).agg(pair.alias("value"))
+    v = _typed_dataset(spark, Channel("Pair", "R64", components=2), cells)
+    return v.subset(LOW, HIGH).select("d0", "d1", "d2", "value.c0", "value.c1")
+
+
+@query("WITH t AS (SELECT user_id AS d1, [CAST(count(*) AS DOUBLE), min(value), max(value)] AS v FROM events GROUP BY 1) SELECT i - 1 AS d0, d1 - 2 AS d1, v[i] AS value FROM t, range(2, 4) r(i) WHERE d1 >= 2")
+def subset_per_trace(spark, sf):
+    """A region of a channel that has three values for each trace."""
+    users = V.read(spark, sf, "events").agg(F.max("user_id")).first()[0] + 1
+    d = Descriptor((Axis(720, "Hour", "h", 0, 719), Axis(users, "User", "", 0, users - 1)), (Channel("Value", "R64"), Channel("Stats", "R64", mapping="PerTrace", mapped_values=3)), Layout(brick_log2=5))
+    v = vol.Volume.create(spark, work_path(spark, "traces"), d)
+    v.write_traces(V.user_traces(spark, sf).select("d1", F.array(F.col("n").cast("double"), "lo", "hi").alias("values")), "Stats")
+    return v.subset((1, 2), (3, users), channel="Stats").select((F.col("d0") + 1).alias("d0"), "d1", "value")
+
+
+# --- a volume that grows with its tables: quantity x supplier x part ---
+
+_BIG = "big AS (SELECT CAST(l_quantity AS BIGINT) - 1 AS d0, l_suppkey AS d1, l_partkey AS d2, min(l_extendedprice) AS value FROM lineitem GROUP BY 1, 2, 3), s AS (SELECT max(l_suppkey) + 1 AS n1, max(l_partkey) + 1 AS n2 FROM lineitem)"
+
+
+def _big_dataset(spark, sf, lods: int = 0) -> vol.Volume:
+    cells, shape = V.big(spark, sf)
+    axes = tuple(Axis(n, name, "", 0, n - 1) for n, name in zip(shape, ("Quantity", "Supplier", "Part")))
+    v = vol.Volume.create(spark, work_path(spark, "big"), Descriptor(axes, (Channel("Price", "R64", use_novalue=True, novalue=-999.25),), Layout(brick_log2=6, lods=lods)))
+    v.write(cells)
+    return v
+
+
+@query(f"WITH {_BIG} SELECT d0 - 5 AS d0, d1 - n1 // 4 AS d1, d2 - n2 // 4 AS d2, value FROM big, s WHERE d0 >= 5 AND d0 < 45 AND d1 >= n1 // 4 AND d1 < n1 - n1 // 4 AND d2 >= n2 // 4 AND d2 < n2 - n2 // 4")
+def big_subset(spark, sf):
+    v = _big_dataset(spark, sf)
+    _, n1, n2 = v.descriptor.shape
+    return v.subset((5, n1 // 4, n2 // 4), (45, n1 - n1 // 4, n2 - n2 // 4))
+
+
+@query(f"WITH {_BIG}, {_next('big', 'l1')} SELECT d0, d1, d2, value FROM l1")
+def big_lod(spark, sf):
+    return _big_dataset(spark, sf, 1).voxels(0, 1)
+
+
+@query(f"WITH {_BIG}, p AS (SELECT id, id * 7 % n1 AS d1, id * 131 % n2 AS d2 FROM s, range(64) r(id)) SELECT id, k AS sample, value FROM p CROSS JOIN range(50) g(k) LEFT JOIN big ON big.d0 = k AND big.d1 = p.d1 AND big.d2 = p.d2")
+def big_traces(spark, sf):
+    v = _big_dataset(spark, sf)
+    _, n1, n2 = v.descriptor.shape
+    at = lambda step, n: (F.col("id") * step % n + 0.5).alias
+    return v.traces(spark.range(64).select("id", F.lit(0.5).alias("p0"), at(7, n1)("p1"), at(131, n2)("p2")), method="nearest")
+
+
 _META = "m(category, name, type, number) AS (VALUES ('Trace', 'fold', 'Int', 3), ('Trace', 'step', 'Int', 5), ('Import', 'fold', 'Int', 7), ('Import', 'code', 'Int', 9))"
 _META2 = "m2(category, name, type, number) AS (VALUES ('Trace', 'fold', 'Int', 30), ('Trace', 'new', 'Int', 40), ('Other', 'x', 'Int', 50))"
 

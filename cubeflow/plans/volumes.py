@@ -19,11 +19,21 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lin_cell() -> list:
+    return [(F.col("l_quantity").cast("long") - 1).alias("d0"), (F.col("l_suppkey") % 10).alias("d1"), (F.col("l_partkey") % 30).alias("d2")]
+
+
 def lin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """3-D: quantity x supplier mod 10 x part mod 30, the smallest price; cells without lines have no row."""
+    return read(spark, sf_dir, "lineitem").groupBy(*lin_cell()).agg(F.min("l_extendedprice").alias("value"))
+
+
+def big(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, tuple[int, int, int]]:
+    """3-D: quantity x supplier x part, the smallest price, and its shape, which grows with the tables."""
     t = read(spark, sf_dir, "lineitem")
-    cell = [(F.col("l_quantity").cast("long") - 1).alias("d0"), (F.col("l_suppkey") % 10).alias("d1"), (F.col("l_partkey") % 30).alias("d2")]
-    return t.groupBy(*cell).agg(F.min("l_extendedprice").alias("value"))
+    n1, n2 = t.agg(F.max("l_suppkey") + 1, F.max("l_partkey") + 1).first()
+    cell = [(F.col("l_quantity").cast("long") - 1).alias("d0"), F.col("l_suppkey").alias("d1"), F.col("l_partkey").alias("d2")]
+    return t.groupBy(*cell).agg(F.min("l_extendedprice").alias("value")), (50, n1, n2)
 
 
 def emb(spark: SparkSession, sf_dir: str) -> DataFrame:
