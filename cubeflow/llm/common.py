@@ -56,6 +56,17 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that ``docs`` has not: each given one, with underscores before it as needed."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
     """A broadcast hint if the counted rows fit in BROADCAST_BYTES; else ``df`` as it is, for a shuffle join."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df

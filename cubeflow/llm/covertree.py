@@ -280,7 +280,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     reachable; a null id is no id, so its row has the smallest of the others', or null.  Rows that
     repeat an id are vectors each.
     """
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(column).alias("embedding"))
+    e = F.col(column)
+    if vectors.schema[column].dataType.simpleString() == "array<double>":
+        # squares of very large or small components leave a double's range; a power of two scales exactly
+        top = F.array_max(F.transform(F.col(column), F.abs))
+        e = F.when(F.coalesce((top > 0) & (top < float("inf")), F.lit(False)), F.transform(e, lambda x: x / F.pow(F.lit(2.0), F.floor(F.log2(top))))).otherwise(e)
+    rows = vectors.select(F.col(id_col).alias("id"), e.alias("embedding"))
     e = F.col("embedding")
     wide = F.transform(e, lambda x: x.cast("double"))
     square = F.aggregate(wide, F.lit(0.0), lambda s, x: s + x * x)

@@ -22,10 +22,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeflow.llm.common import broadcast_if_small, cut
+from cubeflow.llm.common import broadcast_if_small, cut, fresh
 
 #: Shorter lines have no near ones: one edit in five words is a similarity of 0.8.
-LEAST_WORDS = 5
+NEAR_WORDS = 5
 #: Scripts without spaces: in a line of these that has none, characters are the words.
 UNSPACED = "[\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}]"
 
@@ -60,7 +60,7 @@ def _document_of(place: str):
     return F.struct(*[F.col(f"{place}.{k}").alias(k) for k in DOCUMENT])
 
 
-def numbered_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+def numbered_lines(docs: DataFrame, least_words: int = 1) -> DataFrame:
     """(place, line, n) of every line of at least ``least_words`` words; ``n`` counts them, place is document and line number."""
     lines = F.posexplode(F.split(_spaced(F.coalesce("text", F.lit(""))), "\n")).alias("at", "line")
     lines = docs.select(_document().alias("doc"), lines).select("doc", "at", F.trim("line").alias("line")).where(F.length("line") >= least_words)
@@ -73,16 +73,16 @@ def _head(line, n):
     return F.substring_index(line, " ", n) if isinstance(n, int) else F.call_function("substring_index", line, F.lit(" "), n)
 
 
-def first_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+def first_lines(docs: DataFrame, least_words: int = 1) -> DataFrame:
     """(h1, h2, place, front, front1, back, back1): each distinct line, a 128-bit hash, with its earliest place.
 
     The others are keys of the halves that an edit can leave alone, with the line as the shorter
-    or (1) the longer of two; lines of fewer than LEAST_WORDS words have none (null).
+    or (1) the longer of two; lines of fewer than NEAR_WORDS words have none (null).
     """
     line, n = F.col("line"), F.col("n")
 
     def half(tag, short, count):
-        return F.when(n >= LEAST_WORDS, F.xxhash64(F.lit(tag), short, _head(line, count)))
+        return F.when(n >= NEAR_WORDS, F.xxhash64(F.lit(tag), short, _head(line, count)))
 
     m, m1 = F.shiftright(n, 1), F.shiftright(n - 1, 1)
     keys = [half(3, n, m).alias("front"), half(3, n - 1, m1).alias("front1"), half(4, n, m - n).alias("back"), half(4, n - 1, m1 - n + 1).alias("back1")]
@@ -100,8 +100,10 @@ def superseded(docs: DataFrame, firsts: DataFrame) -> DataFrame:
 
     # the candidates' words, read again from the texts of the documents that have any
     own = may.select(_document_of("place").alias("_own")).distinct()
-    some = docs.withColumn("_doc", _document()).join(broadcast_if_small(own, 40), F.col("_doc") == F.col("_own"), "left_semi").drop("_doc")
-    lines = cut(numbered_lines(some).join(broadcast_if_small(may, 64), "place").groupBy("place").agg(F.first("sides").alias("sides"), F.first("n").alias("n"), F.first("line").alias("line")), "line-words")
+    mine, theirs = fresh(docs, "_doc", "_own")
+    own = broadcast_if_small(own, 40).withColumnRenamed("_own", theirs)
+    some = docs.withColumn(mine, _document()).join(own, F.col(mine) == F.col(theirs), "left_semi").drop(mine)
+    lines = cut(numbered_lines(some, NEAR_WORDS).join(broadcast_if_small(may, 64), "place").groupBy("place").agg(F.first("sides").alias("sides"), F.first("n").alias("n"), F.first("line").alias("line")), "line-words")
     line, n, at = F.col("line"), F.col("n"), F.col("at")
     # with the front half alike the edit lies behind it, with the back half alike before it
     low = F.when(F.col("sides") == 1, F.shiftright(n - 1, 1) + 1).otherwise(1)
@@ -135,35 +137,36 @@ def one_edit(a: str, b: str):
     return (F.abs(n - m) <= 1) & (common(F.col(a), F.col(b)) + common(F.reverse(a), F.reverse(b)) >= F.greatest(n, m) - 1)
 
 
-def kept_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+def kept_lines(docs: DataFrame, least_words: int = 1) -> DataFrame:
     """(doc, kept): the numbers of the lines of at least ``least_words`` words that stay, of documents that keep any."""
     firsts = cut(first_lines(docs, least_words), "line-firsts")
     stay = firsts.join(superseded(docs, firsts), "place", "left_anti")
     return stay.select(_document_of("place").alias("doc"), F.col("place.at").alias("at")).groupBy("doc").agg(F.sort_array(F.collect_list("at")).alias("kept"))
 
 
-def deduplicated(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+def deduplicated(docs: DataFrame, least_words: int = 1) -> DataFrame:
     """``docs`` without the lines that an earlier near or equal line makes superfluous.
 
     Lines are separated by line feeds and compared by their words, or by their characters if they
     have no spaces and are of a script without.  Lines of fewer than ``least_words`` words and blank
     ones stay.  Of others, one stays if no earlier line (by doc_id, then line number; null ids last)
-    is equal or, from LEAST_WORDS words on, within one word edit, whether that one stays or not.  A document left without text
+    is equal or, from NEAR_WORDS words on, within one word edit, whether that one stays or not.  A document left without text
     goes; one that had none (null or empty) stays.  n_chars, if there, is counted anew.  The result
     has n_lines and n_dropped beside the columns of ``docs``, whose own of these names it replaces.
     Rows that share an id are documents in the order of a hash of their texts; rows that repeat
     id and text are one document and get the same result.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    kept = kept_lines(docs, least_words).withColumnRenamed("doc", "_kept_doc").withColumnRenamed("kept", "_kept")
+    doc, kept_doc, kept_name, lines_name, stays_name = fresh(docs, "_doc", "_kept_doc", "_kept", "_lines", "_stays")
+    kept = kept_lines(docs, least_words).withColumnRenamed("doc", kept_doc).withColumnRenamed("kept", kept_name)
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    joined = docs.withColumn("_doc", _document()).join(kept, F.col("_doc") == F.col("_kept_doc"), "left").withColumn("_lines", lines)
+    joined = docs.withColumn(doc, _document()).join(kept, F.col(doc) == F.col(kept_doc), "left").withColumn(lines_name, lines)
     plain = lambda x: F.trim(_spaced(x))
     long = lambda x: (F.length(x) >= least_words) & (F.length(plain(x)) >= least_words) & (_n_words(_by_words(plain(x))) >= least_words)
-    stays = F.filter("_lines", lambda x, i: F.coalesce(F.array_contains("_kept", i), F.lit(False)) | ~long(x))
-    out = joined.withColumn("_stays", stays).withColumn("n_lines", F.size("_lines").cast("long")).withColumn("n_dropped", (F.size("_lines") - F.size("_stays")).cast("long"))
-    out = out.where((F.col("n_dropped") == 0) | (F.length(F.btrim(F.array_join("_stays", ""))) > 0))
-    out = out.withColumn("text", F.when(F.col("n_dropped") == 0, F.col("text")).otherwise(F.array_join("_stays", "\n")))
+    stays = F.filter(lines_name, lambda x, i: F.coalesce(F.array_contains(kept_name, i), F.lit(False)) | ~long(x))
+    out = joined.withColumn(stays_name, stays).withColumn("n_lines", F.size(lines_name).cast("long")).withColumn("n_dropped", (F.size(lines_name) - F.size(stays_name)).cast("long"))
+    out = out.where((F.col("n_dropped") == 0) | (F.length(F.btrim(F.array_join(stays_name, ""))) > 0))
+    out = out.withColumn("text", F.when(F.col("n_dropped") == 0, F.col("text")).otherwise(F.array_join(stays_name, "\n")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns, "n_lines", "n_dropped")
@@ -173,5 +176,5 @@ def op9_lines(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_dropped, text_sha256 of the documents that keep text."""
     from cubeflow.llm.common import table
 
-    out = deduplicated(table(spark, sf_dir, "documents"), least_words=1)
+    out = deduplicated(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cubeflow.llm.common import cut, n_words, small_batches
+from cubeflow.llm.common import cut, fresh, n_words, small_batches
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -177,7 +177,9 @@ def _slots(spark, plan: list[tuple], seed: int) -> DataFrame:
                     take[slot != n - 1] = pd.NA
                     yield pd.DataFrame({"shard": shard, "key": key, "slot": slot, "block": index, "take": take})
 
-    return ranges.unionByName(rest).mapInPandas(fill, "shard long, key string, slot long, block long, take long")
+    # a range is a row and becomes up to SHARD_SLOTS: dealt by slots, not by the rows' bytes
+    dealt = ranges.unionByName(rest).repartition(max(1, -(-total // (4 * SHARD_SLOTS))), "shard", "source_no")
+    return dealt.mapInPandas(fill, "shard long, key string, slot long, block long, take long")
 
 
 def taken_words(rows: DataFrame) -> DataFrame:
@@ -193,11 +195,13 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     A document's runs of taken words keep the white space between them and are joined by a line
     feed, those of a second pass after those of the first; n_chars (if there) is counted anew.
     Documents of which nothing is taken go.  Rows that agree in id, source and size share runs.
+    Other columns of ``docs`` may have any name.
     """
     small_batches(docs.sparkSession)
     pass_runs = lambda k: F.expr(f"filter(sort_array(collect_list(struct(start, {'if(full >= 1, stop, coalesce(part, start))' if k == 1 else 'if(full >= 2, stop, if(full = 1, coalesce(part, start), start))'} as stop))), x -> x.stop > x.start)")
     runs = uses(docs, **options).where("size > 0").groupBy("doc_id", "source", "size").agg(F.concat(pass_runs(1), pass_runs(2)).alias("runs")).where("size(runs) > 0")
-    runs = runs.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "runs")
+    own_id, own_source, own_size, own_runs = fresh(docs, "_id", "_source", "_size", "_runs")
+    runs = runs.select(F.col("doc_id").alias(own_id), F.col("source").alias(own_source), F.col("size").alias(own_size), F.col("runs").alias(own_runs))
 
     @F.pandas_udf("string")
     def cut_out(texts: pd.Series, runs: pd.Series) -> pd.Series:
@@ -216,8 +220,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
             out.append(text if whole else "\n".join(text[at[a][0] : at[b - 1][1]] for a, b in merged))
         return pd.Series(out, dtype=object)
 
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (n_words(F.col("text")) == F.col("_size"))
-    out = docs.join(runs, same).withColumn("text", cut_out("text", "runs"))
+    same = F.col("doc_id").eqNullSafe(F.col(own_id)) & F.col("source").eqNullSafe(F.col(own_source)) & (n_words(F.col("text")) == F.col(own_size))
+    out = docs.join(runs, same).withColumn("text", cut_out("text", own_runs))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

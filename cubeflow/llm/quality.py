@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from cubeflow.llm.common import broadcast_if_small, cut, shared_path, small_batches
+from cubeflow.llm.common import broadcast_if_small, cut, fresh, shared_path, small_batches
 
 ORDER = 5
 QUANTILE = 0.99
-#: Languages with fewer trusted documents are held to the quantile of all trusted documents.
+#: With fewer held-out trusted documents a language's quantile says little; it is then held to the looser of its own and all languages'.
 LEAST_TRUSTED = 50
 #: One trusted document in so many is not trained on but sets the thresholds: a model knows its own texts too well.
 HELD_OUT = 5
@@ -294,23 +294,27 @@ def toxic_ids(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null and toxic = 1").select("doc_id").distinct()
 
 
-def thresholds(scores: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """(lang, threshold): the quantile of the trusted documents' perplexity in each language of ``scores``."""
+def thresholds(scores: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, least_trusted: int = LEAST_TRUSTED) -> DataFrame:
+    """(lang, threshold): the quantile of the trusted documents' perplexity in each language of ``scores``.
+
+    A language with fewer than ``least_trusted`` of them takes the larger of its own and the quantile of all.
+    """
     own = scores.where("perplexity is not null").join(trusted, "doc_id", "left_semi")
     by = own.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10000).alias("own"), F.count("*").alias("n"))
     whole = own.agg(F.percentile_approx("perplexity", quantile, 10000).alias("whole"))
     langs = scores.select("lang").distinct()
     joined = langs.alias("l").join(by.alias("b"), F.col("l.lang").eqNullSafe(F.col("b.lang")), "left").crossJoin(F.broadcast(whole))  # one row
-    return joined.select("l.lang", F.when(F.col("n") >= LEAST_TRUSTED, F.col("own")).otherwise(F.col("whole")).alias("threshold"))
+    return joined.select("l.lang", F.when(F.col("n") >= least_trusted, F.col("own")).otherwise(F.greatest("own", "whole")).alias("threshold"))
 
 
-def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, keep_text: bool = True) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, keep_text: bool = True, least_trusted: int = LEAST_TRUSTED) -> DataFrame:
     """``docs`` with text_bytes, perplexity, threshold and good.
 
     A document is good if its perplexity does not exceed its language's threshold, a quantile of
     the trusted documents that the model was not trained on, and no label calls it toxic.  Null and
     empty texts are not good.
-    Without any such document there is no threshold and all other texts are good.
+    A language with fewer than ``least_trusted`` such documents is held to the larger of its own
+    quantile and that of all.  Without any such document there is no threshold and all other texts are good.
     Rows that repeat an id are judged each; a null lang is a language of its own.  Columns of
     ``docs`` that have the names of the new ones are replaced.
     """
@@ -321,15 +325,16 @@ def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, keep_
     model = train(docs.join(broadcast_if_small(ids.where("not held").select("doc_id"), 24), "doc_id", "left_semi"))
     rows = scored(docs if keep_text else docs.select("doc_id", "lang", "text"), model)
     rows = cut(rows if keep_text else rows.drop("text"), "scores")
-    limits = thresholds(rows.select("doc_id", "lang", "perplexity"), ids.where("held").select("doc_id"), quantile)
-    limits = cut(limits, "thresholds").select(F.col("lang").alias("_lang"), "threshold")
-    out = rows.join(broadcast_if_small(limits, 40), F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang")
+    limits = thresholds(rows.select("doc_id", "lang", "perplexity"), ids.where("held").select("doc_id"), quantile, least_trusted)
+    lang, is_toxic, zero, spread_name = fresh(rows, "_lang", "_toxic", "_zero", "_spread")
+    limits = cut(limits, "thresholds").select(F.col("lang").alias(lang), "threshold")
+    out = rows.join(broadcast_if_small(limits, 40), F.col("lang").eqNullSafe(F.col(lang)), "left").drop(lang)
     # null ids match nothing; a second key spreads them where the join shuffles
-    toxic = toxic_ids(labels).select(F.col("doc_id").alias("_toxic"), F.lit(0).alias("_zero"))
+    toxic = toxic_ids(labels).select(F.col("doc_id").alias(is_toxic), F.lit(0).alias(zero))
     spread = F.when(F.col("doc_id").isNull(), F.hash("perplexity", "text_bytes")).otherwise(0)
-    out = out.withColumn("_spread", spread).join(broadcast_if_small(toxic, 24), (F.col("doc_id") == F.col("_toxic")) & (F.col("_spread") == F.col("_zero")), "left")
-    good = F.col("_toxic").isNull() & F.col("perplexity").isNotNull() & (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold")))
-    return out.withColumn("good", good).drop("_toxic", "_zero", "_spread")
+    out = out.withColumn(spread_name, spread).join(broadcast_if_small(toxic, 24), (F.col("doc_id") == F.col(is_toxic)) & (F.col(spread_name) == F.col(zero)), "left")
+    good = F.col(is_toxic).isNull() & F.col("perplexity").isNotNull() & (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold")))
+    return out.withColumn("good", good).drop(is_toxic, zero, spread_name)
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:

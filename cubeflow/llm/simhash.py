@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeflow.llm.common import broadcast_if_small, connected_components, cut, small_batches
+from cubeflow.llm.common import broadcast_if_small, connected_components, cut, fresh, small_batches
 
 BITS = 64
 RADIUS = 3
@@ -100,9 +100,9 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = 3) -> Data
     best = rows.groupBy("component").agg(F.min(rank).alias("best"))
     each = rows.groupBy("id", "text_hash", "component").agg(F.count("*").alias("n"))
     marked = cut(each.join(best, "component").select("id", "text_hash", "n", (rank == F.col("best")).alias("stays")), "simhash-marked")
-    plain = lambda rows: broadcast_if_small(rows.select(F.coalesce("id", F.lit(0)).alias("_i"), F.col("id").isNull().alias("_n"), F.col("text_hash").alias("_h")), 40)
-    own = docs.withColumns({"_i": F.coalesce("doc_id", F.lit(0)), "_n": F.col("doc_id").isNull(), "_h": F.xxhash64(F.coalesce("text", F.lit("")))})
-    by = ["_i", "_n", "_h"]
+    by = fresh(docs, "_i", "_n", "_h")
+    plain = lambda rows: broadcast_if_small(rows.select(F.coalesce("id", F.lit(0)).alias(by[0]), F.col("id").isNull().alias(by[1]), F.col("text_hash").alias(by[2])), 40)
+    own = docs.withColumns(dict(zip(by, (F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), F.xxhash64(F.coalesce("text", F.lit("")))))))
     # rows that stay once as they are, and equal rows of which one stays
     once = own.join(plain(marked.where("not stays or n > 1")), by, "left_anti").select(*docs.columns)
     again = own.join(plain(marked.where("stays and n > 1")), by, "left_semi")

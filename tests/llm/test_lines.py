@@ -23,10 +23,9 @@ def plain(texts):
         kept = []
         for line in (texts[d] or "").split("\n"):
             w = [x for x in re.split(r"[\x20\x09-\x0D]+", line) if x]
-            if len(w) < lines.LEAST_WORDS or not any(near(w, b) for b in before):
+            if not w or not any(w == b or min(len(w), len(b)) >= lines.NEAR_WORDS and near(w, b) for b in before):
                 kept.append(line)
-            if len(w) >= lines.LEAST_WORDS:
-                before.append(w)
+            before.append(w)
         out[d] = kept
     return out
 

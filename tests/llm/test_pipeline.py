@@ -68,3 +68,17 @@ def test_one_of_each_group(spark):
     out = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == [(0, "a b c d"), (5, "other words here now"), (5, "x y z w"), (8, "")]
     assert quality.QUANTILE >= 0.99
+
+
+def test_extra_columns_with_the_helpers_names(spark):
+    """Columns that the operators use inside, or add, pass through or are replaced as the docstrings say."""
+    from cubeflow.llm import lines, mixing
+
+    names = ["_doc", "_own", "_kept", "_kept_doc", "_lines", "_stays", "_lang", "_toxic", "_zero", "_spread", "_id", "_source", "_size", "_runs", "runs", "_i", "_n", "_h", "place", "line"]
+    good = "the tree of the house by the river and the road in the valley under the hill".split()
+    rows = [(i, " ".join(good[(i + k) % 16] for k in range(40)) + f"\nline {i} of it\n\nline 3 of it", "en", "a", *range(len(names))) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} long" for n in names))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(12)], "doc_id long, quality int, toxic int")
+    for out in (lines.deduplicated(docs), mixing.mixed_documents(docs), simhash.one_of_each(docs), quality.judged(docs, labels)):
+        found = out.collect()
+        assert found and all([r[n] for n in names] == list(range(len(names))) for r in found)
