@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import math
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,21 +62,41 @@ def clear_metadata(frame: DataFrame, category: str, name: str | None = None) ->
 
 
 class Request:
-    """A request under way: its jobs carry a tag, by which they can be cancelled."""
+    """A request under way: it runs in a thread of its own, and its jobs carry a tag, by which they can be cancelled."""
 
     def __init__(self, frame: DataFrame) -> None:
         self.frame, self.tag, self._rows, self._cancelled = frame, f"request-{uuid.uuid4().hex}", None, False
+        self._thread: threading.Thread | None = None
+        self._error: BaseException | None = None
 
-    def wait(self) -> list:
-        """Runs the request; its rows."""
+    def submit(self) -> Request:
+        """Starts the request, once, and returns at once."""
         if self._cancelled:
             raise InvalidOperation("the request was cancelled")
+        if self._thread is None:
+            self._thread = threading.Thread(target=self._run, name=self.tag, daemon=True)
+            self._thread.start()
+        return self
+
+    def _run(self) -> None:
         sc = self.frame.sparkSession.sparkContext
         sc.addJobTag(self.tag)
         try:
             self._rows = self.frame.collect()
+        except BaseException as e:  # handed to whoever waits
+            self._error = e
         finally:
             sc.removeJobTag(self.tag)
+
+    def wait(self, timeout: float | None = None) -> list:
+        """The request's rows; TimeoutError if it has not ended in so many seconds, after which it still goes on."""
+        self.submit()._thread.join(timeout)
+        if self._thread.is_alive():
+            raise TimeoutError(f"the request has not ended in {timeout} s")
+        if self._cancelled:
+            raise InvalidOperation("the request was cancelled")
+        if self._error is not None:
+            raise self._error
         return self._rows
 
     @property
@@ -269,7 +290,7 @@ class Volume:
         stored = self.stored_layers(channel)
         if (tuple(dims), lod) in stored:
             return "Normal"
-        return "Remapped" if any(at == lod and can_remap(g, tuple(dims)) for g, at in stored) else "Unavailable"
+        return "Remapped" if any(at <= lod and can_remap(g, tuple(dims)) for g, at in stored) else "Unavailable"
 
     def stored_layers(self, channel: int | str = 0) -> set[tuple[tuple[int, ...], int]]:
         c = self.descriptor.channel(channel)
@@ -291,7 +312,7 @@ class Volume:
     # --- requests ---
 
     def _source(self, dims: tuple[int, ...] | None, lod: int, channel: int | str) -> tuple[tuple[int, ...], int]:
-        """The stored layer to read: the wished one, else one that it can be made of."""
+        """The stored layer to read: the wished one, else another group's of its level."""
         wanted = self.grid(0, dims).dims
         stored = self.stored_layers(channel)
         if not stored:
@@ -301,6 +322,15 @@ class Volume:
                 return g, lod
         raise InvalidOperation(f"level {lod} of {wanted} is not available")
 
+    def _nearest(self, dims: tuple[int, ...] | None, lod: int, channel: int | str) -> tuple[tuple[int, ...], int]:
+        """The stored layer from which a level can be read or made: the highest at or below it."""
+        for at in range(lod, -1, -1):
+            try:
+                return self._source(dims, at, channel)
+            except InvalidOperation:
+                if not at:
+                    raise
+
     def subset(self, low, high, lod: int = 0, channel: int | str = 0, dims=None, fmt: str | None = None, replacement: float | None = None) -> DataFrame:
         """A hyper-rectangle in voxels of full resolution; indices count from its low end."""
         low, high = tuple(low), tuple(high)
@@ -308,15 +338,20 @@ class Volume:
         if c.mapping == "PerTrace":
             return self._trace_subset(low, high, lod, c, fmt, replacement)
         check_region(self.descriptor.shape, low, high, lod, layout.lods)
-        g, _ = self._source(dims, lod, channel)
+        g, stored_lod = self._nearest(dims, lod, channel)
         keep = layout.full_res_dim
         shift = [0 if d == keep or d > 2 else lod for d in range(len(low))]
         first = tuple(a >> s for a, s in zip(low, shift))
         last = tuple(f + n for f, n in zip(first, subset_shape(low, high, 0) if not lod else tuple(((b - a - 1) >> s) + 1 for a, b, s in zip(low, high, shift))))
         shape = self.level_shape(lod)
         last = tuple(min(b, n) for b, n in zip(last, shape))
-        grid = self._level_grid(lod, g)
-        out = bricks.subset_bricked(self.bricks(channel, lod, g), grid, first, last)
+        # a level that is not stored is made of the one below that is
+        up = [0 if d == keep or d > 2 else lod - stored_lod for d in range(len(low))]
+        under = self.level_shape(stored_lod)
+        grid = self._level_grid(stored_lod, g)
+        out = bricks.subset_bricked(self.bricks(channel, stored_lod, g), grid, tuple(a << u for a, u in zip(first, up)), tuple(min(b << u, n) for b, u, n in zip(last, up, under)))
+        for _ in range(lod - stored_lod):
+            out = self._decimated(out, c)
         return self._delivered(out, first, last, c, fmt, replacement)
 
     def _delivered(self, out: DataFrame, first: tuple[int, ...], last: tuple[int, ...], c: Channel, fmt: str | None, replacement: float | None) -> DataFrame:

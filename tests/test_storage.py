@@ -104,3 +104,30 @@ def test_a_failed_write_leaves_the_table(spark, cube, tmp_path):
     with pytest.raises(Exception, match="stop"):
         v.write(voxels.withColumn("value", F.when(F.col("d0") < 60, F.col("value")).otherwise(F.raise_error(F.lit("stop")).cast("double"))))
     assert rows(v.voxels()) == rows(voxels)
+
+
+def test_levels_that_are_not_stored_are_made_on_reading(spark, cube, tmp_path):
+    d = Descriptor(AXES, (Channel("A", "R64", use_novalue=True),), Layout(brick_log2=5, lods=2))
+    v = V.Volume.create(spark, f"{tmp_path}/v", d, mode="CreateWithoutLODGeneration")
+    voxels = V.from_numpy(spark, cube)
+    v.write(voxels)
+    low, high = (5, 2, 3), (66, 40, 31)
+    for lod, level in enumerate(subset.pyramid(voxels, 2)):
+        assert v.produce_status((0, 1, 2), lod) == ("Remapped" if lod else "Normal")
+        assert rows(v.subset(low, high, lod)) == rows(subset.subset_lod(level, low, high, lod))
+
+
+def test_requests_run_by_themselves(spark, cube, tmp_path):
+    slow = F.udf(lambda x: __import__("time").sleep(x) or x, "double")
+    r = V.Request(spark.range(1).select(slow(F.lit(8.0)).alias("value"))).submit()
+    with pytest.raises(TimeoutError):
+        r.wait(0.5)
+    assert not r.is_completed
+    r.cancel()
+    with pytest.raises(InvalidOperation):
+        r.wait()
+    failing = V.Request(spark.range(1).select(F.raise_error(F.lit("stop"))))
+    with pytest.raises(Exception, match="stop"):
+        failing.wait()
+    done = V.Request(spark.range(3)).submit()
+    assert len(done.wait(60)) == 3 and done.is_completed
