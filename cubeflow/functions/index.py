@@ -109,3 +109,66 @@ class Indexer:
 
     def coordinate(self, voxel: Column, d: int, axis: Axis) -> Column:
         return F.lit(axis.coord_min) + voxel * F.lit(axis.step)
+
+    # --- compositions ---
+
+    def chunk_local_to_voxel(self, index: list[Column]) -> list[Column]:
+        return self.local_to_voxel(self.chunk_local_to_local(index))
+
+    def chunk_local_to_offset(self, index: list[Column]) -> Column:
+        return self.local_to_offset(self.chunk_local_to_local(index))
+
+    def offset_to_voxel(self, offset: Column) -> list[Column]:
+        return self.local_to_voxel(self.offset_to_local(offset))
+
+    def offset_to_chunk_local(self, offset: Column) -> list[Column]:
+        return self.local_to_chunk_local(self.offset_to_local(offset))
+
+    def voxel_to_bit_offset(self, voxel: list[Column]) -> tuple[Column, Column]:
+        return self.bit_offset(self.voxel_to_local(voxel))
+
+    def chunk_local_to_bit_offset(self, index: list[Column]) -> tuple[Column, Column]:
+        return self.bit_offset(self.chunk_local_to_local(index))
+
+    def bit_offset_to_local(self, byte: Column, bit: Column) -> list[Column]:
+        """The inverse of ``bit_offset``."""
+        row = -(-self.size[0] // 8)
+        out, rest = [F.pmod(byte, F.lit(row)) * 8 + bit], F.floor(byte / F.lit(row))
+        for n in self.size[1:]:
+            out.append(F.pmod(rest, F.lit(n)))
+            rest = F.floor(rest / F.lit(n))
+        return out
+
+    def local_in_volume(self, local: list[Column]) -> Column:
+        return self.voxel_in_volume(self.local_to_voxel(local))
+
+    def chunk_local_in_volume(self, index: list[Column]) -> Column:
+        return self.voxel_in_volume(self.chunk_local_to_voxel(index))
+
+    def relative_to_voxel(self, relative: Column, d: int) -> Column:
+        """The voxel nearest a relative position on an axis."""
+        return F.floor(relative * F.lit(float(max(self.grid.shape[d] - 1, 1))) + 0.5)
+
+    def local_to_relative(self, local: list[Column], d: int) -> Column:
+        return self.relative_position(self.local_to_voxel(local)[d], d)
+
+    def coordinate_to_voxel(self, coordinate: Column, d: int, axis: Axis) -> Column:
+        """The voxel nearest a coordinate; 0 on an axis of one sample."""
+        return F.floor((coordinate - axis.coord_min) / F.lit(axis.step) + 0.5) if axis.step else F.lit(0).cast("long")
+
+    def local_to_coordinate(self, local: list[Column], d: int, axis: Axis) -> Column:
+        return self.coordinate(self.local_to_voxel(local)[d], d, axis)
+
+    def voxel_to_world(self, voxel: list[Column], transformer) -> tuple[Column, Column, Column]:
+        return transformer.voxel_to_world(dict(enumerate(voxel)))
+
+    def local_to_world(self, local: list[Column], transformer) -> tuple[Column, Column, Column]:
+        return self.voxel_to_world(self.local_to_voxel(local), transformer)
+
+    def world_to_voxel(self, world, transformer) -> list[Column]:
+        """The nearest voxel, by dimension."""
+        found = transformer.ijk_to_voxel(transformer.position_to_index(transformer.world_to_ijk(world)))
+        return [found[d] for d in range(3)]
+
+    def world_to_local(self, world, transformer) -> list[Column]:
+        return self.voxel_to_local(self.world_to_voxel(world, transformer))
