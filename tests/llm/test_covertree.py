@@ -58,3 +58,10 @@ def test_dual_traversal_finds_all(spark):
     pairs = {(int(i), int(j)) for p, q in covertree.dual(tree, tree, 0.95) for i, j in zip(p, q)}
     u = tree.raw / tree.norm[:, None]
     assert pairs == {(int(i), int(j)) for i, j in zip(*np.nonzero(u @ u.T >= 0.95)) if True}
+
+
+def test_components_beyond_the_range_of_squares(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e200, 1.0001e200]), (2, [1e-200, 1e-200]), (3, [1.0, 1.0]), (4, [5e-324, 0.0]), (5, [1.0, 0.0]), (6, [0.0, 0.0]), (7, [float("inf"), 1.0]), (8, None)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in covertree.near_duplicates(docs).collect()}
+    assert got == {**dict.fromkeys((0, 1, 2, 3), (3, 0)), 4: (1, 4), 5: (1, 4), 6: (0, 6), 7: (0, 7), 8: (0, 8)}

@@ -110,3 +110,13 @@ def test_labelled_toxic_documents_are_neither_trusted_nor_kept(spark):
     got = quality.judged(docs, labels)
     assert got.columns == ["doc_id", "text", "lang", "text_bytes", "perplexity", "threshold", "good"]
     assert {r.doc_id for r in got.where("not good").collect()} == {2, 3} and got.count() == 8
+
+
+def test_thresholds_of_small_languages(spark):
+    scores = [(i, "en", float(i)) for i in range(1, 101)] + [(200, "de", 500.0), (201, "fr", 3.0), (202, None, 9.0), (203, "es", None)]
+    frame = spark.createDataFrame(scores, "doc_id long, lang string, perplexity double")
+    trusted = frame.where("lang in ('en', 'de', 'fr')").select("doc_id")
+    got = {r.lang: r.threshold for r in quality.thresholds(frame, trusted, 0.5, least_trusted=50).collect()}
+    ordered = sorted([*range(1, 101), 500.0, 3.0])
+    whole = float(ordered[50])
+    assert got["en"] == 50.0 and got["de"] == 500.0 and got["fr"] == got[None] == got["es"] and abs(got["fr"] - whole) <= 1
