@@ -159,15 +159,16 @@ BYTES = Kind("bytes", byte_symbols, 400, 273, (1, 2, 4, 8, 16, 32, 64, 91, 117,
 WORDS = Kind("words", word_symbols, 51, 31, (1, 5, 11, 24, 25, 27), 4, 8, 8, 101)
 
 
-def repeated(texts: DataFrame, schema: str, make: Callable, keys: list[str], high: str | None = None, more: DataFrame | None = None) -> DataFrame:
+def repeated(texts: DataFrame, schema: str, make: Callable, keys: list[str], high: str | None = None) -> DataFrame:
     """The rows that ``make`` draws from the texts, of those whose key another row has too; equal keys stream by in sorted order.
 
     The upper 32 bits of the long column ``high``, if given, belong to the key.  A row whose key is
     known to recur often goes to a task by its text's hash, so that no task gets all of a hot key;
     the known keys are those of a fixed part of the texts, so a task that runs again deals alike.
+    Hashes of texts are even; a row with an odd one is known to recur.
     """
     order, names = keys + [high] * bool(high), [f.split()[0] for f in schema.split(", ")]
-    part = _over_texts(texts.where(F.pmod("h", F.lit(HOT_SHARE)) == 0), schema, make)
+    part = _over_texts(texts.where(F.pmod(F.shiftright("h", 1), F.lit(HOT_SHARE)) == 0), schema, make)
     by = [F.col(k) for k in keys] + ([F.shiftright(high, 32)] if high else [])
     often = part.groupBy(*by).agg(F.count("*").alias("c")).where(F.col("c") >= HOT_COUNT).orderBy(F.desc("c"), keys[0]).limit(MOST_HOT)
     hot = np.unique(np.array([r[0] for r in often.collect()], dtype=np.int64))
@@ -187,25 +188,25 @@ def repeated(texts: DataFrame, schema: str, make: Callable, keys: list[str], hig
                 x = t[high].to_numpy() >> 32
                 same &= x[1:] == x[:-1]
             before = np.concatenate([[held_same], same])
-            keep = before | np.concatenate([same, [False]]) | np.asarray(t["sure"])
+            keep = before | np.concatenate([same, [False]]) | (t["h"].to_numpy() & 1 == 1)
             held_same = bool(before[-1])
-            out = t.slice(0, t.num_rows - 1).filter(pa.array(keep[:-1])).select(names)
+            out = t.slice(0, t.num_rows - 1).filter(pa.array(keep[:-1]))
             held = t.slice(t.num_rows - 1).to_batches()[0]
             yield from out.to_batches()
-        if held is not None and (held_same or held["sure"][0].as_py()):
-            yield held.select(names)
+        if held is not None and (held_same or held["h"][0].as_py() & 1):
+            yield held
 
-    return rows.repartition("deal").sortWithinPartitions(*order).mapInArrow(run, schema)
+    deal = F.when(F.col("h").bitwiseAND(F.lit(1)) == 1, F.col(keys[0]).bitwiseXOR(F.col("h"))).otherwise(F.col(keys[0]))
+    out = rows.repartition(deal).sortWithinPartitions(*order).mapInArrow(run, schema)
+    return out.withColumn("h", F.col("h").bitwiseAND(F.lit(-2))).select(*names)
 
 
 def _over_texts(frame: DataFrame, schema: str, make, hot: tuple[str, np.ndarray] | None = None) -> DataFrame:
-    """``make(row)`` gives arrays for the columns of ``schema``, h among them, for each row; rows go out in large batches.
+    """``make(row)`` gives arrays for the long columns of ``schema`` for each row; rows go out in large batches.
 
-    With ``hot``, a key column and its known repeated values, also ``sure`` (the key is known) and ``deal`` (what to partition by).
+    With ``hot``, a key column and its known repeated values, h is made odd where the key is one of these.
     """
-    fields = [f.split() for f in schema.split(", ")]
-    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
-    names = [name for name, _ in fields]
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
@@ -213,18 +214,16 @@ def _over_texts(frame: DataFrame, schema: str, make, hot: tuple[str, np.ndarray]
         def out() -> pa.RecordBatch:
             cols = [np.concatenate(c) for c in zip(*parts)]
             parts.clear()
-            arrays = [pa.array(c, type=kinds[kind]) for c, (_, kind) in zip(cols, fields)]
-            if hot is None:
-                return pa.RecordBatch.from_arrays(arrays, names=names)
-            key, h = cols[names.index(hot[0])], cols[names.index("h")]
-            at = np.searchsorted(hot[1], key)
-            sure = (hot[1][np.minimum(at, len(hot[1]) - 1)] == key) if len(hot[1]) else np.zeros(len(key), dtype=bool)
-            return pa.RecordBatch.from_arrays([*arrays, pa.array(sure), pa.array(np.where(sure, key ^ h, key))], names=[*names, "sure", "deal"])
+            if hot is not None and len(hot[1]):
+                key, h = cols[names.index(hot[0])], names.index("h")
+                at = np.searchsorted(hot[1], key)
+                cols[h] = cols[h] | (hot[1][np.minimum(at, len(hot[1]) - 1)] == key)
+            return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in cols], names=names)
 
         for batch in batches:
             for k in range(batch.num_rows):
                 arrays = make({name: batch.column(name)[k] for name in batch.schema.names})
-                if arrays is not None and len(arrays[0]):
+                if len(arrays[0]):
                     parts.append(arrays)
                     size += len(arrays[0])
                 if size >= BATCH:
@@ -233,7 +232,7 @@ def _over_texts(frame: DataFrame, schema: str, make, hot: tuple[str, np.ndarray]
         if parts:
             yield out()
 
-    return frame.mapInArrow(run, schema + (", sure boolean, deal long" if hot is not None else ""))
+    return frame.mapInArrow(run, schema)
 
 
 def _twice(keys: np.ndarray) -> np.ndarray:
@@ -249,7 +248,7 @@ def _data(row) -> bytes:
 
 
 def repeated_windows(texts: DataFrame, kind: Kind = BYTES) -> DataFrame:
-    """(h, spans) of the texts, rows (h, text) that differ, in which a string of ``kind`` starts that starts elsewhere too.
+    """(h, spans) of the texts, rows (h, text) that differ and have even h, in which a string of ``kind`` starts that starts elsewhere too.
 
     ``spans`` is an array of flat pairs (first window, last window), all of whose windows are such.
     """
@@ -285,29 +284,23 @@ def repeated_windows(texts: DataFrame, kind: Kind = BYTES) -> DataFrame:
     release(spark)
 
     def stretch(row):
-        names = kind.names(row)
+        """The first two stretches of each name, which tell that it repeats; the spans of further ones are sure, and have no name."""
+        names, h = kind.names(row), row["h"].as_py()
         first, last = kind.stretches(names, kind.candidates(names, keys_of(row)))
         k1, k2 = names.of(first, last + kind.length), names.of(first, last + kind.length, 1)
         two = _twice(k1)
-        return k1[two], k2[two], np.full(len(two), row["h"].as_py()), first[two], last[two]
-
-    def repetitive(row):
-        """Spans of what a text itself holds over twice, which the first two stretches do not settle."""
-        names = kind.names(row, both=False)
-        first, last = kind.stretches(names, kind.candidates(names, keys_of(row)))
-        k1 = names.of(first, last + kind.length)
         often = np.ones(len(k1), dtype=bool)
-        often[_twice(k1)] = False
-        first, last = first[often], last[often]
-        if not len(first):
-            return None
-        new = np.concatenate([[True], first[1:] > last[:-1]])
-        return np.full(int(new.sum()), row["h"].as_py()), first[new], last[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(last) - 1]])]
+        often[two] = False
+        low, high = first[often], last[often]
+        new = np.concatenate([[True], low[1:] > high[:-1]]) if len(low) else np.empty(0, dtype=bool)
+        low, high = low[new], high[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(high) - 1]])] if len(low) else high
+        none = np.zeros(len(low), dtype=np.int64)
+        parts = zip((k1[two], k2[two], np.full(len(two), h), first[two], last[two]), (none, none, none + (h | 1), low, high))
+        return tuple(np.concatenate(p) for p in parts)
 
     found = cut(repeated(held, "k1 long, k2 long, h long, first long, last long", stretch, ["k1", "k2"]), "suffix-stretches")
-    speaks = found.groupBy("k1", "k2").agg(F.min(F.struct("h", "first")).alias("one")).select("one.h", "one.first", F.lit(True).alias("speaks"))
+    speaks = found.where("k1 <> 0 or k2 <> 0").groupBy("k1", "k2").agg(F.min(F.struct("h", "first")).alias("one")).select("one.h", "one.first", F.lit(True).alias("speaks"))
     settled = found.select("h", "first", "last").join(speaks.distinct(), ["h", "first"], "left")
-    settled = settled.unionByName(_over_texts(held, "h long, first long, last long", repetitive).withColumn("speaks", F.lit(False)))
     settled = cut(settled.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("first", "last", F.coalesce("speaks", F.lit(False)).cast("long").alias("speaks")))).alias("s")).select("h", F.flatten(F.transform("s", lambda x: F.array(x["first"], x["last"], x["speaks"]))).alias("settled")), "suffix-settled")
 
     def window(row):
@@ -357,11 +350,11 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept", "n_passage_words")
     text = F.coalesce("text", F.lit(""))
     least = min(BYTES.least_bytes, WORDS.least_bytes)
-    classes, salt = None, 0
+    classes, salt, even = None, 0, F.lit(-2)
     while classes is None or classes.groupBy("h").count().where("count > 1").limit(1).count():  # two texts of one hash
         salt += 1
-        classes = cut(docs.select(text.alias("t")).where(F.octet_length("t") >= least).select(F.xxhash64(F.lit(salt), "t").alias("h"), F.xxhash64("t", F.lit(-salt)).alias("h2")).groupBy("h", "h2").agg(F.count("*").alias("copies")), "suffix-classes")
-    hashed = docs.select(F.struct(*docs.columns).alias("row"), text.alias("text"), F.xxhash64(F.lit(salt), text).alias("h"))
+        classes = cut(docs.select(text.alias("t")).where(F.octet_length("t") >= least).select(F.xxhash64(F.lit(salt), "t").bitwiseAND(even).alias("h"), F.xxhash64("t", F.lit(-salt)).alias("h2")).groupBy("h", "h2").agg(F.count("*").alias("copies")), "suffix-classes")
+    hashed = docs.select(F.struct(*docs.columns).alias("row"), text.alias("text"), F.xxhash64(F.lit(salt), text).bitwiseAND(even).alias("h"))
     copied = classes.where("copies > 1").select("h")
     long = hashed.select("h", "text").where(F.octet_length("text") >= least)
     copied = broadcast_if_small(cut(copied, "suffix-copied"), 8)
