@@ -75,23 +75,24 @@ class Names:
 _BYTE_VALUES = np.random.Generator(np.random.Philox(key=400)).integers(0, 1 << 64, (2, 256), dtype=np.uint64)
 
 
-def byte_symbols(data: bytes, both: bool) -> list[np.ndarray]:
-    x = np.frombuffer(data, dtype=np.uint8)
-    return [_BYTE_VALUES[k][x] for k in range(1 + both)]
+def byte_symbols(x: np.ndarray, ends: np.ndarray, both: bool) -> tuple[list[np.ndarray], np.ndarray]:
+    """Values of the bytes of texts laid end to end, and where each text ends among them."""
+    return [_BYTE_VALUES[k][x] for k in range(1 + both)], ends
 
 
-def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends, in bytes, of the words; gaps are space and \\x09-\\x0D."""
-    x = np.frombuffer(data, dtype=np.uint8)
-    gap = np.ones(len(x) + 2, dtype=bool)
-    gap[1:-1] = (x == 32) | ((x >= 9) & (x <= 13))
-    edges = np.flatnonzero(gap[1:] != gap[:-1])
-    return edges[::2], edges[1::2]
+def word_bounds(x: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends, in bytes, of the words; gaps are space and \\x09-\\x0D, and words end where texts do."""
+    word = ~((x == 32) | ((x >= 9) & (x <= 13)))
+    before, after = np.zeros(len(x) + 1, dtype=bool), np.zeros(len(x) + 1, dtype=bool)
+    before[1:], after[:-1] = word, word
+    before[ends], after[ends] = False, False
+    return np.flatnonzero(word & ~before[:-1]), np.flatnonzero(word & ~after[1:]) + 1
 
 
-def word_symbols(data: bytes, both: bool) -> list[np.ndarray]:
-    names, (start, stop) = Names(byte_symbols(data, both)), word_bounds(data)
-    return [names.of(start, stop, k).view(np.uint64) for k in range(1 + both)]
+def word_symbols(x: np.ndarray, ends: np.ndarray, both: bool) -> tuple[list[np.ndarray], np.ndarray]:
+    """Values of the words of texts laid end to end, and where each text ends among them."""
+    names, (start, stop) = Names(byte_symbols(x, ends, both)[0]), word_bounds(x, ends)
+    return [names.of(start, stop, k).view(np.uint64) for k in range(1 + both)], np.searchsorted(start, ends)
 
 
 @dataclass(frozen=True)
@@ -105,7 +106,7 @@ class Kind:
     """
 
     name: str
-    symbols: Callable[[bytes, bool], list[np.ndarray]]
+    symbols: Callable[[np.ndarray, np.ndarray, bool], tuple[list[np.ndarray], np.ndarray]]
     length: int
     v: int
     cover: tuple[int, ...]
@@ -119,12 +120,23 @@ class Kind:
         return self.length - self.v + 1
 
     def names(self, row, both: bool = True) -> Names:
-        return Names(self.symbols(_data(row), both))
+        x = np.frombuffer(_data(row), dtype=np.uint8)
+        return Names(self.symbols(x, np.array([len(x)]), both)[0])
 
     def sampled(self, n: int) -> np.ndarray:
         """The cover's positions in a text of n symbols at which a prefix fits."""
-        x = (np.arange(0, n, self.v)[:, None] + np.array(self.cover)[None, :]).ravel()
-        return x[x + self.prefix <= n]
+        return self.sampled_in(np.array([n]))[0]
+
+    def sampled_in(self, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cover's positions, counted in each text from its start, in texts laid end to end, and the numbers of their texts."""
+        starts = np.concatenate([[0], ends[:-1]])
+        rounds = -(-(ends - starts) // self.v)
+        text = np.repeat(np.arange(len(ends)), rounds)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(rounds) - rounds, rounds)
+        at = ((starts[text] + nth * self.v)[:, None] + np.array(self.cover)[None, :]).ravel()
+        text = np.repeat(text, len(self.cover))
+        fits = at + self.prefix <= ends[text]
+        return at[fits], text[fits]
 
     def ranges(self, names: Names, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(name, first window, last window): what windows around sampled positions have in common, range by range."""
@@ -159,8 +171,8 @@ BYTES = Kind("bytes", byte_symbols, 400, 273, (1, 2, 4, 8, 16, 32, 64, 91, 117,
 WORDS = Kind("words", word_symbols, 51, 31, (1, 5, 11, 24, 25, 27), 4, 8, 8, 101)
 
 
-def repeated(texts: DataFrame, schema: str, make: Callable, keys: list[str], high: str | None = None) -> DataFrame:
-    """The rows that ``make`` draws from the texts, of those whose key another row has too; equal keys stream by in sorted order.
+def repeated(texts: DataFrame, schema: str, make: Callable, keys: list[str], high: str | None = None, whole: bool = False) -> DataFrame:
+    """The rows that ``make`` draws from each text (or whole batch of texts), of those whose key another row has too; equal keys stream by in sorted order.
 
     The upper 32 bits of the long column ``high``, if given, belong to the key.  A row whose key is
     known to recur often goes to a task by its text's hash, so that no task gets all of a hot key;
@@ -168,11 +180,11 @@ def repeated(texts: DataFrame, schema: str, make: Callable, keys: list[str], hig
     Hashes of texts are even; a row with an odd one is known to recur.
     """
     order, names = keys + [high] * bool(high), [f.split()[0] for f in schema.split(", ")]
-    part = _over_texts(texts.where(F.pmod(F.shiftright("h", 1), F.lit(HOT_SHARE)) == 0), schema, make)
+    part = _over_texts(texts.where(F.pmod(F.shiftright("h", 1), F.lit(HOT_SHARE)) == 0), schema, make, whole=whole)
     by = [F.col(k) for k in keys] + ([F.shiftright(high, 32)] if high else [])
     often = part.groupBy(*by).agg(F.count("*").alias("c")).where(F.col("c") >= HOT_COUNT).orderBy(F.desc("c"), keys[0]).limit(MOST_HOT)
     hot = np.unique(np.array([r[0] for r in often.collect()], dtype=np.int64))
-    rows = _over_texts(texts, schema, make, (keys[0], hot))
+    rows = _over_texts(texts, schema, make, (keys[0], hot), whole)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, held_same = None, False
@@ -201,8 +213,8 @@ def repeated(texts: DataFrame, schema: str, make: Callable, keys: list[str], hig
     return out.withColumn("h", F.col("h").bitwiseAND(F.lit(-2))).select(*names)
 
 
-def _over_texts(frame: DataFrame, schema: str, make, hot: tuple[str, np.ndarray] | None = None) -> DataFrame:
-    """``make(row)`` gives arrays for the long columns of ``schema`` for each row; rows go out in large batches.
+def _over_texts(frame: DataFrame, schema: str, make, hot: tuple[str, np.ndarray] | None = None, whole: bool = False) -> DataFrame:
+    """``make(row)`` gives arrays for the long columns of ``schema`` for each row, or for each ``whole`` batch; rows go out in large batches.
 
     With ``hot``, a key column and its known repeated values, h is made odd where the key is one of these.
     """
@@ -221,8 +233,8 @@ def _over_texts(frame: DataFrame, schema: str, make, hot: tuple[str, np.ndarray]
             return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in cols], names=names)
 
         for batch in batches:
-            for k in range(batch.num_rows):
-                arrays = make({name: batch.column(name)[k] for name in batch.schema.names})
+            for k in range(min(batch.num_rows, 1) if whole else batch.num_rows):
+                arrays = make(batch if whole else {name: batch.column(name)[k] for name in batch.schema.names})
                 if len(arrays[0]):
                     parts.append(arrays)
                     size += len(arrays[0])
@@ -235,16 +247,26 @@ def _over_texts(frame: DataFrame, schema: str, make, hot: tuple[str, np.ndarray]
     return frame.mapInArrow(run, schema)
 
 
-def _twice(keys: np.ndarray) -> np.ndarray:
-    """Indices of the first two of each key: enough to tell that it repeats, however repetitive a text is."""
+def _twice(keys: np.ndarray, text: np.ndarray | None = None) -> np.ndarray:
+    """Indices of the first two of each key (in each text, numbered in order): enough to tell that it repeats, however repetitive a text is."""
     order = np.argsort(keys, kind="stable")
     new = np.concatenate([[True], keys[order[1:]] != keys[order[:-1]]]) if len(keys) else np.empty(0, dtype=bool)
+    if text is not None and len(keys):
+        new[1:] |= text[order[1:]] != text[order[:-1]]
     first = np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))
     return np.sort(order[np.arange(len(keys)) - first < 2])
 
 
 def _data(row) -> bytes:
-    return row["text"].as_py().encode("utf-8", "surrogatepass")
+    return row["text"].as_buffer().to_pybytes()
+
+
+def _laid(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of texts, end to end as they lie in its buffer, and where each text ends."""
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, dtype=np.int64 if pa.types.is_large_string(texts.type) else np.int32)
+    at = at[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    return np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]], at[1:] - at[0]
 
 
 def repeated_windows(texts: DataFrame, kind: Kind = BYTES) -> DataFrame:
@@ -255,12 +277,13 @@ def repeated_windows(texts: DataFrame, kind: Kind = BYTES) -> DataFrame:
     small_batches(texts.sparkSession)
     texts = texts.where(F.octet_length("text") >= kind.least_bytes)
 
-    def sample(row):
-        names = kind.names(row, both=False)
-        at = kind.sampled(names.n)
+    def sample(batch):
+        symbols, ends = kind.symbols(*_laid(batch.column("text")), False)
+        names = Names(symbols)
+        at, text = kind.sampled_in(ends)
         name = names.of(at, at + kind.prefix)
-        name = name[_twice(name)]
-        return name, np.full(len(name), row["h"].as_py())
+        two = _twice(name, text)
+        return name[two], batch.column("h").to_numpy()[text[two]]
 
     def recur(row):
         names = kind.names(row, both=False)
@@ -272,15 +295,15 @@ def repeated_windows(texts: DataFrame, kind: Kind = BYTES) -> DataFrame:
     spark = texts.sparkSession
     keys_of = lambda row: row["keys"].values.to_numpy()
 
-    def with_keys(frame: DataFrame, make, name: str) -> DataFrame:
+    def with_keys(frame: DataFrame, make, name: str, whole: bool = False) -> DataFrame:
         """The texts that have repeated names, with these."""
-        by_text = repeated(frame, "key long, h long", make, ["key"]).groupBy("h").agg(F.collect_set("key").alias("keys"))
+        by_text = repeated(frame, "key long, h long", make, ["key"], whole=whole).groupBy("h").agg(F.collect_set("key").alias("keys"))
         by_text = cut(by_text, name)
         release(spark)
         own = texts.join(broadcast_if_small(by_text.select("h"), 8), "h", "left_semi")
         return own.join(by_text, "h").select("h", "text", "keys")
 
-    held = cut(with_keys(with_keys(texts, sample, "suffix-names"), recur, "suffix-long-names"), "suffix-texts")
+    held = cut(with_keys(with_keys(texts, sample, "suffix-names", whole=True), recur, "suffix-long-names"), "suffix-texts")
     release(spark)
 
     def stretch(row):
@@ -389,13 +412,14 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         rows = []
         for t, s, p, all_of_it in zip(texts, spans, passages, whole):
             data = t.encode("utf-8", "surrogatepass")
-            n_words = len(word_bounds(data)[0])
+            x = np.frombuffer(data, dtype=np.uint8)
+            n_words = len(word_bounds(x, np.array([len(x)]))[0])
             gone, told = covered(len(data), s, BYTES.length), covered(n_words, p, WORDS.length)
             if all_of_it:
                 gone |= len(data) >= BYTES.length
                 told |= n_words >= WORDS.length
             starts = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-            rows.append((len(data), int(gone.sum()), starts, np.frombuffer(data, dtype=np.uint8)[~gone].tobytes(), int(told.sum())))
+            rows.append((len(data), int(gone.sum()), starts, x[~gone].tobytes(), int(told.sum())))
         return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept", "n_passage_words"])
 
     marked = marked.withColumn("out", cut_out("text", "spans", "passages", "whole")).select("row.*", "out.*")
