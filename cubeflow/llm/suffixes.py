@@ -33,6 +33,8 @@ from cubeflow.llm.common import broadcast_if_small, cut, release, small_batches
 
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 BATCH = 1 << 16
+#: Bytes of text that are worked on at once where whole batches are.
+PIECE_BYTES = 1 << 19
 #: Names that recur HOT_COUNT times or oftener in one of HOT_SHARE texts are dealt by text and not by name; at most so many.
 #: The bound is on this hint alone: names beyond it are compared like any other.
 HOT_SHARE, HOT_COUNT, MOST_HOT = 64, 8, 1 << 16
@@ -233,8 +235,8 @@ def _over_texts(frame: DataFrame, schema: str, make, hot: tuple[str, np.ndarray]
             return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in cols], names=names)
 
         for batch in batches:
-            for k in range(min(batch.num_rows, 1) if whole else batch.num_rows):
-                arrays = make(batch if whole else {name: batch.column(name)[k] for name in batch.schema.names})
+            for piece in _pieces(batch) if whole else range(batch.num_rows):
+                arrays = make(piece if whole else {name: batch.column(name)[piece] for name in batch.schema.names})
                 if len(arrays[0]):
                     parts.append(arrays)
                     size += len(arrays[0])
@@ -261,6 +263,15 @@ def _data(row) -> bytes:
     return row["text"].as_buffer().to_pybytes()
 
 
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about PIECE_BYTES of text, one text at least."""
+    if batch.num_rows:
+        ends = _laid(batch.column("text"))[1]
+        firsts = np.flatnonzero(np.diff(ends // PIECE_BYTES, prepend=-1)).tolist()
+        for a, b in zip(firsts, [*firsts[1:], batch.num_rows]):
+            yield batch.slice(a, b - a)
+
+
 def _laid(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a column of texts, end to end as they lie in its buffer, and where each text ends."""
     _, offsets, data = texts.buffers()
