@@ -53,6 +53,18 @@ def cut(df: DataFrame, kind: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of ours in the shared folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a cut that nothing reads any more."""
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        remove(df.sparkSession, folder)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of results that are cut and no longer referred to; else they stay until a chance collection."""
     gc.collect()

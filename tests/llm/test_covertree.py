@@ -2,7 +2,9 @@ import math
 
 import numpy as np
 
-from cubeflow.llm import covertree
+from pyspark.sql import functions as F
+
+from cubeflow.llm import common, covertree
 
 SCHEMA = "vec_id long, embedding array<float>, label int, kept string"
 
@@ -65,3 +67,61 @@ def test_components_beyond_the_range_of_squares(spark):
     docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {r.vec_id: (r.n_links, r.component_id) for r in covertree.near_duplicates(docs).collect()}
     assert got == {**dict.fromkeys((0, 1, 2, 3), (3, 0)), 4: (1, 4), 5: (1, 4), 6: (0, 6), 7: (0, 7), 8: (0, 8)}
+
+
+def shuffled(spark, run):
+    """What ``run`` returns, and the MB that its stages wrote to the shuffle."""
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
+
+    def stages():
+        listed = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {(listed.apply(k).stageId(), listed.apply(k).attemptId()): listed.apply(k).shuffleWriteBytes() for k in range(listed.size())}
+
+    before = stages()
+    out = run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return out, sum(size for stage, size in stages().items() if stage not in before) / 1e6
+
+
+def clustered(n, seed):
+    """Two thirds unrelated vectors of 64 components, the others in dense and loose groups, with copies."""
+    rng = np.random.default_rng(seed)
+    vectors = rng.normal(size=(n, 64))
+    for at, size, noise in ((0, n // 8, 0.1), (n // 8, n // 8, 0.22), (n // 4, n // 16, 0.27)):
+        vectors[at : at + size] = rng.normal(size=64) + rng.normal(size=(size, 64)) * noise
+    vectors[5 : 12] = vectors[4]
+    return [[float(x) for x in v] for v in vectors.astype(np.float32)]
+
+
+def test_shuffles_and_keeps_in_proportion_to_vectors(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(covertree, "BLOCK", 32)
+    monkeypatch.setattr(common, "shared_folder", lambda _: f"file://{tmp_path}")
+    rows = list(enumerate(clustered(900, 3)))
+    out, mb = shuffled(spark, lambda: got(spark, rows))
+    assert out == plain(rows)
+    raw = 900 * 64 * 4 / 1e6
+    assert mb < 4 * raw  # 29 blocks, so 435 pairs of blocks
+    assert sum(p.stat().st_size for p in tmp_path.rglob("*") if p.is_file()) / 1e6 < raw  # cuts of vectors are deleted
+
+
+def test_equal_vectors_under_shared_hashes_and_signed_zeros(spark, monkeypatch):
+    rows = [(1, [0.0, 1.0]), (2, [-0.0, 1.0]), (3, [1.0, 0.0]), (4, [1.0, -0.0]), (2**60 + 1, [-1.0, 0.0]), (None, [-1.0, -1.0]), (6, None)]
+    assert got(spark, rows) == plain(rows)
+    monkeypatch.setattr(covertree, "_key", lambda e: F.size(e))
+    assert got(spark, rows) == plain(rows)
+
+
+def test_dual_traversal_beside_a_wall_and_along_axes():
+    vectors = np.array(clustered(1500, 4), dtype=np.float32)
+    pivots = covertree.Pivots([v.astype(np.float64) for v in vectors[::3]], 40 * covertree.BLOCK)
+    where, _ = pivots.nearest(list(vectors.astype(np.float64)))
+    cells = [np.flatnonzero(where == k) for k in range(len(pivots.unit))]
+    trees = [covertree.Tree(vectors[c], axes=pivots.axes[64]) if len(c) else None for c in cells]
+    pairs = set()
+    for i, a in enumerate(trees):
+        for j, b in enumerate(trees):
+            if a and b:
+                pairs |= {(int(cells[i][x]), int(cells[j][y])) for p, q in covertree.dual(a, b, 0.95, pivots.wall(i, j)) for x, y in zip(p, q)}
+    x = vectors.astype(np.float64)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    assert pairs == {(int(i), int(j)) for i, j in zip(*np.nonzero(x @ x.T >= 0.95))}
