@@ -5,8 +5,8 @@ sqrt(2 - 2c).  The top of the tree is a bounded set of pivots in farthest-first
 prefixes are nested nets of shrinking radius; every vector belongs to its nearest pivot.  Below a
 pivot, blocks of bounded size carry cover trees of nested levels with halving radii.  The traversal
 takes pairs of nodes from the top down and prunes a pair whose centres are farther apart than both
-covering radii and the threshold together, or that the wall between their pivots' cells keeps apart;
-that loses no pair.
+covering radii and the threshold together, or whose distances to their pivots, or the wall between
+the pivots' cells, keep them apart; that loses no pair.
 
 Blocks are written once, a file each in the shared folder, and only their numbers go to tasks.  A
 task meets two groups of blocks, reads each of them once and returns, for each vector with links,
@@ -46,6 +46,8 @@ DENSE = 256
 SLACK = 2e-3
 #: Components along the sample's main axes that bound a product before it is taken, in vectors at least twice as wide.
 HEAD = 16
+#: Shells by distance to the pivot that the vectors of a block without near neighbours are met in, and vectors in one at least.
+SHELLS, LEAST_SHELL = 4, 128
 #: Groups of blocks aimed at; blocks in a group at most, and bytes of their vectors.
 GROUPS = 160
 MOST_HELD = 32
@@ -55,7 +57,8 @@ HELD_BYTES = 64 << 20
 class Tree:
     """Levels of a block: centres (indices of vectors), covering radii and children, down to the vectors."""
 
-    def __init__(self, vectors: np.ndarray, built: bytes | None = None, axes: np.ndarray | None = None) -> None:
+    def __init__(self, vectors: np.ndarray, built: bytes | None = None, axes: np.ndarray | None = None, pivot: np.ndarray | None = None) -> None:
+        """``axes`` bound products before they are taken; ``pivot``, a unit vector, is the one of all pivots that is nearest to each vector."""
         self.raw = vectors
         self.norm = np.sqrt(np.einsum("ij,ij->i", vectors, vectors, dtype=np.float64))
         self.unit = (vectors / self.norm[:, None]).astype(np.float32)
@@ -63,7 +66,19 @@ class Tree:
             self.levels, self.order, self.starts = pickle.loads(zlib.decompress(built))
         else:
             self._build()
-        self.top = self.unit[self.levels[0][0]]
+        centres, covers = self.levels[0][:2]
+        # shells: first nodes of one vector by distance to the pivot, then all others, as (start, stop, farthest angle)
+        single, others = np.flatnonzero(covers == 0), np.flatnonzero(covers > 0)
+        self.pivot, self.shells = pivot, []
+        dot = np.zeros(len(centres)) if pivot is None else self.unit[centres] @ pivot
+        single = single[np.argsort(-dot[single], kind="stable")]
+        self.first = np.concatenate([single, others])
+        self.cover = covers[self.first]
+        self.angle = _angle(self.cover)
+        away = np.full(len(centres), np.pi) if pivot is None else np.arccos(np.clip(dot[self.first], -1, 1)) + self.angle
+        cuts = np.linspace(0, len(single), 1 + (1 if pivot is None else min(SHELLS, max(1, len(single) // LEAST_SHELL)))).astype(int).tolist()
+        self.shells = [(lo, hi, float(away[lo:hi].max())) for lo, hi in [*zip(cuts, cuts[1:]), (len(single), len(centres))] if lo < hi]
+        self.top = self.unit[centres[self.first]]
         self.head = self.top
         if axes is not None:
             # x . y is at most the product along some axes plus that of the lengths of what is left
@@ -140,39 +155,54 @@ def _product(i, j, si, ni, sj, nj) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         at = stop
 
 
-def dual(a: Tree, b: Tree, cosine: float, wall: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All (i, j), vectors of a and b with at least the cosine, in parts.
-
-    ``wall`` is a unit vector along which no vector of a lies below 0 and none of b above it.
-    """
+def dual(a: Tree, b: Tree, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All (i, j), vectors of a and b with at least the cosine, in parts."""
     reach = math.sqrt(2 - 2 * cosine) + SLACK
-    ra, rb = a.levels[0][1], b.levels[0][1]
-    may_a, may_b = np.ones(len(ra), dtype=bool), np.ones(len(rb), dtype=bool)
-    if wall is not None:
-        wall = wall.astype(np.float32)
-        may_a, may_b = a.top @ wall - ra <= reach, b.top @ wall + rb >= -reach
-    # a chord of at most r is a dot product of at least 1 - r^2 / 2; nodes of one vector share one bound
-    for of_a in (np.flatnonzero(may_a & (ra == 0)), np.flatnonzero(may_a & (ra > 0))):
-        for of_b in (np.flatnonzero(may_b & (rb == 0)), np.flatnonzero(may_b & (rb > 0))):
+    most, near_a, near_b = math.pi, None, None
+    if a.pivot is not None and b.pivot is not None:
+        # linked vectors' angles to any pivot differ by at most that between them
+        most = _angle(reach)
+        near_a, near_b = _nearest_angles(a, b.pivot, reach), _nearest_angles(b, a.pivot, reach)
+    for lo_a, hi_a, far_a in a.shells:
+        for lo_b, hi_b, far_b in b.shells:
+            of_a, of_b = np.arange(lo_a, hi_a), np.arange(lo_b, hi_b)
+            if near_a is not None:
+                of_a, of_b = of_a[near_a[lo_a:hi_a] <= far_b + most], of_b[near_b[lo_b:hi_b] <= far_a + most]
             if not len(of_a) or not len(of_b):
                 continue
             right, full = np.ascontiguousarray(b.head[of_b].T), None
+            # a chord of at most r is a dot product of at least 1 - r^2 / 2; nodes of one vector share one bound
+            bound, alike = np.float32(1 - reach * reach / 2), not a.cover[lo_a] and not b.cover[lo_b]
             step = max(1, STEP // len(of_b)) * 2
             for lo in range(0, len(of_a), step):
                 rows = of_a[lo : lo + step]
-                bound = np.float32(1 - reach * reach / 2)
-                if ra[rows[0]] or rb[of_b[0]]:
-                    most = ra[rows, None] + rb[None, of_b] + np.float32(reach)
-                    bound = 1 - most * most / 2
+                if not alike:
+                    bound = 1 - (a.cover[rows, None] + b.cover[None, of_b] + np.float32(reach)) ** 2 / 2
                 at = np.flatnonzero(a.head[rows] @ right >= bound)
                 if a.head is not a.top and len(at) > len(rows) * len(of_b) // 32:
                     full = b.top[of_b].T if full is None else full
                     at = np.flatnonzero(a.top[rows] @ full >= bound)
                 i, j = rows[at // len(of_b)], of_b[at % len(of_b)]
                 if a.head is not a.top and len(at):
-                    near = np.einsum("ij,ij->i", a.top[i], b.top[j]) >= (bound if bound.ndim == 0 else bound.ravel()[at])
+                    near = np.einsum("ij,ij->i", a.top[i], b.top[j]) >= (bound if alike else bound.ravel()[at])
                     i, j = i[near], j[near]
-                yield from _descend(a, b, 0, i, j, cosine, reach)
+                yield from _descend(a, b, 0, a.first[i], b.first[j], cosine, reach)
+
+
+def _angle(chord):
+    """The angle of a chord of the unit sphere."""
+    return 2 * np.arcsin(np.minimum(np.asarray(chord) / 2, 1))
+
+
+def _nearest_angles(tree: Tree, pivot: np.ndarray, reach: float) -> np.ndarray:
+    """The least angle between the vectors of each first node and another tree's pivot; infinite if the wall between both pivots' cells keeps it from all of that tree's."""
+    dot = tree.top @ pivot
+    out = np.arccos(np.clip(dot, -1, 1)) - tree.angle
+    gap = tree.pivot.astype(np.float64) - pivot
+    width = float(np.linalg.norm(gap))
+    if width > 0.1:
+        out[tree.top @ (gap / width).astype(np.float32) - tree.cover > reach] = np.inf
+    return out
 
 
 def _descend(a: Tree, b: Tree, level: int, i, j, cosine: float, reach: float):
@@ -249,12 +279,9 @@ class Pivots:
             return True
         return math.dist(self.unit[i], self.unit[j]) <= radii + math.sqrt(2 - 2 * cosine) + SLACK
 
-    def wall(self, i: int, j: int) -> np.ndarray | None:
-        """The direction from pivot j to i: vectors nearer to i lie above 0 along it, those nearer to j below."""
-        if i == j or i < 0 or j < 0:
-            return None
-        gap = self.unit[i] - self.unit[j]
-        return gap / np.linalg.norm(gap)
+    def of(self, i: int) -> np.ndarray | None:
+        """Pivot i, or none of a width without pivots."""
+        return self.unit[i].astype(np.float32) if i >= 0 else None
 
 
 def _arrays(lists: pa.ListArray) -> list[np.ndarray]:
@@ -286,11 +313,11 @@ class Links:
     def __init__(self, n: int) -> None:
         self.ids, self.count, self.label = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64), np.arange(n)
 
-    def meet(self, a: Tree, at_a: int, copies_a: np.ndarray, b: Tree, at_b: int, copies_b: np.ndarray, cosine: float, wall: np.ndarray | None = None) -> None:
+    def meet(self, a: Tree, at_a: int, copies_a: np.ndarray, b: Tree, at_b: int, copies_b: np.ndarray, cosine: float) -> None:
         """Adds the links between two blocks, or those within one block."""
         same, na, nb = at_a == at_b, len(copies_a), len(copies_b)
         label = np.arange(na if same else na + nb)
-        for p, q in dual(a, b, cosine, wall):
+        for p, q in dual(a, b, cosine):
             if same:
                 p, q = p[p != q], q[p != q]
             if not len(p):
@@ -366,7 +393,7 @@ def linked_classes(placed: DataFrame, pivots: Pivots, cosine: float = COSINE) ->
         def read(k: int) -> tuple[Tree, np.ndarray, np.ndarray]:
             with store.open_input_stream(f"{root}/{blocks[k].name}", compression=None) as file:
                 ids, copies, vectors, tree = pickle.loads(file.read())
-            return Tree(vectors, tree, pivots.axes.get(blocks[k].width)), ids, copies
+            return Tree(vectors, tree, pivots.axes.get(blocks[k].width), pivots.of(blocks[k].pivot)), ids, copies
 
         for task in (int(t) for frame in frames for t in frame["id"]):
             g = (math.isqrt(8 * task + 1) - 1) // 2
@@ -387,7 +414,7 @@ def linked_classes(placed: DataFrame, pivots: Pivots, cosine: float = COSINE) ->
                 for i in near:
                     for k, (_, ids, _) in ((i, kept[i]), (j, other)):
                         links.ids[at[k] : at[k] + len(ids)] = ids
-                    links.meet(kept[i][0], at[i], kept[i][2], other[0], at[j], other[2], cosine, pivots.wall(blocks[i].pivot, b.pivot))
+                    links.meet(kept[i][0], at[i], kept[i][2], other[0], at[j], other[2], cosine)
             yield links.frame()
 
     found = cut(spark.range(0, n_tasks, 1, max(1, min(n_tasks, 20000))).mapInPandas(meet, "cid long, links long, other long"), "vector-links")

@@ -111,17 +111,18 @@ def test_equal_vectors_under_shared_hashes_and_signed_zeros(spark, monkeypatch):
     assert got(spark, rows) == plain(rows)
 
 
-def test_dual_traversal_beside_a_wall_and_along_axes():
+def test_dual_traversal_by_pivots_and_axes(monkeypatch):
+    monkeypatch.setattr(covertree, "LEAST_SHELL", 4)
     vectors = np.array(clustered(1500, 4), dtype=np.float32)
     pivots = covertree.Pivots([v.astype(np.float64) for v in vectors[::3]], 40 * covertree.BLOCK)
     where, _ = pivots.nearest(list(vectors.astype(np.float64)))
     cells = [np.flatnonzero(where == k) for k in range(len(pivots.unit))]
-    trees = [covertree.Tree(vectors[c], axes=pivots.axes[64]) if len(c) else None for c in cells]
+    trees = [covertree.Tree(vectors[c], axes=pivots.axes[64], pivot=pivots.of(k)) if len(c) else None for k, c in enumerate(cells)]
     pairs = set()
     for i, a in enumerate(trees):
         for j, b in enumerate(trees):
             if a and b:
-                pairs |= {(int(cells[i][x]), int(cells[j][y])) for p, q in covertree.dual(a, b, 0.95, pivots.wall(i, j)) for x, y in zip(p, q)}
+                pairs |= {(int(cells[i][x]), int(cells[j][y])) for p, q in covertree.dual(a, b, 0.95) for x, y in zip(p, q)}
     x = vectors.astype(np.float64)
     x /= np.linalg.norm(x, axis=1)[:, None]
     assert pairs == {(int(i), int(j)) for i, j in zip(*np.nonzero(x @ x.T >= 0.95))}
