@@ -126,3 +126,10 @@ def test_dual_traversal_by_pivots_and_axes(monkeypatch):
     x = vectors.astype(np.float64)
     x /= np.linalg.norm(x, axis=1)[:, None]
     assert pairs == {(int(i), int(j)) for i, j in zip(*np.nonzero(x @ x.T >= 0.95))}
+
+
+def test_groups_of_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(covertree, "BLOCK", 32)
+    monkeypatch.setattr(covertree, "GROUPS", 3)
+    rows = list(enumerate(clustered(400, 5)))
+    assert got(spark, rows) == plain(rows)
