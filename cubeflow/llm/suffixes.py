@@ -13,7 +13,8 @@ whole: content picks anchors among the windows, and a stretch between two anchor
 settles all its windows, so that one occurrence speaks for its class from then on.  What is left,
 the ends of repeated runs, is merged with the classes' windows, sorted, and adjacent entries are
 compared.  Strings are named by 96 or 128 bits of polynomial hashes.  Sorting is Spark's, which spills;
-groups of equal names stream by in sorted order, so the size of a group does not matter.  Names that
+groups of equal names stream by in sorted order, so the size of a group does not matter.  The names of
+sampled positions, most of all rows, travel packed, and are sorted bucket by bucket.  Names that
 a sample of the texts shows to recur very often need no comparison: their rows are dealt out by text.
 
 The same search runs over two kinds of symbols: BYTES, strings of 400, and WORDS, passages of 51.
@@ -38,6 +39,8 @@ PIECE_BYTES = 1 << 19
 #: Names that recur HOT_COUNT times or oftener in one of HOT_SHARE texts are dealt by text and not by name; at most so many.
 #: The bound is on this hint alone: names beyond it are compared like any other.
 HOT_SHARE, HOT_COUNT, MOST_HOT = 64, 8, 1 << 16
+#: Rows of names that go out packed by buckets, that a bucket is meant to hold, and half of those that are held at most before their groups are settled.
+PACKED = 1 << 19
 
 
 class Names:
@@ -182,7 +185,7 @@ def repeated(texts: DataFrame, schema: str, make: Callable, keys: list[str], hig
     Hashes of texts are even; a row with an odd one is known to recur.
     """
     order, names = keys + [high] * bool(high), [f.split()[0] for f in schema.split(", ")]
-    part = _over_texts(texts.where(F.pmod(F.shiftright("h", 1), F.lit(HOT_SHARE)) == 0), schema, make, whole=whole)
+    part = _part(texts, schema, make, whole)
     by = [F.col(k) for k in keys] + ([F.shiftright(high, 32)] if high else [])
     often = part.groupBy(*by).agg(F.count("*").alias("c")).where(F.col("c") >= HOT_COUNT).orderBy(F.desc("c"), keys[0]).limit(MOST_HOT)
     hot = np.unique(np.array([r[0] for r in often.collect()], dtype=np.int64))
@@ -215,10 +218,76 @@ def repeated(texts: DataFrame, schema: str, make: Callable, keys: list[str], hig
     return out.withColumn("h", F.col("h").bitwiseAND(F.lit(-2))).select(*names)
 
 
-def _over_texts(frame: DataFrame, schema: str, make, hot: tuple[str, np.ndarray] | None = None, whole: bool = False) -> DataFrame:
+def repeated_names(texts: DataFrame, make: Callable, whole: bool = False) -> DataFrame:
+    """(h, keys) for the texts from which ``make`` draws keys (key, h) that another row has too; keys is an array of these.
+
+    As ``repeated``, but rows travel packed, many to a row of Spark's: each goes to the bucket that its
+    key (a known one's text) says, Spark sorts the buckets, and what lies in one is sorted here.
+    The number of buckets follows the rows of the fixed part of the texts.
+    """
+    counts = _part(texts, "key long, h long", make, whole).groupBy("key").agg(F.count("*").alias("c"))
+    often = counts.groupBy(F.when(F.col("c") >= HOT_COUNT, F.col("key")).alias("key")).agg(F.sum("c").alias("c"))
+    often = often.orderBy(F.col("key").isNotNull(), F.desc("c"), "key").limit(MOST_HOT + 1).collect()
+    hot = np.unique(np.array([r.key for r in often if r.key is not None], dtype=np.int64))
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = tasks * -(-max(1, HOT_SHARE * sum(r.c for r in often)) // (PACKED * tasks))
+    rows = _over_texts(texts, "key long, h long", make, ("key", hot), whole, buckets)
+
+    def settled(parts: list[np.ndarray]) -> tuple[pa.RecordBatch, np.ndarray]:
+        """The rows of keys that recur, and one row of each key, odd where it recurs."""
+        key, h = np.concatenate(parts, axis=1)
+        order = np.argsort(key, kind="stable")
+        key, h = key[order], h[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        keep = ~new | ~np.append(new[1:], True) | (h & 1 == 1)
+        rest = np.stack([key[new], h[new] | keep[new]])
+        return pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(h[keep] & ~np.int64(1))], names=["key", "h"]), rest
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size, now = [], 0, None
+        for batch in batches:
+            for bucket, packed in zip(batch.column("bucket").to_pylist(), batch.column("packed")):
+                if parts and bucket != now:
+                    yield settled(parts)[0]
+                    parts, size = [], 0
+                now = bucket
+                parts.append(np.frombuffer(packed.as_py(), dtype=np.int64).reshape(2, -1))
+                size += parts[-1].shape[1]
+                if size > 2 * PACKED:
+                    out, rest = settled(parts)
+                    yield out
+                    parts, size = [rest], 0
+        if parts:
+            yield settled(parts)[0]
+
+    dealt = rows.repartitionById(tasks, F.pmod("bucket", F.lit(tasks)).cast("int")).sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, "key long, h long").groupBy("h").agg(F.collect_set("key").alias("keys"))
+
+
+def _packed(key: np.ndarray, h: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """A row for each bucket that has any: its keys and then their h, as the bytes of both."""
+    bucket = ((np.where(h & 1 == 1, key ^ h, key).view(np.uint64) >> np.uint64(24)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+    order = np.argsort(bucket, kind="stable")
+    key, h, bucket = key[order], h[order], bucket[order].astype(np.int64)
+    first = np.flatnonzero(np.diff(bucket, prepend=-1))
+    ends = np.append(first, len(key))
+    size, at = np.diff(ends), np.arange(len(key))
+    data = np.empty(2 * len(key), dtype=np.int64)
+    data[at + np.repeat(first, size)], data[at + np.repeat(ends[1:], size)] = key, h
+    packed = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((16 * ends).astype(np.int32)), pa.py_buffer(data)])
+    return pa.RecordBatch.from_arrays([pa.array(bucket[first]), packed], names=["bucket", "packed"])
+
+
+def _part(texts: DataFrame, schema: str, make: Callable, whole: bool) -> DataFrame:
+    """What ``make`` draws from a fixed part of the texts."""
+    return _over_texts(texts.where(F.pmod(F.shiftright("h", 1), F.lit(HOT_SHARE)) == 0), schema, make, whole=whole)
+
+
+def _over_texts(frame: DataFrame, schema: str, make, hot: tuple[str, np.ndarray] | None = None, whole: bool = False, buckets: int = 0) -> DataFrame:
     """``make(row)`` gives arrays for the long columns of ``schema`` for each row, or for each ``whole`` batch; rows go out in large batches.
 
     With ``hot``, a key column and its known repeated values, h is made odd where the key is one of these.
+    With ``buckets``, so many of them, rows (key, h) go out packed by bucket.
     """
     names = [f.split()[0] for f in schema.split(", ")]
 
@@ -232,6 +301,8 @@ def _over_texts(frame: DataFrame, schema: str, make, hot: tuple[str, np.ndarray]
                 key, h = cols[names.index(hot[0])], names.index("h")
                 at = np.searchsorted(hot[1], key)
                 cols[h] = cols[h] | (hot[1][np.minimum(at, len(hot[1]) - 1)] == key)
+            if buckets:
+                return _packed(*cols, buckets)
             return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in cols], names=names)
 
         for batch in batches:
@@ -240,13 +311,13 @@ def _over_texts(frame: DataFrame, schema: str, make, hot: tuple[str, np.ndarray]
                 if len(arrays[0]):
                     parts.append(arrays)
                     size += len(arrays[0])
-                if size >= BATCH:
+                if size >= (PACKED if buckets else BATCH):
                     yield out()
                     size = 0
         if parts:
             yield out()
 
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(run, "bucket long, packed binary" if buckets else schema)
 
 
 def _twice(keys: np.ndarray, text: np.ndarray | None = None) -> np.ndarray:
@@ -308,8 +379,7 @@ def repeated_windows(texts: DataFrame, kind: Kind = BYTES) -> DataFrame:
 
     def with_keys(frame: DataFrame, make, name: str, whole: bool = False) -> DataFrame:
         """The texts that have repeated names, with these."""
-        by_text = repeated(frame, "key long, h long", make, ["key"], whole=whole).groupBy("h").agg(F.collect_set("key").alias("keys"))
-        by_text = cut(by_text, name)
+        by_text = cut(repeated_names(frame, make, whole), name)
         release(spark)
         own = texts.join(broadcast_if_small(by_text.select("h"), 8), "h", "left_semi")
         return own.join(by_text, "h").select("h", "text", "keys")

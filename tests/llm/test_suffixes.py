@@ -3,6 +3,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+
 from cubeflow.llm import suffixes
 
 
@@ -88,6 +90,27 @@ def test_a_passage_that_most_texts_share(spark):
     assert got(spark, texts) == plain(texts)
 
 
+def test_names_travel_packed(spark, monkeypatch):
+    """Names that recur come back by text, hot ones too, whether a bucket's groups are settled at once or as they come; few rows are sent."""
+    rng = random.Random(21)
+    held = {2 * i: [rng.randrange(9000) * 0x9E3779B97F4A7C15 % (1 << 63) for _ in range(rng.randrange(60))] + [77] * (i % 3) for i in range(1200)}
+    seen = Counter(k for keys in held.values() for k in keys)
+    want = {h: {k for k in keys if seen[k] > 1} for h, keys in held.items()}
+    texts = spark.createDataFrame([(h, " ".join(map(str, keys))) for h, keys in held.items()], "h long, text string").repartition(3)
+
+    def make(row):
+        keys = np.array(row["text"].as_py().split(), dtype=np.int64)
+        return keys, np.full(len(keys), row["h"].as_py())
+
+    for packed in (suffixes.PACKED, 40):
+        monkeypatch.setattr(suffixes, "PACKED", packed)
+        rows = suffixes.repeated_names(texts, make).collect()
+        assert {r.h: set(r["keys"]) for r in rows} == {h: keys for h, keys in want.items() if keys}
+    monkeypatch.undo()
+    sent = suffixes._over_texts(texts, "key long, h long", make, buckets=8)
+    assert sent.count() <= 3 * 8 < sum(seen.values()) // 100
+
+
 def test_empty_and_repeated_rows(spark):
     schema = "doc_id long, text string"
     assert suffixes.deduplicated(spark.createDataFrame([], schema)).collect() == []
