@@ -10,6 +10,8 @@ from dataclasses import asdict, dataclass, field, replace
 from pyspark.sql import types as T
 
 MOST_DIMENSIONS = 6
+#: Samples of an axis, whose indices and brick positions are 32-bit integers.
+MOST_SAMPLES = (1 << 31) - 1
 #: Sample formats and the Spark types that hold them without loss (unsigned ones widened).
 FORMATS: dict[str, T.DataType] = {
     "1Bit": T.BooleanType(),
@@ -62,7 +64,7 @@ class Axis:
         return (self.coord_max - self.coord_min) / (self.num_samples - 1) if self.num_samples > 1 else 0.0
 
     def validate(self) -> None:
-        _need(1 <= self.num_samples <= 1_000_000, f"axis {self.name}: 1 to 1,000,000 samples")
+        _need(1 <= self.num_samples <= MOST_SAMPLES, f"axis {self.name}: 1 to {MOST_SAMPLES:,} samples")
         _need(math.isfinite(self.coord_min) and math.isfinite(self.coord_max), f"axis {self.name}: finite coordinates")
 
 

@@ -560,8 +560,8 @@ def ensemble_index(headers: DataFrame, key: str = "primary") -> DataFrame:
 def line_information(headers: DataFrame) -> DataFrame:
     """One row for a 2-D line: positions array<struct<x, y>>, ensemble_numbers and traces, in ensemble order.
 
-    An ensemble's position is that of its first trace.  A line has at most a million ensembles, as
-    an axis has; they become metadata of one dataset.
+    An ensemble's position is that of its first trace.  The ensembles of a line lie in one row, as
+    they become metadata of one dataset.
     """
     one = headers.groupBy("primary").agg(F.min_by(F.struct("x", "y"), "trace").alias("position"), F.count("*").alias("n"))
     ordered = F.sort_array(F.collect_list(F.struct("primary", "position", "n")))

@@ -126,3 +126,20 @@ def test_updates_copies_and_memory(spark, array, descriptor, stored, tmp_path):
         V.Volume.open(spark, str(tmp_path / "none"))
     with pytest.raises(ReadError):
         V.Volume.open(spark, "memory://none")
+
+
+FAR = (40, 1000, 2_000_000)
+FAR_ROWS = [(0, 0, 0, 1.0), (3, 999, 1_000_001, 2.0), (4, 998, 1_999_999, 3.0), (5, 999, 1_999_998, 4.0)]
+
+
+@pytest.fixture(scope="module")
+def far(spark, tmp_path_factory):
+    """A volume with an axis of over a million samples."""
+    axes = tuple(Axis(n, f"A{d}") for d, n in enumerate(FAR))
+    v = V.Volume.create(spark, str(tmp_path_factory.mktemp("far") / "a"), Descriptor(axes, (Channel("V", "R64"),), Layout(lods=1)))
+    v.write(spark.createDataFrame(FAR_ROWS, "d0 long, d1 long, d2 long, value double"))
+    return V.Volume.open(spark, v.path)
+
+
+def test_levels_of_an_axis_over_a_million(far):
+    assert key(far.voxels(0, 1)) == [(0, 0, 0, 1.0), (1, 499, 500_000, 2.0), (2, 499, 999_999, 3.0)]
