@@ -143,3 +143,8 @@ def far(spark, tmp_path_factory):
 
 def test_levels_of_an_axis_over_a_million(far):
     assert key(far.voxels(0, 1)) == [(0, 0, 0, 1.0), (1, 499, 500_000, 2.0), (2, 499, 999_999, 3.0)]
+
+
+def test_a_region_of_an_axis_over_a_million(far):
+    got = far.subset((1, 500, 1_000_000), (40, 1000, 2_000_000))
+    assert key(got) == [(2, 499, 1, 2.0), (3, 498, 999_999, 3.0), (4, 499, 999_998, 4.0)]
