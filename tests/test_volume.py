@@ -148,3 +148,9 @@ def test_levels_of_an_axis_over_a_million(far):
 def test_a_region_of_an_axis_over_a_million(far):
     got = far.subset((1, 500, 1_000_000), (40, 1000, 2_000_000))
     assert key(got) == [(2, 499, 1, 2.0), (3, 498, 999_999, 3.0), (4, 499, 999_998, 4.0)]
+
+
+def test_traces_beyond_a_million(spark, far):
+    at = spark.createDataFrame([(0, 0.5, 999.5, 1_000_001.5), (1, 0.5, 998.5, 1_999_999.5), (2, 0.5, 1.5, 1_999_999.5)], "id long, p0 double, p1 double, p2 double")
+    rows = far.traces(at, method="nearest").collect()
+    assert len(rows) == 3 * FAR[0] and sorted((r.id, r.sample, r.value) for r in rows if r.value is not None) == [(0, 3, 2.0), (1, 4, 3.0)]
