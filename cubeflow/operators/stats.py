@@ -71,12 +71,30 @@ def secondary_steps(traces: DataFrame, primary: str, secondary: str) -> DataFram
     return keys.groupBy(primary).agg(F.min(F.when(~F.col("last"), F.col("gap"))).alias("step"))
 
 
-def representative_segment(segs: DataFrame) -> DataFrame:
-    """The one segment with the best n * (1.5 - |i - N/2| / N), i its place among N; ties to the first."""
-    n = segs.agg(F.count("*").alias("_n"))
-    place = segs.withColumn("_i", F.row_number().over(Window.orderBy("segment")) - 1)
-    scored = place.crossJoin(F.broadcast(n)).withColumn("score", F.col("n") * (1.5 - F.abs(F.col("_i") - F.col("_n") / 2.0) / F.col("_n")))  # one row
-    return scored.orderBy(F.col("score").desc(), "segment").limit(1).drop("_i", "_n")
+def places(rows: DataFrame, key: str, bucket: Column | None = None) -> DataFrame:
+    """``rows`` with ``place``, from 0, in the order of ``key``, and their number ``places``.
+
+    Counted within buckets, ``bucket`` being a non-decreasing function of the key, and added up over
+    these, so that no task orders all rows.  Without one, 65,536 values of a whole-numbered key make a bucket.
+    """
+    first = F.lit(-(1 << 63))  # of null keys, which come first
+    t = rows.withColumn("_b", F.coalesce(F.floor(F.col(key) / 65536) if bucket is None else bucket, first))
+    w = Window.orderBy("_b")
+    before = t.groupBy("_b").agg(F.count("*").alias("_n")).select("_b", (F.sum("_n").over(w) - F.col("_n")).alias("_before"), F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("places"))
+    own = F.row_number().over(Window.partitionBy("_b").orderBy(key)) - 1
+    return t.withColumn("_own", own).join(before, "_b").withColumn("place", (F.col("_before") + F.col("_own")).cast("long")).drop("_b", "_own", "_before")
+
+
+def representative_segment(segs: DataFrame, order: str = "segment", bucket: Column | None = None) -> DataFrame:
+    """The one segment with the best n * (1.5 - |i - N/2| / N), i its place among N; ties to the first.
+
+    Segments that have no number get it by their place in ``order``, from 1.  ``bucket`` is as for ``places``.
+    """
+    placed = places(segs, order, bucket)
+    if "segment" not in segs.columns:
+        placed = placed.withColumn("segment", F.col("place") + 1)
+    scored = placed.withColumn("score", F.col("n") * (1.5 - F.abs(F.col("place") - F.col("places") / 2.0) / F.col("places")))
+    return scored.orderBy(F.col("score").desc(), "segment").limit(1).drop("place", "places")
 
 
 def mean_spacing(traces: DataFrame, key: str, x: str = "x", y: str = "y") -> DataFrame:

@@ -448,8 +448,8 @@ def fold_and_steps(spark, sf):
 
 @query(f"WITH {_HDR}, {_SEG}, s AS (SELECT segment, pkey, n, n * (1.5::DOUBLE - abs((segment - 1) - (SELECT count(*) FROM seg) / 2.0::DOUBLE) / (SELECT count(*) FROM seg)) AS score FROM seg) SELECT segment, pkey, n, {_rs('score')} AS score FROM s ORDER BY s.score DESC, segment LIMIT 1")
 def representative_segment(spark, sf):
-    t = V.hdr(spark, sf).groupBy("pkey").agg(F.count("*").alias("n")).withColumn("segment", F.row_number().over(Window.orderBy("pkey")).cast("long"))
-    return stats.representative_segment(t).select("segment", "pkey", "n", _r(F.col("score")).alias("score"))
+    t = V.hdr(spark, sf).groupBy("pkey").agg(F.count("*").alias("n"))
+    return stats.representative_segment(t, "pkey").select("segment", "pkey", "n", _r(F.col("score")).alias("score"))
 
 
 @query(f"WITH {_HDR} SELECT pkey, skey, off, part, price, qty, {_rs('(450.0::DOUBLE - degrees(atan2(part - 500.0::DOUBLE, off - 50.0::DOUBLE))) % 360.0::DOUBLE')} AS azimuth FROM hdr")

@@ -553,8 +553,7 @@ def exported(voxels: DataFrame, trace_table: DataFrame, path: str, n_samples: in
 
 def ensemble_index(headers: DataFrame, key: str = "primary") -> DataFrame:
     """(key, place): the ensembles of a line in ascending order, numbered from 0."""
-    keys = headers.select(key).distinct()  # an entry an ensemble
-    return keys.withColumn("place", (F.row_number().over(Window.orderBy(key)) - 1).cast("long"))
+    return stats.places(headers.select(key).distinct(), key).drop("places")  # an entry an ensemble
 
 
 def line_information(headers: DataFrame) -> DataFrame:

@@ -153,6 +153,25 @@ def test_segments_over_buckets(spark):
     assert sorted(map(tuple, whole)) == sorted(map(tuple, parts)) and len(whole) == len(set(keys))
 
 
+def test_places_without_a_task_of_all_rows(spark):
+    rng = random.Random(4)
+    keys = sorted(rng.sample(range(-300_000, 300_000), 200)) + [1 << 40]
+    df = spark.createDataFrame([(k, rng.randint(1, 50)) for k in rng.sample(keys, len(keys))], "pkey long, n long").cache()
+    placed = {r.pkey: (r.place, r.places) for r in stats.places(df, "pkey").collect()}
+    assert placed == {k: (i, len(keys)) for i, k in enumerate(keys)}
+    n = {r.pkey: r.n for r in df.collect()}
+    score = [n[k] * (1.5 - abs(i - len(keys) / 2) / len(keys)) for i, k in enumerate(keys)]
+    best = score.index(max(score))
+    for segs in (df, df.join(spark.createDataFrame([(k, 7 * i) for i, k in enumerate(keys)], "pkey long, segment long"), "pkey")):
+        numbered = "segment" in segs.columns
+        one = stats.representative_segment(segs, "segment" if numbered else "pkey")
+        assert [(r.pkey, r.segment, r.n, r.score) for r in one.collect()] == [(keys[best], 7 * best if numbered else best + 1, n[keys[best]], pytest.approx(score[best]))]
+        plan = one._jdf.queryExecution().optimizedPlan().toString()
+        assert "windowspecdefinition(_b" in plan and "windowspecdefinition(segment" not in plan and "windowspecdefinition(pkey" not in plan
+    holes = spark.createDataFrame([(5,), (None,), (-9,)], "pkey long")
+    assert [(r.pkey, r.place) for r in stats.places(holes, "pkey").orderBy("place").collect()] == [(None, 0), (-9, 1), (5, 2)]
+
+
 def test_several_files(spark, tmp_path):
     make(spark, tmp_path / "a.segy")
     make(spark, tmp_path / "b.segy", n_inline=2)
