@@ -203,3 +203,9 @@ def test_npz(spark, tmp_path):
     a = np.arange(24.0).reshape(2, 3, 4)
     np.savez(tmp_path / "a.npz", v=a)
     assert np.array_equal(to_numpy(from_npz(spark, str(tmp_path / "a.npz")), (4, 3, 2)), a)
+
+
+def test_the_last_inline_counts_its_own_traces(spark):
+    """As at 0.1 GB, where the traces are not a multiple of ten."""
+    df = spark.createDataFrame([(i, i // 10) for i in range(256)], "trace long, primary long")
+    assert {(r.primary, r.first_trace, r.n) for r in segy.scan_segments(df, run=64).collect()} == {(k, 10 * k, 10 if k < 25 else 6) for k in range(26)}
