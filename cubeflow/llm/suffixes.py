@@ -222,7 +222,8 @@ def repeated_names(texts: DataFrame, make: Callable, whole: bool = False) -> Dat
     """(h, keys) for the texts from which ``make`` draws keys (key, h) that another row has too; keys is an array of these.
 
     As ``repeated``, but rows travel packed, many to a row of Spark's: each goes to the bucket that its
-    key (a known one's text) says, Spark sorts the buckets, and what lies in one is sorted here.
+    key (a known one's text) says, Spark sorts the buckets, and what lies in one is sorted here.  Those
+    that recur come back to their texts in the same way.
     The number of buckets follows the rows of the fixed part of the texts.
     """
     counts = _part(texts, "key long, h long", make, whole).groupBy("key").agg(F.count("*").alias("c"))
@@ -233,40 +234,80 @@ def repeated_names(texts: DataFrame, make: Callable, whole: bool = False) -> Dat
     buckets = tasks * -(-max(1, HOT_SHARE * sum(r.c for r in often)) // (PACKED * tasks))
     rows = _over_texts(texts, "key long, h long", make, ("key", hot), whole, buckets)
 
-    def settled(parts: list[np.ndarray]) -> tuple[pa.RecordBatch, np.ndarray]:
-        """The rows of keys that recur, and one row of each key, odd where it recurs."""
+    def settled(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of keys that recur, a key's once for neighbours of one text, and one row of each key, odd where it recurs."""
         key, h = np.concatenate(parts, axis=1)
         order = np.argsort(key, kind="stable")
         key, h = key[order], h[order]
         new = np.concatenate([[True], key[1:] != key[:-1]])
         keep = ~new | ~np.append(new[1:], True) | (h & 1 == 1)
         rest = np.stack([key[new], h[new] | keep[new]])
-        return pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(h[keep] & ~np.int64(1))], names=["key", "h"]), rest
+        keep[1:] &= new[1:] | (h[1:] != h[:-1])
+        return np.stack([key[keep], h[keep] & ~np.int64(1)]), rest
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         parts, size, now = [], 0, None
-        for batch in batches:
-            for bucket, packed in zip(batch.column("bucket").to_pylist(), batch.column("packed")):
-                if parts and bucket != now:
-                    yield settled(parts)[0]
-                    parts, size = [], 0
-                now = bucket
-                parts.append(np.frombuffer(packed.as_py(), dtype=np.int64).reshape(2, -1))
-                size += parts[-1].shape[1]
-                if size > 2 * PACKED:
-                    out, rest = settled(parts)
-                    yield out
-                    parts, size = [rest], 0
+        for bucket, part in _unpacked(batches):
+            if parts and bucket != now:
+                yield settled(parts)[0]
+                parts, size = [], 0
+            now = bucket
+            parts.append(part)
+            size += part.shape[1]
+            if size > 2 * PACKED:
+                out, rest = settled(parts)
+                yield out
+                parts, size = [rest], 0
         if parts:
             yield settled(parts)[0]
 
-    dealt = rows.repartitionById(tasks, F.pmod("bucket", F.lit(tasks)).cast("int")).sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "key long, h long").groupBy("h").agg(F.collect_set("key").alias("keys"))
+    def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+        for part in recurring(batches):
+            parts.append(part)
+            size += part.shape[1]
+            if size >= PACKED:
+                key, h = np.concatenate(parts, axis=1)
+                parts, size = [], 0
+                yield _packed(h, key, h, buckets)
+        if size:
+            key, h = np.concatenate(parts, axis=1)
+            yield _packed(h, key, h, buckets)
+
+    def by_text(parts: list[np.ndarray]) -> pa.RecordBatch:
+        key, h = np.concatenate(parts, axis=1)
+        order = np.argsort(h)
+        key, h = key[order], h[order]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        return pa.RecordBatch.from_arrays([pa.array(h[first]), pa.ListArray.from_arrays(pa.array(np.append(first, len(h)).astype(np.int32)), pa.array(key))], names=["h", "keys"])
+
+    def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, now = [], None
+        for bucket, part in _unpacked(batches):
+            if parts and bucket != now:
+                yield by_text(parts)
+                parts = []
+            now = bucket
+            parts.append(part)
+        if parts:
+            yield by_text(parts)
+
+    def dealt(packed: DataFrame) -> DataFrame:
+        return packed.repartitionById(tasks, F.pmod("bucket", F.lit(tasks)).cast("int")).sortWithinPartitions("bucket")
+
+    return dealt(dealt(rows).mapInArrow(back, "bucket long, packed binary")).mapInArrow(texts_of, "h long, keys array<long>")
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, its keys and their h) of packed rows."""
+    for batch in batches:
+        for bucket, packed in zip(batch.column("bucket").to_pylist(), batch.column("packed")):
+            yield bucket, np.frombuffer(packed.as_buffer(), dtype=np.int64).reshape(2, -1)
 
 
-def _packed(key: np.ndarray, h: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """A row for each bucket that has any: its keys and then their h, as the bytes of both."""
-    bucket = ((np.where(h & 1 == 1, key ^ h, key).view(np.uint64) >> np.uint64(24)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+def _packed(by: np.ndarray, key: np.ndarray, h: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """A row for each bucket, as the hash ``by`` says, that has any: its keys and then their h, as the bytes of both."""
+    bucket = ((by.view(np.uint64) >> np.uint64(24)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
     order = np.argsort(bucket, kind="stable")
     key, h, bucket = key[order], h[order], bucket[order].astype(np.int64)
     first = np.flatnonzero(np.diff(bucket, prepend=-1))
@@ -302,7 +343,8 @@ def _over_texts(frame: DataFrame, schema: str, make, hot: tuple[str, np.ndarray]
                 at = np.searchsorted(hot[1], key)
                 cols[h] = cols[h] | (hot[1][np.minimum(at, len(hot[1]) - 1)] == key)
             if buckets:
-                return _packed(*cols, buckets)
+                key, h = cols
+                return _packed(np.where(h & 1 == 1, key ^ h, key), key, h, buckets)
             return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in cols], names=names)
 
         for batch in batches:
@@ -322,12 +364,24 @@ def _over_texts(frame: DataFrame, schema: str, make, hot: tuple[str, np.ndarray]
 
 def _twice(keys: np.ndarray, text: np.ndarray | None = None) -> np.ndarray:
     """Indices of the first two of each key (in each text, numbered in order): enough to tell that it repeats, however repetitive a text is."""
-    order = np.argsort(keys, kind="stable")
-    new = np.concatenate([[True], keys[order[1:]] != keys[order[:-1]]]) if len(keys) else np.empty(0, dtype=bool)
-    if text is not None and len(keys):
-        new[1:] |= text[order[1:]] != text[order[:-1]]
-    first = np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))
-    return np.sort(order[np.arange(len(keys)) - first < 2])
+    if len(keys) < 3:
+        return np.arange(len(keys))
+    order = np.argsort(keys)
+    ordered = keys[order]
+    third = ordered[2:] == ordered[:-2]
+    if not third.any():
+        return np.arange(len(keys))
+    many = np.zeros(len(keys), dtype=bool)  # of keys that are there three times or oftener
+    for k in range(3):
+        many[k : len(keys) - 2 + k] |= third
+    at = np.sort(order[many])
+    order, own = np.argsort(keys[at], kind="stable"), order[~many]
+    at = at[order]
+    new = np.concatenate([[True], keys[at[1:]] != keys[at[:-1]]])
+    if text is not None:
+        new[1:] |= text[at[1:]] != text[at[:-1]]
+    first = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+    return np.sort(np.concatenate([own, at[np.arange(len(at)) - first < 2]]))
 
 
 def _data(row) -> bytes:

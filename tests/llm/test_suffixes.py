@@ -111,6 +111,28 @@ def test_names_travel_packed(spark, monkeypatch):
     assert sent.count() <= 3 * 8 < sum(seen.values()) // 100
 
 
+def test_recurring_names_return_packed(spark):
+    """No row of Spark's for each name, and each text once."""
+    texts = spark.createDataFrame([(2 * i, "x") for i in range(50)], "h long, text string")
+    names = suffixes.repeated_names(texts, lambda row: (np.array([7, 7, row["h"].as_py() // 4]), np.full(3, row["h"].as_py())))
+    assert "Aggregate" not in names._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.h, sorted(r["keys"])) for r in names.collect()) == [(2 * i, sorted({7, i // 2})) for i in range(50)]
+
+
+def test_first_two_of_each_name():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        n = int(rng.integers(0, 60))
+        keys, text = rng.integers(0, int(rng.integers(1, 40)), n), np.sort(rng.integers(0, 4, n))
+        for of in (None, text):
+            seen, want = Counter(), []
+            for i in range(n):
+                k = (keys[i], 0 if of is None else of[i])
+                seen[k] += 1
+                want += [i] * (seen[k] <= 2)
+            assert suffixes._twice(keys, of).tolist() == want
+
+
 def test_empty_and_repeated_rows(spark):
     schema = "doc_id long, text string"
     assert suffixes.deduplicated(spark.createDataFrame([], schema)).collect() == []
