@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cubeflow.descriptor import Descriptor, IndexOutOfRange, InvalidArgument
+from cubeflow.descriptor import MOST_CHUNKS, Descriptor, IndexOutOfRange, InvalidArgument
 
 
 @dataclass(frozen=True)
@@ -103,6 +103,8 @@ class Grid:
     # --- columns ---
 
     def chunk_column(self, names: list[str] | None = None) -> Column:
+        if self.total > MOST_CHUNKS:
+            raise InvalidArgument(f"{self.total:,} chunks, more than {MOST_CHUNKS:,}")
         names = names or [f"d{d}" for d in range(len(self.shape))]
         out, factor = F.lit(0).cast("long"), 1
         for d, (name, n) in enumerate(zip(names, self.counts)):
@@ -113,7 +115,7 @@ class Grid:
 
     def brick_columns(self) -> list[Column]:
         """b0, b1, ...: chunk positions of the row's voxel."""
-        return [F.floor(F.col(f"d{d}") / F.lit(self.size(d))).cast("int").alias(f"b{d}") for d in range(len(self.shape))]
+        return [F.floor(F.col(f"d{d}") / F.lit(self.size(d))).cast("long").alias(f"b{d}") for d in range(len(self.shape))]
 
 
 def chunk_grid(spark: SparkSession, grid: Grid) -> DataFrame:

@@ -43,6 +43,27 @@ def test_against_sql(spark, db, name):
     assert table(df.columns, df.collect()) == table(want.columns, want.fetchall())
 
 
+@pytest.fixture(scope="module")
+def apart(spark, db, tmp_path_factory):
+    """Copies of the line items whose keys lie 1,000,000,000 apart."""
+    folder = tmp_path_factory.mktemp("apart")
+    keys = ", ".join(f"{k} + i * 1000000000 AS {k}" for k in ("l_orderkey", "l_partkey", "l_suppkey"))
+    c = duckdb.connect()
+    c.sql(f"COPY (SELECT * REPLACE ({keys}) FROM '{SF}/lineitem.parquet', range(4) r(i)) TO '{folder}/lineitem.parquet' (FORMAT parquet)")
+    c.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{folder}/lineitem.parquet'")
+    return str(folder), c
+
+
+def against_sql_apart(spark, apart, name):
+    df, want = array.QUERIES[name](spark, apart[0]), apart[1].sql(array.ORACLES[name])
+    rows = df.collect()
+    assert rows and table(df.columns, rows) == table(want.columns, want.fetchall())
+
+
+def test_big_subset_of_keys_beyond_32_bits(spark, apart):
+    against_sql_apart(spark, apart, "big_subset")
+
+
 def test_entry_and_contract(spark, db):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries()) and set(array.QUERIES) <= set(entry.queries())

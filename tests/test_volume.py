@@ -154,3 +154,10 @@ def test_traces_beyond_a_million(spark, far):
     at = spark.createDataFrame([(0, 0.5, 999.5, 1_000_001.5), (1, 0.5, 998.5, 1_999_999.5), (2, 0.5, 1.5, 1_999_999.5)], "id long, p0 double, p1 double, p2 double")
     rows = far.traces(at, method="nearest").collect()
     assert len(rows) == 3 * FAR[0] and sorted((r.id, r.sample, r.value) for r in rows if r.value is not None) == [(0, 3, 2.0), (1, 4, 3.0)]
+
+
+def test_the_last_brick_of_an_axis_of_31_bits(spark, tmp_path):
+    n = (1 << 31) - 1
+    v = V.Volume.create(spark, str(tmp_path / "last"), Descriptor((Axis(40, "A"), Axis(n, "B")), (Channel("V", "R64"),), Layout()))
+    v.write(spark.createDataFrame([(3, n - 1, 2.0)], "d0 long, d1 long, value double"))
+    assert key(v.subset((1, n - 5), (40, n))) == [(2, 4, 2.0)] and not v.check().count()
