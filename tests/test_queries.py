@@ -68,6 +68,10 @@ def test_big_traces_of_keys_beyond_32_bits(spark, apart):
     against_sql_apart(spark, apart, "big_traces")
 
 
+def test_big_lod_of_keys_beyond_32_bits(spark, apart):
+    against_sql_apart(spark, apart, "big_lod")
+
+
 def test_entry_and_contract(spark, db):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries()) and set(array.QUERIES) <= set(entry.queries())
