@@ -87,3 +87,9 @@ def test_level_rounding(spark, low, high, lod):
     got = {r.d0: r.value for r in subset.subset_lod(level, (low, 0), (high, 1), lod).collect()}
     n = lod_length(low, high, lod)
     assert got == {k: float(((low >> lod) + k) << lod) for k in range(n) if ((low >> lod) + k) << lod < 1793}
+
+
+def test_more_chunks_than_numbers():
+    assert Grid((1 << 27,) * 3, (0, 1, 2), 64).total == (1 << 63)
+    with pytest.raises(InvalidArgument):
+        Grid((1 << 27,) * 3, (0, 1, 2), 64).chunk_column()
