@@ -10,9 +10,9 @@ from dataclasses import asdict, dataclass, field, replace
 from pyspark.sql import types as T
 
 MOST_DIMENSIONS = 6
-#: Samples of an axis: a double holds the centre of each of its voxels, i + 0.5, exactly.
-MOST_SAMPLES = 1 << 52
-#: Chunks of a stored layer, whose numbers are 64-bit integers.
+#: Samples of an axis, whose indices are 64-bit integers.
+MOST_SAMPLES = (1 << 63) - 1
+#: Chunks that 64-bit integers number; those of a layer with more are named by their positions.
 MOST_CHUNKS = (1 << 63) - 1
 #: Sample formats and the Spark types that hold them without loss (unsigned ones widened).
 FORMATS: dict[str, T.DataType] = {

@@ -1,7 +1,8 @@
 """Partition arithmetic: which chunk holds which voxels, in plain Python and as DataFrame columns.
 
 Chunk numbers are mixed-radix with dimension 0 running fastest.  Dimensions outside the chunks'
-group have a chunk for each sample.
+group have a chunk for each sample.  Where a grid has more chunks than 64-bit numbers, columns name
+a chunk by its position, array<long>; plain Python numbers have no such limit.
 """
 
 from __future__ import annotations
@@ -15,6 +16,12 @@ from pyspark.sql import functions as F
 from cubeflow.descriptor import MOST_CHUNKS, Descriptor, IndexOutOfRange, InvalidArgument
 
 
+def _over(c: Column, n: int) -> Column:
+    """floor(c / n) in integers, as doubles do not hold all of 64 bits."""
+    c = c.cast("long")
+    return F.shiftright(c, n.bit_length() - 1) if n & (n - 1) == 0 else F.call_function("div", c - F.pmod(c, F.lit(n)), F.lit(n))
+
+
 @dataclass(frozen=True)
 class Grid:
     """Chunks of one dimension group at one level of detail."""
@@ -108,14 +115,31 @@ class Grid:
         names = names or [f"d{d}" for d in range(len(self.shape))]
         out, factor = F.lit(0).cast("long"), 1
         for d, (name, n) in enumerate(zip(names, self.counts)):
-            at = F.floor(F.col(name) / F.lit(self.size(d))) if self.size(d) > 1 else F.col(name).cast("long")
-            out = out + at * F.lit(factor)
+            out = out + _over(F.col(name), self.size(d)) * F.lit(factor)
             factor *= n
         return out.cast("long")
 
     def brick_columns(self) -> list[Column]:
         """b0, b1, ...: chunk positions of the row's voxel."""
-        return [F.floor(F.col(f"d{d}") / F.lit(self.size(d))).cast("long").alias(f"b{d}") for d in range(len(self.shape))]
+        return [_over(F.col(f"d{d}"), self.size(d)).alias(f"b{d}") for d in range(len(self.shape))]
+
+    @property
+    def numbered(self) -> bool:
+        return self.total <= MOST_CHUNKS
+
+    def no_chunk(self) -> Column:
+        """What ``with_position`` adds a chunk's positions to, from dimension 0 on."""
+        return F.lit(0).cast("long") if self.numbered else F.array().cast("array<long>")
+
+    def with_position(self, chunk: Column, dim: int, position: Column) -> Column:
+        return chunk + position * F.lit(math.prod(self.counts[:dim])) if self.numbered else F.concat(chunk, F.array(position))
+
+    def chunk_name(self, positions: list[Column] | None = None) -> Column:
+        """The number of the chunk at b0, b1, ..., or its position where the grid has more chunks than numbers."""
+        out = self.no_chunk()
+        for d, b in enumerate(positions or [F.col(f"b{d}") for d in range(len(self.shape))]):
+            out = self.with_position(out, d, b)
+        return out
 
 
 def chunk_grid(spark: SparkSession, grid: Grid) -> DataFrame:
@@ -135,11 +159,12 @@ def chunk_grid(spark: SparkSession, grid: Grid) -> DataFrame:
 
 
 def super_chunks(grids: list[Grid], chunk_column_names: list[str]) -> Column:
-    """A number that chunks of several dimension groups share when they lie in one union of chunks."""
-    out, factor = F.lit(0).cast("long"), 1
+    """A number (a position, of more than numbers count) that chunks of several dimension groups share when they lie in one union of chunks."""
+    at, factors = [], [1]
     for d in range(len(grids[0].shape)):
         size = max(g.size(d) for g in grids)
-        n = (grids[0].shape[d] - 1) // size + 1
-        out = out + F.floor(F.col(chunk_column_names[d]) / F.lit(size)) * F.lit(factor)
-        factor *= n
-    return out.cast("long")
+        at.append(_over(F.col(chunk_column_names[d]), size))
+        factors.append(factors[-1] * ((grids[0].shape[d] - 1) // size + 1))
+    if factors[-1] > MOST_CHUNKS:
+        return F.array(*at)
+    return sum((b * F.lit(k) for b, k in zip(at, factors)), F.lit(0).cast("long"))

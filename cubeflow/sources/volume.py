@@ -15,6 +15,7 @@ import json
 import math
 import threading
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -299,13 +300,17 @@ class Volume:
         return {(g, lod) for g in dimension_groups(self.descriptor.dimensionality) for lod in levels if self._layer(c, lod, g) in tables}
 
     def layers(self) -> DataFrame:
-        """(channel, dims, lod, status, chunks, valid_chunks, constant_chunks, samples): what is stored of each layer."""
+        """(channel, dims, lod, status, chunks, valid_chunks, constant_chunks, samples): what is stored of each layer.
+
+        chunks is null where 64 bits do not hold it.
+        """
         out = self.spark.createDataFrame([], "channel string, dims string, lod int, status string, chunks long, valid_chunks long, constant_chunks long, samples long")
         for c in self.descriptor.channels:
             if c.mapping == "Direct":
                 for g, lod in sorted(self.stored_layers(c.name)):
+                    grid = self._level_grid(lod, g)
                     own = self.bricks(c.name, lod, g).agg(F.count("*").alias("valid_chunks"), F.count("const_value").alias("constant_chunks"), F.coalesce(F.sum("n"), F.lit(0)).alias("samples"))
-                    about = [F.lit(c.name).alias("channel"), F.lit("".join(map(str, g))).alias("dims"), F.lit(lod).alias("lod"), F.lit("Normal").alias("status"), F.lit(self._level_grid(lod, g).total).cast("long").alias("chunks")]
+                    about = [F.lit(c.name).alias("channel"), F.lit("".join(map(str, g))).alias("dims"), F.lit(lod).alias("lod"), F.lit("Normal").alias("status"), (F.lit(grid.total) if grid.numbered else F.lit(None)).cast("long").alias("chunks")]
                     out = out.unionByName(own.select(*about, "valid_chunks", "constant_chunks", "samples"))
         return out
 
@@ -443,8 +448,10 @@ class Volume:
 
     def chunk(self, chunk: int, lod: int = 0, channel: int | str = 0, dims=None) -> DataFrame:
         grid = self._level_grid(lod, dims)
-        grid.position(chunk)
-        return self.bricks(channel, lod, dims).where(F.col("chunk") == chunk)
+        out = self.bricks(channel, lod, dims)
+        for d, b in enumerate(grid.position(chunk)):
+            out = out.where(F.col(f"b{d}") == b)
+        return out
 
     def chunk_at(self, voxel: tuple[int, ...], lod: int = 0) -> int | None:
         return self.grid(lod).chunk_at(voxel)
@@ -471,7 +478,8 @@ class Volume:
                 raise InvalidOperation(f"level {lod} of {g} has no level below to be made of")
             grid, old = self._level_grid(lod, g), self.bricks(channel, lod, g)
             at = changes.select(*[(F.col(f"d{d}") if not lod or d == keep or d > 2 else F.shiftright(f"d{d}", lod)).alias(f"d{d}") for d in range(len(grid.shape))])
-            touched = at.select(grid.chunk_column().alias("chunk"), *grid.brick_columns()).distinct()
+            touched = at.select(*grid.brick_columns()).distinct()
+            touched = touched.select(grid.chunk_name().alias("chunk"), "*")
             if lod:
                 lower = self._level_grid(lod - 1, g)
                 own = self.bricks(channel, lod - 1, g).join(bricks.below(touched, grid, lower, keep), "chunk", "left_semi")
@@ -542,16 +550,21 @@ class Volume:
 
     def remove_chunks(self, first: int, last: int, channel: int | str = 0) -> None:
         """Takes bricks of a range of numbers out of the full-resolution layer."""
-        self._write(self._layer(self.descriptor.channel(channel), 0), self.bricks(channel).where(~F.col("chunk").between(first, last)))
+        grid = self._level_grid(0)
+        first, last = max(first, 0), min(last, grid.total - 1)
+        if first > last:
+            return
+        # in the order of numbers, which is that of positions from the last dimension on
+        at = lambda number: F.struct(*[F.lit(b).cast("long") for b in reversed(grid.position(number))])
+        own = F.struct(*[F.col(f"b{d}").cast("long") for d in reversed(range(len(grid.shape)))])
+        self._write(self._layer(self.descriptor.channel(channel), 0), self.bricks(channel).where(~own.between(at(first), at(last))))
 
     def check(self, channel: int | str = 0, lod: int = 0) -> DataFrame:
         """Bricks whose stored values, count or position disagree: none in a sound dataset."""
         grid = self._level_grid(lod)
         b = self.bricks(channel, lod)
-        number, factor = F.lit(0).cast("long"), 1
-        for d, n in enumerate(grid.counts):
-            number, factor = number + F.col(f"b{d}") * factor, factor * n
-        sound = (number == F.col("chunk")) & F.col("chunk").between(0, grid.total - 1) & (F.col("const_value").isNotNull() | (F.size("values") == F.col("n")))
+        within = reduce(lambda a, c: a & c, [F.col(f"b{d}").between(0, n - 1) for d, n in enumerate(grid.counts)])
+        sound = (grid.chunk_name() == F.col("chunk")) & within & (F.col("const_value").isNotNull() | (F.size("values") == F.col("n")))
         return b.where(~sound)
 
 

@@ -93,3 +93,28 @@ def test_more_chunks_than_numbers():
     assert Grid((1 << 27,) * 3, (0, 1, 2), 64).total == (1 << 63)
     with pytest.raises(InvalidArgument):
         Grid((1 << 27,) * 3, (0, 1, 2), 64).chunk_column()
+
+
+@pytest.mark.parametrize("lengths", [(100, 70, 50), (100, 1 << 52, 1 << 52), ((1 << 63) - 1,) * 3])
+def test_names_of_chunks(spark, lengths):
+    g = Grid(lengths, (0, 1, 2), 64, pos_margin=4)
+    h = Grid(lengths, (0, 1, 2), 56)
+    voxels = [tuple(min(x, n - 1) for n in lengths) for x in (0, 55, 56, 63, 64, (1 << 52) - 1, (1 << 60) - 1, (1 << 63) - 2)]
+    df = spark.createDataFrame(voxels, "d0 long, d1 long, d2 long")
+    for grid in (g, h):
+        rows = df.select(grid.chunk_name(grid.brick_columns()).alias("c"), *grid.brick_columns()).collect()
+        at = [tuple(x // grid.brick for x in v) for v in voxels]
+        assert [(r.b0, r.b1, r.b2) for r in rows] == at
+        assert [r.c for r in rows] == [grid.chunk_at(v) if grid.numbered else list(b) for v, b in zip(voxels, at)]
+    assert g.numbered == (lengths[1] == 70)
+    both = [r[0] for r in df.select(super_chunks([g, h], ["d0", "d1", "d2"])).collect()]
+    assert [len({str(x) for x in both[:4]}), str(both[4]) == str(both[0])] == [1, False]
+
+
+def test_halos_of_more_chunks_than_numbers(spark):
+    from cubeflow.operators import bricks
+
+    g = Grid((100, (1 << 63) - 1, 1 << 60), (0, 1, 2), 32, neg_margin=2, pos_margin=1)
+    rows = bricks.with_halo(spark.createDataFrame([(31, (1 << 63) - 2, 1 << 59, 1.0)], "d0 long, d1 long, d2 long, value double"), g).collect()
+    last, b2 = ((1 << 63) - 2) // 32, (1 << 59) // 32
+    assert {(*r.chunk, r.inside) for r in rows} == {(b0, last, b, (b0, b) == (0, b2)) for b0 in (0, 1) for b in (b2, b2 - 1)}

@@ -72,6 +72,16 @@ def test_big_lod_of_keys_beyond_32_bits(spark, apart):
     against_sql_apart(spark, apart, "big_lod")
 
 
+@pytest.mark.parametrize("name", ["big_traces", "big_subset", "big_lod"])
+@pytest.mark.parametrize("step", [10**12, 10**17])
+def test_big_queries_of_more_chunks_than_64_bit_numbers(spark, db, tmp_path, name, step):
+    keys = ", ".join(f"{k} + i * {step} AS {k}" for k in ("l_orderkey", "l_partkey", "l_suppkey"))
+    c = duckdb.connect()
+    c.sql(f"COPY (SELECT * REPLACE ({keys}) FROM '{SF}/lineitem.parquet', range(60) r(i) USING SAMPLE 20000 ROWS (reservoir, 7)) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    c.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    against_sql_apart(spark, (str(tmp_path), c), name)
+
+
 def test_entry_and_contract(spark, db):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries()) and set(array.QUERIES) <= set(entry.queries())

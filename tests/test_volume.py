@@ -161,3 +161,36 @@ def test_the_last_brick_of_an_axis_of_31_bits(spark, tmp_path):
     v = V.Volume.create(spark, str(tmp_path / "last"), Descriptor((Axis(40, "A"), Axis(n, "B")), (Channel("V", "R64"),), Layout()))
     v.write(spark.createDataFrame([(3, n - 1, 2.0)], "d0 long, d1 long, value double"))
     assert key(v.subset((1, n - 5), (40, n))) == [(2, 4, 2.0)] and not v.check().count()
+
+
+VAST = (40, (1 << 63) - 1, (1 << 63) - 1)
+VAST_ROWS = [(0, 0, 0, 1.0), (3, (1 << 63) - 2, 70, 2.0), (39, (1 << 63) - 3, (1 << 63) - 2, 3.0), (5, 999, (1 << 61) + 1, 4.0), (6, 999, (1 << 50) + 1, 5.0)]
+
+
+def test_a_volume_of_more_chunks_than_numbers(spark, tmp_path):
+    axes = tuple(Axis(n, f"A{d}") for d, n in enumerate(VAST))
+    v = V.Volume.create(spark, str(tmp_path / "vast"), Descriptor(axes, (Channel("V", "R64"),), Layout(brick_log2=5, lods=1)))
+    v.write(spark.createDataFrame(VAST_ROWS, "d0 long, d1 long, d2 long, value double"))
+    assert key(v.voxels()) == sorted(VAST_ROWS) and not v.check().count() and not v.check(lod=1).count()
+    assert key(v.subset((1, VAST[1] - 2, 0), (40, VAST[1], VAST[2]))) == [(2, 1, 70, 2.0), (38, 0, VAST[2] - 1, 3.0)]
+    assert [(r.lod, r.chunks, r.valid_chunks, r.samples) for r in v.layers().orderBy("lod").collect()] == [(0, None, 5, 5), (1, None, 5, 5)]
+    at = spark.createDataFrame([(0, 0.5, 999.5, (1 << 50) + 1.5), (1, 0.5, 0.5, 0.5), (2, 0.5, 999.5, 70.5)], "id long, p0 double, p1 double, p2 double")
+    assert sorted((r.id, r.sample, r.value) for r in v.traces(at, method="nearest").collect() if r.value is not None) == [(0, 6, 5.0), (1, 0, 1.0)]
+    chunk = v.grid().chunk_at(VAST_ROWS[2][:3])
+    assert chunk > 1 << 64 and [r.hi for r in v.chunk(chunk).collect()] == [3.0]
+    v.update(spark.createDataFrame([(38, VAST[1] - 2, VAST[2] - 2, 7.0), (3, VAST[1] - 1, 70, None)], "d0 long, d1 long, d2 long, value double"))
+    assert key(v.voxels()) == sorted([VAST_ROWS[0], *VAST_ROWS[2:], (38, VAST[1] - 2, VAST[2] - 2, 7.0)])
+    halves = {}
+    for d0, d1, d2, x in sorted(key(v.voxels()), key=lambda r: (r[2], r[1], r[0])):
+        halves.setdefault((d0 >> 1, d1 >> 1, d2 >> 1), x)
+    assert key(v.voxels(0, 1)) == sorted((*k, x) for k, x in halves.items())
+    v.remove_chunks(1, chunk)
+    assert key(v.voxels()) == [VAST_ROWS[0]]
+
+
+def test_a_constant_brick_at_the_end_of_64_bits(spark, tmp_path):
+    n = (1 << 63) - 1
+    v = V.Volume.create(spark, str(tmp_path / "end"), Descriptor((Axis(2, "A"), Axis(n, "B")), (Channel("V", "R64"),), Layout(brick_log2=5)))
+    rows = [(a, n - 1 - k, 5.0) for a in range(2) for k in range(31)]
+    v.write(spark.createDataFrame(rows, "d0 long, d1 long, value double"))
+    assert v.bricks().first().const_value == 5.0 and key(v.voxels()) == sorted(rows)
